@@ -117,38 +117,36 @@ MOCK_EXPLANATION = ("Classification as ", ".")
 UNKNOWN_LABEL = "Unknown"
 FAILED_EXPLANATION = "Review failed"
 
-# Prompt-injection patterns, matched anywhere and in any letter case. The second
-# column is a literal (or several, split by |) of which every match contains one; it only serves as
-# a cheap test before the regex.
+# Prompt-injection patterns, matched anywhere and in any letter case.
 INJECTION_PATTERNS = (
-    (r"ignore\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|context)", "ignore"),
-    (r"ignore\s+previous\s+instructions", "ignore"),
-    (r"disregard\s+(the\s+)?(all\s+)?(above|previous)", "disregard"),
-    (r"forget\s+(everything|all|previous|what)", "forget"),
-    (r"new\s+instructions?:", "instruction"),
-    (r"override\s+(the\s+)?(previous|all)", "override"),
-    (r"system\s*:", "system"),
-    (r"(you are|act as|pretend to be)\s+(now|a\s+different)", "you are|act as|pretend to be"),
-    (r"\[system\]", "[system]"),
-    (r"<\s*system\s*>", "system"),
-    (r"assistant\s*:", "assistant"),
-    (r"\[inst\]", "[inst]"),
-    (r"<<sys>>", "<<sys>>"),
-    (r"output\s+only", "output"),
-    (r"respond\s+with\s+only", "respond"),
-    (r"say\s+(exactly|only)", "say"),
-    (r"print\s+(only|exactly)", "print"),
-    (r"dan", "dan"),
-    (r"developer\s+mode", "developer"),
-    (r"jailbreak", "jailbreak"),
-    (r"bypass\s+(the\s+)?(filter|safety|restriction)", "bypass"),
-    (r"reveal\s+(your|the)\s+(instructions?|prompt|system)", "reveal"),
-    (r"show\s+me\s+(your|the)\s+(prompt|instructions?|system)", "show"),
-    (r"what\s+(are|is)\s+(your|the)\s+(instructions?|prompt)", "what"),
-    (r"<script", "<script"),
-    (r"javascript:", "javascript:"),
-    (r"onclick\s*=", "onclick"),
-    (r"onerror\s*=", "onerror"),
+    r"ignore\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|context)",
+    r"ignore\s+previous\s+instructions",
+    r"disregard\s+(the\s+)?(all\s+)?(above|previous)",
+    r"forget\s+(everything|all|previous|what)",
+    r"new\s+instructions?:",
+    r"override\s+(the\s+)?(previous|all)",
+    r"system\s*:",
+    r"(you are|act as|pretend to be)\s+(now|a\s+different)",
+    r"\[system\]",
+    r"<\s*system\s*>",
+    r"assistant\s*:",
+    r"\[inst\]",
+    r"<<sys>>",
+    r"output\s+only",
+    r"respond\s+with\s+only",
+    r"say\s+(exactly|only)",
+    r"print\s+(only|exactly)",
+    r"dan",
+    r"developer\s+mode",
+    r"jailbreak",
+    r"bypass\s+(the\s+)?(filter|safety|restriction)",
+    r"reveal\s+(your|the)\s+(instructions?|prompt|system)",
+    r"show\s+me\s+(your|the)\s+(prompt|instructions?|system)",
+    r"what\s+(are|is)\s+(your|the)\s+(instructions?|prompt)",
+    r"<script",
+    r"javascript:",
+    r"onclick\s*=",
+    r"onerror\s*=",
 )
 
 # Personal-data patterns in reporting order, matched in any letter case.

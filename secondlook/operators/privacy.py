@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook import fixed
-from secondlook.functions.patterns import pii_flags
+from secondlook.functions.patterns import has_digit_run, pii_flags
 from secondlook.functions.text import redact
 
 PII_NAMES = tuple(name for name, _ in fixed.PII_PATTERNS)
@@ -15,7 +15,11 @@ SYNTHETIC_PREFIXES = ("demo_", "synth_")
 
 def with_pii_flags(df: DataFrame, column: str = "text") -> DataFrame:
     """Add one boolean per personal-data pattern, all in one pass."""
-    return df.withColumns(pii_flags(F.col(column)))
+    return (
+        df.withColumn("_digit_run", has_digit_run(F.col(column)))
+        .withColumns(pii_flags(F.col(column), F.col("_digit_run")))
+        .drop("_digit_run")
+    )
 
 
 def any_flag() -> Column:

@@ -32,40 +32,42 @@ def _line_values(raw: Column, header: str) -> Column:
     return F.transform(headed, lambda s: trim_ws(F.substring(s, len(header) + 2, 2**31 - 1)))
 
 
-def parsed(raw: Column) -> Column:
-    """Struct (verdict, reasoning, suggested_label, explanation) of one answer.
+def parse_response(df: DataFrame, column: str = "raw_response") -> DataFrame:
+    """Add the struct ``parsed`` (verdict, reasoning, suggested_label, explanation) of an answer.
 
     Headers are found anywhere and in any case. If that leaves the verdict Uncertain, lines starting
-    with a verdict header are tried again and the last one that is spelled exactly decides.
+    with a verdict header are tried again and the last one that is spelled exactly decides. The steps
+    are separate columns so that every pattern runs once per row.
     """
-    raw = or_empty(raw)
-    word = capitalize(
-        F.regexp_extract(raw, unicode_regex(rf"VERDICT:{WS}*(\w+)", ignore_case=True), 1)
-    )
-    first = F.when(word.isin(*fixed.VERDICTS), word).otherwise(fixed.UNCERTAIN)
-    retry = (first == fixed.UNCERTAIN) & F.contains(F.upper(raw), F.lit("VERDICT:"))
+    raw = F.col("_raw")
+    verdict_word = unicode_regex(rf"VERDICT:{WS}*(\w+)", ignore_case=True)
     exact = F.filter(_line_values(raw, "VERDICT"), lambda v: v.isin(*fixed.VERDICTS))
-    verdict = F.when(
-        retry, F.coalesce(F.try_element_at(exact, F.lit(-1)), F.lit(fixed.UNCERTAIN))
-    ).otherwise(first)
-
-    suggested = _header_value(raw, "SUGGESTED_LABEL")
-    suggested = F.when(F.lower(suggested) != "none", null_if_empty(suggested))
     named = F.filter(_line_values(raw, "SUGGESTED_LABEL"), lambda v: F.lower(v) != "none")
-    suggested = F.coalesce(
-        suggested, F.when(retry, null_if_empty(F.try_element_at(named, F.lit(1))))
-    )
-    return F.struct(
-        verdict.alias("verdict"),
+    suggested = F.when(F.lower("_label") != "none", null_if_empty(F.col("_label")))
+    by_line = {
+        "verdict": F.coalesce(F.try_element_at(exact, F.lit(-1)), F.lit(fixed.UNCERTAIN)),
+        "label": null_if_empty(F.try_element_at(named, F.lit(1))),
+    }
+    retry = (F.col("_first") == fixed.UNCERTAIN) & F.contains(F.upper(raw), F.lit("VERDICT:"))
+    fields = F.struct(
+        F.when(F.col("_retry"), by_line["verdict"]).otherwise(F.col("_first")).alias("verdict"),
         _header_value(raw, "REASONING").alias("reasoning"),
-        suggested.alias("suggested_label"),
+        F.coalesce(suggested, F.when(F.col("_retry"), by_line["label"])).alias("suggested_label"),
         _header_value(raw, "EXPLANATION").alias("explanation"),
     )
-
-
-def parse_response(df: DataFrame, column: str = "raw_response") -> DataFrame:
-    """Add the struct ``parsed``."""
-    return df.withColumn("parsed", parsed(F.col(column)))
+    return (
+        df.withColumn("_raw", or_empty(F.col(column)))
+        .withColumn("_word", F.regexp_extract("_raw", verdict_word, 1))
+        .withColumn("_word", capitalize(F.col("_word")))
+        .withColumn(
+            "_first",
+            F.when(F.col("_word").isin(*fixed.VERDICTS), F.col("_word")).otherwise(fixed.UNCERTAIN),
+        )
+        .withColumn("_retry", retry)
+        .withColumn("_label", _header_value(raw, "SUGGESTED_LABEL"))
+        .withColumn("parsed", fields)
+        .drop("_raw", "_word", "_first", "_retry", "_label")
+    )
 
 
 def normalize_verdict(verdict: Column) -> Column:

@@ -53,7 +53,7 @@ def issue(template: str, *exprs: str) -> str:
 
 
 def any_pattern(text: str, bounded: bool = False) -> str:
-    names = [r"\bdan\b" if bounded and p == "dan" else p for p, _ in fixed.INJECTION_PATTERNS]
+    names = [r"\bdan\b" if bounded and p == "dan" else p for p in fixed.INJECTION_PATTERNS]
     return f"regexp_matches({text}, {quoted('|'.join(names))}, 'i')"
 
 
@@ -233,7 +233,7 @@ CTES = {
     "tax": values("tax", "ordinal, name, definition", [(i, n, d) for i, (n, d) in enumerate(fixed.DEFAULT_TAXONOMY)]),
     "pat": values("pat", "ordinal, actual, confused", [(i, *p) for i, p in enumerate(fixed.CONFUSION_PATTERNS)]),
     "sim": values("sim", "ordinal, actual, candidate, weight", [(i, *s) for i, s in enumerate(fixed.LABEL_SIMILARITY)]),
-    "inj": values("inj", "ordinal, pattern", [(i, p) for i, (p, _) in enumerate(fixed.INJECTION_PATTERNS, 1)]),
+    "inj": values("inj", "ordinal, pattern", list(enumerate(fixed.INJECTION_PATTERNS, 1))),
     **noise_ctes(),
     "mock": "mock AS (SELECT id AS sample_id, seq, text, pred_label, confidence, ground_truth, "
     f"{MOCK['verdict']} AS verdict, {MOCK['reasoning']} AS reasoning, {MOCK['suggested']} AS suggested_label, "
@@ -457,7 +457,7 @@ ORACLES = {
     "detect_injection_bounded": f"SELECT kind, key, {any_pattern('body', True)} AS suspicious FROM texts",
     "injection_matches": " UNION ALL ".join(
         f"SELECT kind, key, {i}::BIGINT AS pattern_ordinal FROM texts WHERE regexp_matches(body, {quoted(p)}, 'i')"
-        for i, (p, _) in enumerate(fixed.INJECTION_PATTERNS, 1)
+        for i, p in enumerate(fixed.INJECTION_PATTERNS, 1)
     ),
     "validate_output": f"SELECT {CHECKED} FROM checked",
     "validate_output_lenient": f"SELECT {CHECKED} FROM (SELECT parsed.*, {validate_columns(False)} FROM parsed {LABEL_JOIN})",

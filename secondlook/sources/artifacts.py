@@ -18,8 +18,11 @@ from secondlook.operators.metrics import (
 )
 from secondlook.operators.privacy import redact_results, redact_text
 
-# An empty text is written as "" and null as nothing, so both survive a round trip.
-CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": ""}
+# An empty text is written as "" and null as nothing. Reading tells them apart as long as the name for
+# "nothing" is no text that occurs.
+CSV_OPTIONS = {"header": True, "escape": '"'}
+CSV_WRITE = {**CSV_OPTIONS, "emptyValue": '""', "nullValue": ""}
+CSV_READ = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\x00", "multiLine": True}
 
 
 def artifact_path(run_dir: str, name: str) -> str:
@@ -28,11 +31,11 @@ def artifact_path(run_dir: str, name: str) -> str:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV that survives line ends and quotes in texts."""
-    df.write.options(**CSV_OPTIONS).option("emptyValue", '""').csv(path)
+    df.write.options(**CSV_WRITE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("emptyValue", "").option("multiLine", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
 
 
 def save_samples(samples: DataFrame, run_dir: str, redacted: bool = False) -> str:
