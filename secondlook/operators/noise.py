@@ -14,20 +14,26 @@ from secondlook.operators.taxonomy import first_patterns
 
 
 def assign_labels(df: DataFrame, taxonomy: DataFrame, seed: int, key: str = "seq") -> DataFrame:
-    """Give every row a uniformly drawn true label: adds ``ground_truth``."""
+    """Give every row a uniformly drawn true label: adds ``ground_truth`` (null without any label)."""
     labels = taxonomy.select(F.col("ordinal").alias("_pick"), F.col("name").alias("ground_truth"))
-    n = taxonomy.agg(F.count("*")).scalar()
     return (
-        df.withColumn("_pick", draw_int(seed, "label", F.col(key), n))
-        .join(labels, "_pick")
+        df.withColumn("_pick", draw_int(seed, "label", F.col(key), _at_least_one(taxonomy)))
+        .join(labels, "_pick", "left")
         .drop("_pick")
     )
 
 
-def _any_other(seed: int, key: str, n_labels: Column) -> Column:
-    """A drawn label ordinal other than ``_own``."""
-    position = draw_int(seed, "other", F.col(key), F.greatest(n_labels - 1, F.lit(1)))
-    return position + F.when(position >= F.col("_own"), 1).otherwise(0)
+def _at_least_one(taxonomy: DataFrame, less: int = 0) -> Column:
+    """Number of labels, minus ``less``, but never below one, as a scalar subquery."""
+    return taxonomy.agg(F.greatest(F.count("*") - less, F.lit(1))).scalar()
+
+
+def _with_any_other(df: DataFrame, taxonomy: DataFrame, seed: int, key: str) -> DataFrame:
+    """Add ``_any``: a drawn label ordinal other than ``_own``."""
+    position = draw_int(seed, "other", F.col(key), _at_least_one(taxonomy, less=1))
+    return df.withColumn("_any", position).withColumn(
+        "_any", F.col("_any") + F.when(F.col("_any") >= F.col("_own"), 1).otherwise(0)
+    )
 
 
 def _step_over(position: Column, skipped: Column) -> Column:
@@ -40,33 +46,31 @@ def static_confusion(
     df: DataFrame, taxonomy: DataFrame, patterns: DataFrame, seed: int, key: str = "seq"
 ) -> DataFrame:
     """Add ``confused``: the first pattern of the true label, else any other label of the taxonomy."""
-    n = taxonomy.agg(F.count("*")).scalar()
     targets = (
         taxonomy.select(F.col("name").alias("actual"), F.col("ordinal").alias("_own"))
         .join(first_patterns(patterns), "actual", "left")
         .select(F.col("actual").alias("ground_truth"), "_own", F.col("confused").alias("_pattern"))
     )
-    others = taxonomy.select(F.col("ordinal").alias("_pick"), F.col("name").alias("_other"))
+    others = taxonomy.select(F.col("ordinal").alias("_any"), F.col("name").alias("_other"))
     return (
-        df.join(targets, "ground_truth", "left")
-        .withColumn("_pick", _any_other(seed, key, n))
-        .join(others, "_pick", "left")
+        _with_any_other(df.join(targets, "ground_truth", "left"), taxonomy, seed, key)
+        .join(others, "_any", "left")
         .withColumn("confused", F.coalesce("_pattern", "_other"))
-        .drop("_own", "_pattern", "_pick", "_other")
+        .drop("_own", "_pattern", "_any", "_other")
     )
 
 
 def confusion_weights(taxonomy: DataFrame, similarity: DataFrame) -> DataFrame:
     """Per label with similarity entries: cumulated listed weights and what is left for the rest.
 
-    Returns (actual, own, listed array<struct<ordinal, hi>>, listed_total, rest_total). Labels outside
+    Returns (actual, own, listed array<struct<ordinal, hi>>, listed_total, n_rest, rest_total). Labels outside
     the list all weigh the same, so they need no rows of their own and the table stays linear in
     the similarity entries.
     """
     names = taxonomy.select(F.col("name").alias("candidate"), "ordinal")
     own = taxonomy.select(F.col("name").alias("actual"), F.col("ordinal").alias("own"))
     running = W.partitionBy("actual").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
-    n = taxonomy.agg(F.count("*")).scalar()
+    n_others = taxonomy.agg(F.count("*") - 1).scalar()
     return (
         similarity.select("actual", "candidate", "weight")
         .filter(F.col("actual") != F.col("candidate"))
@@ -79,7 +83,8 @@ def confusion_weights(taxonomy: DataFrame, similarity: DataFrame) -> DataFrame:
             F.count("*").alias("_n_listed"),
         )
         .join(own, "actual")
-        .withColumn("rest_total", (n - 1 - F.col("_n_listed")) * F.lit(fixed.UNLISTED_WEIGHT))
+        .withColumn("n_rest", n_others - F.col("_n_listed"))
+        .withColumn("rest_total", F.col("n_rest") * F.lit(fixed.UNLISTED_WEIGHT))
         .drop("_n_listed")
     )
 
@@ -91,30 +96,28 @@ def dynamic_confusion(
 
     A label without any similarity entry draws uniformly among the others.
     """
-    n = taxonomy.agg(F.count("*")).scalar()
     weights = confusion_weights(taxonomy, similarity).withColumnRenamed("actual", "ground_truth")
     own = taxonomy.select(F.col("name").alias("ground_truth"), F.col("ordinal").alias("_own"))
     names = taxonomy.select(F.col("ordinal").alias("_pick"), F.col("name").alias("confused"))
 
     point = draw_unit(seed, "weight", F.col(key)) * (F.col("listed_total") + F.col("rest_total"))
     beyond = (F.col("_point") - F.col("listed_total")) / F.lit(fixed.UNLISTED_WEIGHT)
-    rest = F.least(F.floor(beyond), F.greatest(n - 1 - F.size("listed"), F.lit(1)) - 1)
+    rest = F.least(F.floor(beyond), F.greatest(F.col("n_rest"), F.lit(1)) - 1)
     hit = F.try_element_at(F.filter("listed", lambda s: F.col("_point") < s["hi"]), F.lit(1))
     skipped = F.array_sort(F.concat(F.transform("listed", lambda s: s["ordinal"]), F.array("_own")))
     pick = (
-        F.when(F.col("listed").isNull(), F.col("_uniform"))
+        F.when(F.col("listed").isNull(), F.col("_any"))
         .when(hit.isNotNull(), hit["ordinal"])
         .otherwise(_step_over(F.col("_rest"), skipped))
     )
+    weighted = df.join(own, "ground_truth", "left").join(weights.drop("own"), "ground_truth", "left")
     return (
-        df.join(own, "ground_truth", "left")
-        .join(weights.drop("own"), "ground_truth", "left")
-        .withColumn("_uniform", _any_other(seed, key, n))
+        _with_any_other(weighted, taxonomy, seed, key)
         .withColumn("_point", point)
         .withColumn("_rest", rest)
         .withColumn("_pick", pick)
         .join(names, "_pick", "left")
-        .drop("_own", "listed", "listed_total", "rest_total", "_uniform", "_point", "_rest", "_pick")
+        .drop("_own", "listed", "listed_total", "n_rest", "rest_total", "_any", "_point", "_rest", "_pick")
     )
 
 

@@ -34,7 +34,9 @@ def spread_lookup(
     """
     if sizes is None:
         sizes = key_sizes(facts, key)
-    total = sizes.agg(F.sum("n_rows")).scalar()
+        total = facts.agg(F.count("*")).scalar()  # reads no column of the facts
+    else:
+        total = sizes.agg(F.sum("n_rows")).scalar()
     piece = F.greatest(F.ceil(total / F.lit(pieces)), F.lit(min_piece_rows))
     hot = sizes.filter(F.col("n_rows") > piece).select(
         key, F.ceil(F.col("n_rows") / piece).alias("_n_salts")
