@@ -50,9 +50,12 @@ def cache_lookup(hashed: DataFrame, live: DataFrame, row_id: str = "seq", sizes=
     return found.withColumn("cache_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def cache_misses(hashed: DataFrame, live: DataFrame) -> DataFrame:
-    """Rows without a live entry."""
-    return hashed.join(live.select("prompt_hash"), "prompt_hash", "left_anti")
+def cache_misses(hashed: DataFrame, live: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Rows without a live entry. Give ``row_id`` if prompts repeat, so that a hot one gets split."""
+    known = live.select("prompt_hash")
+    if row_id is None:
+        return hashed.join(known, "prompt_hash", "left_anti")
+    return spread_lookup(hashed, known, "prompt_hash", row_id, how="left_anti")
 
 
 def distinct_requests(hashed: DataFrame, carry=("prompt",), row_id: str = "seq") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from secondlook import fixed
 from secondlook.functions import text as tx
 from secondlook.functions.draws import draw_int, draw_unit
+from secondlook.operators.skew import spread_lookup
 from secondlook.operators.taxonomy import first_patterns
 
 
@@ -191,19 +192,22 @@ def expand_templates(
     ``rows`` has a unique integer ``key``; ``templates`` is (label, ordinal, text) with dense ordinals
     for every label of ``taxonomy``. Adds ``ground_truth`` and ``text``.
     """
-    sizes = templates.groupBy(F.col("label").alias("ground_truth")).agg(
-        F.count("*").alias("_n_texts")
+    # One entry per label; a taxonomy fits into a prompt, so it fits into a map.
+    per_label = (
+        templates.join(taxonomy.select(F.col("name").alias("label")), "label", "left_semi")
+        .groupBy("label")
+        .agg(F.count("*").alias("n"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("sizes"))
     )
     texts = templates.select(
         F.col("label").alias("ground_truth"), F.col("ordinal").alias("_ordinal"), "text"
     )
-    return (
-        assign_labels(rows, taxonomy, seed, key)
-        .join(sizes, "ground_truth", "left")
-        .withColumn("_ordinal", draw_int(seed, "template", F.col(key), F.col("_n_texts")))
-        .join(texts, ["ground_truth", "_ordinal"], "left")
-        .drop("_n_texts", "_ordinal")
+    n_texts = F.try_element_at(per_label.scalar(), F.col("ground_truth"))
+    labelled = assign_labels(rows, taxonomy, seed, key).withColumn(
+        "_ordinal", draw_int(seed, "template", F.col(key), n_texts)
     )
+    # A label with few templates repeats each of them often.
+    return spread_lookup(labelled, texts, ("ground_truth", "_ordinal"), key).drop("_ordinal")
 
 
 def generate_samples(

@@ -8,17 +8,23 @@ PIECES = 1000
 # Below this many rows a key is never worth splitting.
 MIN_PIECE_ROWS = 100_000
 
+Names = str | tuple[str, ...]
 
-def key_sizes(facts: DataFrame, key: str) -> DataFrame:
+
+def names(columns: Names) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def key_sizes(facts: DataFrame, key: Names) -> DataFrame:
     """(key, n_rows), counted map-side before the shuffle."""
-    return facts.groupBy(key).agg(F.count("*").alias("n_rows"))
+    return facts.groupBy(*names(key)).agg(F.count("*").alias("n_rows"))
 
 
 def spread_lookup(
     facts: DataFrame,
     lookup: DataFrame,
-    key: str,
-    row_id: str,
+    key: Names,
+    row_id: Names,
     sizes: DataFrame | None = None,
     how: str = "left",
     pieces: int = PIECES,
@@ -30,8 +36,9 @@ def spread_lookup(
     ceil(rows / piece) salts by a hash of ``row_id``, and its single lookup row is repeated once per
     salt. By counting, at most ``pieces`` keys can be hot and at most 2 * ``pieces`` rows are added, so
     the table of hot keys is the one thing here that may be broadcast by force. No row is dropped:
-    keys that are not hot use salt 0 on both sides.
+    keys that are not hot use salt 0 on both sides. Works for left, inner, semi and anti joins.
     """
+    keys = names(key)
     if sizes is None:
         sizes = key_sizes(facts, key)
         total = facts.agg(F.count("*")).scalar()  # reads no column of the facts
@@ -39,16 +46,16 @@ def spread_lookup(
         total = sizes.agg(F.sum("n_rows")).scalar()
     piece = F.greatest(F.ceil(total / F.lit(pieces)), F.lit(min_piece_rows))
     hot = sizes.filter(F.col("n_rows") > piece).select(
-        key, F.ceil(F.col("n_rows") / piece).alias("_n_salts")
+        *keys, F.ceil(F.col("n_rows") / piece).alias("_n_salts")
     )
     hot = F.broadcast(hot)
     salted_facts = (
-        facts.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(row_id), F.coalesce("_n_salts", F.lit(1))))
+        facts.join(hot, keys, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*names(row_id)), F.coalesce("_n_salts", F.lit(1))))
         .drop("_n_salts")
     )
     salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_n_salts", F.lit(1)) - 1)
     salted_lookup = (
-        lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_n_salts")
+        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_n_salts")
     )
-    return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")

@@ -10,10 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from secondlook import fixed
+from secondlook.operators.skew import spread_lookup
 
 
 def taxonomy_block(taxonomy: DataFrame, compact: bool = False) -> DataFrame:
-    """One row: the label list as it appears in prompts."""
+    """One row: the label list as it appears in prompts; it fits one row because it must fit a prompt."""
     if compact:
         short = F.left("definition", F.lit(fixed.COMPACT_DEFINITION_CHARS))
         line, sep = F.concat("name", F.lit(":"), short), "|"
@@ -83,14 +84,18 @@ def _preview(taxonomy: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
-def dense_ordinals(df: DataFrame, key: str, order: str, width: int = 1_000_000) -> DataFrame:
+def dense_ordinals(df: DataFrame, key: str, order: str, slice_rows: int = 1_000_000) -> DataFrame:
     """Number the rows of every key 0, 1, 2, ... by a unique integer column.
 
-    One label may hold any share of the rows, so a label is numbered in slices of the order column:
-    ranks inside a slice come from a window over at most ``width`` rows, and the start of a slice
-    from a running sum over the slice sizes, which are counted map-side.
+    One label may hold any share of the rows, so labels are numbered in equally wide slices of the order
+    column, about one per ``slice_rows`` rows of the table: ranks inside a slice come from a window over
+    that slice, and the start of a slice from a running sum over the slice sizes, which are counted
+    map-side.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+    low = df.agg(F.min(order)).scalar()
+    n_slices = F.ceil(F.count("*") / F.lit(slice_rows))
+    width = df.agg(F.ceil((F.max(order) - F.min(order) + 1) / n_slices)).scalar()
+    sliced = df.withColumn("_slice", F.floor((F.col(order) - low) / width))
     running = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         sliced.groupBy(key, "_slice")
@@ -112,7 +117,7 @@ def merge_templates(base: DataFrame, custom: DataFrame) -> DataFrame:
     Both tables are (label, ordinal, text); nothing is removed, not even equal texts.
     """
     taken = base.groupBy("label").agg((F.max("ordinal") + 1).alias("_taken"))
-    moved = custom.join(taken, "label", "left").select(
+    moved = spread_lookup(custom, taken, "label", "ordinal").select(
         "label",
         (F.col("ordinal") + F.coalesce("_taken", F.lit(0))).cast("bigint").alias("ordinal"),
         "text",

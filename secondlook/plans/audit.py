@@ -44,8 +44,8 @@ def run_audit(
 ) -> AuditRun:
     """Review, report and save a run under ``run_dir``.
 
-    ``reviewer=None`` takes the plain mock review without prompts or cache. The results are staged once,
-    because every artifact reads them.
+    ``reviewer=None`` takes the plain mock review without prompts or cache; that is a mere projection, so
+    every artifact computes it anew. Reviewed results come out of a join and are staged once.
     """
     begun = time.monotonic()
     now = time.time() if now is None else now
@@ -54,10 +54,9 @@ def run_audit(
         results = mock_review(samples)
     else:
         batch = review_batch(samples, taxonomy, reviewer, cache, now, model=model, **options)
-        results = batch.results
+        results = stage(batch.results, "results")
         if cache is not None:
             next_cache = cache_upsert(cache, cache_entries(batch.reviews, now, model=model))
-    results = stage(results, "results")
 
     settings = {
         "run_id": run_id,

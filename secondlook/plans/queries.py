@@ -432,7 +432,7 @@ def cache_lookup(spark, d):
 
 @query
 def cache_misses(spark, d):
-    return ca.cache_misses(b.hashed(spark, d).select("seq", "prompt_hash"), live_cache(spark, d))
+    return ca.cache_misses(b.hashed(spark, d).select("seq", "prompt_hash"), live_cache(spark, d), "seq")
 
 
 @query

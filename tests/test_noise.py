@@ -94,7 +94,7 @@ def test_merge_templates_appends(spark):
 def test_dense_ordinals_across_slices(spark):
     rows = [("hot" if i % 3 else "cold", i * 7) for i in range(200)]
     df = spark.createDataFrame(rows, "label string, k bigint")
-    got = ta.dense_ordinals(df, "label", "k", width=50).collect()
+    got = ta.dense_ordinals(df, "label", "k", slice_rows=20).collect()
     want = {}
     for label in ("hot", "cold"):
         for n, k in enumerate(sorted(k for lab, k in rows if lab == label)):
