@@ -310,7 +310,7 @@ def with_ctes(body: str) -> str:
 
 RESULT = (
     "seq, sample_id, text, pred_label, confidence, ground_truth, verdict, reasoning, suggested_label, explanation, "
-    "success, prompt_hash, latency_ms, cache_hit, error, _untrusted, _validation_issues"
+    "success, prompt_hash, latency_ms::VARCHAR AS latency_ms, cache_hit, error, _untrusted, _validation_issues"
 )
 CHECKED = (
     "seq, issues = '' AS is_valid, issues, final_verdict AS verdict, final_label AS label, final_reasoning AS reasoning, "
@@ -376,8 +376,9 @@ def upsert(key: str) -> str:
 def damaged() -> str:
     damage = f"({bits('damage', 'prompt_hash')} % 10)"
     fields = ", ".join(
-        f"CASE WHEN usable THEN {f} END AS {f}" for f in ("verdict", "reasoning", "suggested_label", "explanation", "success", "latency_ms")
+        f"CASE WHEN usable THEN {f} END AS {f}" for f in ("verdict", "reasoning", "suggested_label", "explanation", "success")
     )
+    fields += ", CASE WHEN usable THEN latency_ms::VARCHAR END AS latency_ms"
     return f"SELECT prompt_hash, usable, {fields} FROM (SELECT *, true AS success, {damage} > 2 AS usable FROM cache)"
 
 
@@ -419,7 +420,7 @@ CTES["scored_checked"] = (
 
 ORACLES = {
     "scan_samples": "SELECT * FROM b1",
-    "scan_taxonomy": "SELECT tax.*, n.n_rows FROM tax LEFT JOIN (SELECT ground_truth, count(*) AS n_rows FROM b0 GROUP BY 1) n ON n.ground_truth = tax.name",
+    "scan_taxonomy": "SELECT tax.*, coalesce(n.n_rows, 0) AS n_rows FROM tax LEFT JOIN (SELECT ground_truth, count(*) AS n_rows FROM b0 GROUP BY 1) n ON n.ground_truth = tax.name",
     "sink_samples_csv": "SELECT * FROM b1",
     "sink_results_json": f"SELECT * REPLACE ({redacted('text')} AS text, {redacted('reasoning')} AS reasoning) FROM mock",
     "sink_labeled_csv": f"SELECT {LABELED.format(text=redacted('text'), reasoning=redacted('reasoning'))} FROM res",
@@ -486,7 +487,7 @@ ORACLES = {
     "failed_rows": "SELECT seq, reasoning, error, success FROM failing WHERE NOT success",
     "validate_label": f"SELECT l.seq, l.suggested_label, {label_check('l.suggested_label')[1]} AS valid_label, {label_check('l.suggested_label')[2]} AS label_ok "
     f"FROM (SELECT seq, {SPELLED} AS suggested_label FROM parsed) l {label_check('l.suggested_label')[0]}",
-    "cache_lookup": "SELECT h.seq, h.prompt_hash, l.prompt_hash IS NOT NULL AS cache_hit, l.verdict, l.reasoning, l.suggested_label, l.explanation, l.latency_ms "
+    "cache_lookup": "SELECT h.seq, h.prompt_hash, l.prompt_hash IS NOT NULL AS cache_hit, l.verdict, l.reasoning, l.suggested_label, l.explanation, l.latency_ms::VARCHAR AS latency_ms "
     "FROM hashed h LEFT JOIN live l USING (prompt_hash)",
     "cache_misses": "SELECT seq, prompt_hash FROM hashed WHERE prompt_hash NOT IN (SELECT prompt_hash FROM live)",
     "miss_prompts_distinct": "SELECT prompt_hash, n_rows, seq, md5(prompt) AS prompt_md5 FROM missed",
@@ -543,7 +544,7 @@ ORACLES = {
     "expand_templates": "SELECT seq, ground_truth, text FROM expanded",
     "generate_samples": f"SELECT b1.seq, b1.id, {varied('e.seq').replace('text', 'e.text')} AS text, b1.pred_label, b1.confidence, b1.ground_truth, b1.is_misclassified FROM b1 JOIN expanded e ON e.seq = b1.seq",
     "score_prompts": "SELECT prompt_hash, n_rows, raw_response, error FROM scored",
-    "review_batch": "SELECT * FROM batch",
+    "review_batch": f"SELECT {RESULT} FROM batch",
     "review_batch_scored": "SELECT h.seq, h.id AS sample_id, h.text, h.pred_label, h.confidence, h.ground_truth, r.verdict, r.reasoning, r.suggested_label, r.explanation, r.success, "
     f"CASE WHEN r.success THEN h.prompt_hash END AS prompt_hash, r.cache_hit, r.error, true AS _untrusted, r.issues AS _validation_issues FROM hashed h JOIN ({SCORED_REVIEWS}) r USING (prompt_hash)",
     "audit_run": "SELECT pred_label, verdict, count(*) AS n_rows FROM batch GROUP BY 1, 2",

@@ -54,7 +54,9 @@ def scan_samples(spark, d):
 @query
 def scan_taxonomy(spark, d):
     used = b.labelled(spark, d).groupBy(F.col("ground_truth").alias("name")).agg(F.count("*").alias("n_rows"))
-    return tables.load_taxonomy(spark).join(used, "name", "left").select("ordinal", "name", "definition", "n_rows")
+    return tables.load_taxonomy(spark).join(used, "name", "left").select(
+        "ordinal", "name", "definition", F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+    )
 
 
 @query
@@ -285,6 +287,9 @@ def validate_preparsed(spark, d):
 
 
 def _flat_results(df: DataFrame) -> DataFrame:
+    """Issues joined; the latency, which may be null, as text (data frames turn such integers into floats)."""
+    if "latency_ms" in df.columns:
+        df = df.withColumn("latency_ms", F.col("latency_ms").cast("string"))
     return df.withColumn("_validation_issues", joined(F.col("_validation_issues")))
 
 
@@ -377,7 +382,8 @@ def response_json(spark, d):
     read = ca.response_from_json(damaged)
     r = F.col("response")
     return read.select("prompt_hash", r.isNotNull().alias("usable"), "response.verdict", "response.reasoning",
-                       "response.suggested_label", "response.explanation", "response.success", "response.latency_ms")
+                       "response.suggested_label", "response.explanation", "response.success",
+                       r["latency_ms"].cast("string").alias("latency_ms"))
 
 
 # Filters
@@ -427,7 +433,10 @@ def validate_label(spark, d):
 @query
 def cache_lookup(spark, d):
     found = ca.cache_lookup(b.hashed(spark, d).drop("prompt"), live_cache(spark, d))
-    return found.select("seq", "prompt_hash", "cache_hit", "verdict", "reasoning", "suggested_label", "explanation", "latency_ms")
+    return found.select(
+        "seq", "prompt_hash", "cache_hit", "verdict", "reasoning", "suggested_label", "explanation",
+        F.col("latency_ms").cast("string").alias("latency_ms"),
+    )
 
 
 @query

@@ -35,11 +35,12 @@ def as_samples(df: DataFrame) -> DataFrame:
 
 
 def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
-    """A small table from Python rows, of known size to the optimizer."""
+    """A small table from Python rows: of known size to the optimizer, and in one partition, so that
+    grouping it needs no shuffle."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
     arrow_types = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
     arrays = [pa.array(list(c), arrow_types[f.dataType]) for c, f in zip(columns, schema)]
-    return spark.createDataFrame(pa.table(dict(zip(schema.names, arrays))), schema)
+    return spark.createDataFrame(pa.table(dict(zip(schema.names, arrays))), schema).coalesce(1)
 
 
 def load_taxonomy(spark: SparkSession, rows=fixed.DEFAULT_TAXONOMY) -> DataFrame:
