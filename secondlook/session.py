@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="secondlook-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="secondlook-")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
