@@ -7,6 +7,7 @@ from secondlook import fixed
 
 # Whitespace is Unicode whitespace plus the four information separators (U+001C..U+001F).
 WS = r"[\s\x1c-\x1f]"
+NOT_WS = r"[^\s\x1c-\x1f]"
 
 
 def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -15,8 +16,12 @@ def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
 
 
 def trim_ws(c: Column) -> Column:
-    """Strip any whitespace from both ends; plain ``trim`` strips only spaces."""
-    return F.regexp_replace(c, unicode_regex(rf"\A{WS}+|{WS}+\z"), "")
+    """Strip any whitespace from both ends; plain ``trim`` strips only spaces.
+
+    The pattern takes all and gives back trailing whitespace, which is linear even in texts with very
+    long runs of blanks.
+    """
+    return F.regexp_extract(c, rf"(?sU)\A{WS}*(.*{NOT_WS})?", 1)
 
 
 def capitalize(c: Column) -> Column:

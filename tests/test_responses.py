@@ -1,8 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from secondlook import fixed
 from secondlook.functions.patterns import has_injection, injection_ordinals, pii_flags
+from secondlook.functions.text import trim_ws
 from secondlook.operators.responses import (
     check_lengths,
     normalize_verdict,
@@ -50,6 +53,16 @@ def test_parse_response(spark):
         assert got[i] == expected, raw
 
 
+def test_trim_is_linear_in_long_blank_runs(spark):
+    cases = [("  a  b \t\n", "a  b"), (" \u00a0\u2003x\x1f", "x"), ("\n \n", ""), ("", ""), (None, None),
+             ("a\nb\n", "a\nb"), (" " * 200_000 + "x" + " " * 200_000 + "y", "x" + " " * 200_000 + "y")]
+    df = spark.createDataFrame(cases, "t string, want string")
+    begun = time.monotonic()
+    for r in df.withColumn("got", trim_ws(F.col("t"))).collect():
+        assert r["got"] == r["want"]
+    assert time.monotonic() - begun < 20
+
+
 def test_normalize_verdict(spark):
     cases = [(" correct ", "Correct"), ("INCORRECT\n", "Incorrect"), ("uncertain", "Uncertain"),
              ("Maybe", "Uncertain"), ("", "Uncertain"), (None, "Uncertain"), ("[Correct]", "Uncertain")]
