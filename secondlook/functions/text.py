@@ -83,10 +83,10 @@ def number_text(c: Column) -> Column:
     )
 
 
-def variations(c: Column) -> Column:
-    """The seven ways a template sentence may be written, as an array of (variant, text)."""
+def _forms(c: Column) -> list[tuple[str, Column]]:
+    """The seven ways a template sentence may be written."""
     lowered_start = F.concat(F.lower(F.left(c, F.lit(1))), F.substring(c, 2, 2**31 - 1))
-    forms = (
+    return [
         ("plain", c),
         ("lower", F.lower(c)),
         ("greeting", F.concat(F.lit("Hi, "), lowered_start)),
@@ -94,22 +94,20 @@ def variations(c: Column) -> Column:
         ("letter", F.concat(F.lit("Hello, "), lowered_start, F.lit(" Best regards."))),
         ("urgent", F.concat(F.lit("URGENT: "), c)),
         ("exclaim", F.replace(c, F.lit("."), F.lit("!"))),
-    )
-    return F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("text")) for n, t in forms])
+    ]
 
 
 N_VARIATIONS = 7
 
 
+def variations(c: Column) -> Column:
+    """All forms of a text, as an array of (variant, text)."""
+    return F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("text")) for n, t in _forms(c)])
+
+
 def variation(c: Column, pick: Column) -> Column:
-    """The ``pick``-th (0-based) variation of a text; only the chosen form is built."""
-    lowered_start = F.concat(F.lower(F.left(c, F.lit(1))), F.substring(c, 2, 2**31 - 1))
-    return (
-        F.when(pick == 0, c)
-        .when(pick == 1, F.lower(c))
-        .when(pick == 2, F.concat(F.lit("Hi, "), lowered_start))
-        .when(pick == 3, F.concat(c, F.lit(" Thanks.")))
-        .when(pick == 4, F.concat(F.lit("Hello, "), lowered_start, F.lit(" Best regards.")))
-        .when(pick == 5, F.concat(F.lit("URGENT: "), c))
-        .when(pick == 6, F.replace(c, F.lit("."), F.lit("!")))
-    )
+    """The ``pick``-th (0-based) form of a text; only the chosen form is built."""
+    chosen = F.when(F.lit(False), c)
+    for i, (_, form) in enumerate(_forms(c)):
+        chosen = chosen.when(pick == i, form)
+    return chosen

@@ -303,9 +303,8 @@ def with_ctes(body: str) -> str:
                 visit(CTES[name])
 
     visit(body)
-    picked = [sql for name, sql in CTES.items() if name in needed]
-    order = sorted(needed, key=list(CTES).index)
-    return ("WITH " + ", ".join(CTES[n] for n in order) + " " if picked else "") + body
+    used = [CTES[name] for name in sorted(needed, key=list(CTES).index)]
+    return ("WITH " + ", ".join(used) + " " if used else "") + body
 
 
 RESULT = (
@@ -389,13 +388,9 @@ LABELED = (
 
 
 def report_rows() -> str:
-    names = ", ".join(
-        f"('{v}', count(*) FILTER (verdict = '{v}'))" for v in fixed.VERDICTS
-    )
     counted = " UNION ALL ".join(
         f"SELECT '{v}' AS v, count(*) FILTER (verdict = '{v}') AS n, count(*) AS total FROM mock" for v in fixed.VERDICTS
     )
-    del names
     return (
         "SELECT '| Verdict | Count | Percentage |' AS line UNION ALL SELECT '| Label | Count |' UNION ALL "
         f"SELECT printf('| %s | %d | %.1f%% |', v, n, CASE WHEN total > 0 THEN n / total::DOUBLE * 100 ELSE 0.0::DOUBLE END) FROM ({counted}) "
