@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from secondlook.llm.common import table
 
 #: Matches whose ids a task keeps at hand; the store starts anew beyond that.
-KEPT = 400_000
+KEPT = 300_000
 #: Matches of up to so many bytes are merged side by side and may be kept.
 SHORT = 64
 #: Characters of text that are split before their new matches get encoded.
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 20
 _NONE = 1 << 62
 _LONG_GAP = re.compile(r"\s{3}|\s\s\Z").search
 

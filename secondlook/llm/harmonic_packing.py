@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ FAN_IN = 64
 SLACK_IDS, SLACK_PART = 8, 0.01
 #: Words whose ids a task keeps at hand; the store starts anew beyond that.
 KEPT = 300_000
-STEP_CHARS = 1 << 21
+STEP_CHARS = 1 << 19
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -82,28 +83,50 @@ def first_fit(pieces: list[tuple], capacity: int = CAPACITY) -> list[list[tuple]
     return bins
 
 
+@lru_cache(1)
+def tokenizer_of(path: str) -> "WordTokenizer":
+    """One per Python worker, so that later tasks find what earlier ones have learned."""
+    return WordTokenizer(path)
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space: equal words are encoded once."""
+    """Ids of whole texts by a tokenizer whose pieces never cross white space: equal words are encoded once.
+
+    The tokenizer lower-cases and splits punctuation off, so a word that ends in a letter and the marks after it are
+    encoded apart.
+    """
+
+    MARKS = ".,;:!?|*#$%&"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # as they stand in texts
+        self.parts: dict[str, bytes] = {}  # lower-cased, without marks
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        for store in (self.kept, self.parts):
+            if len(store) > KEPT:
+                store.clear()
         words = [t.split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.kept))
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-            new = list(set().union(*words))
+        cut = {w: self._cut(w) for w in set().union(*words).difference(self.kept)}
+        new = list({part for pair in cut.values() for part in pair}.difference(self.parts))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.kept[w] = array("I", e.ids).tobytes()
+                self.parts[w] = array("I", e.ids).tobytes()
+        for w, (core, marks) in cut.items():
+            self.kept[w] = self.parts[core] + self.parts[marks]
         return [b"".join([self.kept[w] for w in ws]) for ws in words]
 
+    def _cut(self, word: str) -> tuple[str, str]:
+        core = word.rstrip(self.MARKS)
+        if not core or not core[-1].isalpha() or "<|" in core:  # the latter may begin a special token
+            return word, ""
+        return core.lower() if core.isascii() else core, word[len(core) :]
+
 
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, level int"
@@ -134,7 +157,7 @@ class _Rows:
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    tokenizer, bins, rows, end = WordTokenizer(vocabulary), Bins(), _Rows(0), array("I", [END_ID]).tobytes()
+    tokenizer, bins, rows, end = tokenizer_of(vocabulary), Bins(), _Rows(0), array("I", [END_ID]).tobytes()
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for some in _parts(list(zip(batch.column("doc_id").to_pylist(), texts))):

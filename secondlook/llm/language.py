@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script with at least this share of its training letters.
 MIN_SHARE = 0.01
-STEP_CHARS = 1 << 19
+STEP_CHARS = 1 << 18
 
 #: First code points of script ranges with the script's number; 0 is "any other".
 SCRIPT_RANGES = (
