@@ -112,7 +112,12 @@ class WordTokenizer:
                 store.clear()
         words = [t.split(" ") for t in texts]
         cut = {w: self._cut(w) for w in set().union(*words).difference(self.kept)}
-        new = list({part for pair in cut.values() for part in pair}.difference(self.parts))
+        new = []
+        for part in {part for pair in cut.values() for part in pair}.difference(self.parts):
+            if part.isascii() and part.isalpha() and part.islower():  # nothing to normalise or to split
+                self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+            else:
+                new.append(part)
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
