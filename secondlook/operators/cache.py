@@ -58,22 +58,27 @@ def cache_misses(hashed: DataFrame, live: DataFrame, row_id: str | None = None)
     return spread_lookup(hashed, known, "prompt_hash", row_id, how="left_anti")
 
 
-def distinct_requests(hashed: DataFrame, carry=("prompt",), row_id: str = "seq") -> DataFrame:
-    """One scoring request per distinct prompt, with the number of rows that wait for it.
+def distinct_requests(
+    hashed: DataFrame, carry=("prompt",), row_id: str = "seq", keys=("prompt_hash",)
+) -> DataFrame:
+    """One scoring request per distinct prompt (or ``keys``), with the number of rows that wait for it.
 
     The carried columns come from the first row of the prompt. Duplicates shrink map-side, so a prompt
     that a third of all rows share reaches the reducer once per map task.
     """
     first = F.min_by(F.struct(row_id, *carry), row_id).alias("_first")
-    return hashed.groupBy("prompt_hash").agg(F.count("*").alias("n_rows"), first).select(
-        "prompt_hash", "n_rows", "_first.*"
-    )
+    return hashed.groupBy(*keys).agg(F.count("*").alias("n_rows"), first).select(*keys, "n_rows", "_first.*")
 
 
 def cache_entries(
     reviews: DataFrame, now: float, version: str = fixed.PROMPT_VERSION, model: str = fixed.DEFAULT_MODEL
 ) -> DataFrame:
-    """Cache rows of successful fresh reviews (one row per prompt); failures are never stored."""
+    """Cache rows of successful fresh reviews (one row per prompt).
+
+    Neither failures are stored nor answers that depend on more than the prompt (``cacheable`` is false).
+    """
+    if "cacheable" in reviews.columns:
+        reviews = reviews.filter("cacheable")
     fields = [F.col(n).cast(schemas.CACHE_RESPONSE[n].dataType).alias(n)
               for n in schemas.CACHE_RESPONSE.names]
     return reviews.filter("success AND NOT cache_hit").select(
@@ -92,16 +97,14 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, key=("prompt_hash",)) -> Da
     The key is the hash alone, so an entry of another version or model is replaced too; pass
     ``("prompt_hash", "version", "model")`` to keep them side by side.
     """
-    old = cache.select(*schemas.CACHE.names, F.lit(0).alias("_new"))
-    new = fresh.withColumn("hit_count", F.lit(0).cast("bigint")).select(
-        *schemas.CACHE.names, F.lit(1).alias("_new")
-    )
+    new = fresh.withColumn("hit_count", F.lit(0).cast("bigint")).select(*schemas.CACHE.names)
     # The trailing columns only make the choice between equally old entries reproducible.
-    rank = F.struct("_new", "created_at", "version", "model", "response")
+    rank = F.struct("created_at", "version", "model", "response")
     kept = F.max_by(F.struct(*schemas.CACHE.names), rank)
-    return (
-        old.unionByName(new).groupBy(*key).agg(kept.alias("_kept")).select("_kept.*")
-    )
+    newest = new.groupBy(*key).agg(kept.alias("_kept")).select("_kept.*")
+    # The stored responses neither sort nor meet the new ones: only keys are compared.
+    rest = cache.select(*schemas.CACHE.names).join(newest.select(*key), list(key), "left_anti")
+    return rest.select(*schemas.CACHE.names).unionByName(newest)
 
 
 def cache_expire(cache: DataFrame, now: float, ttl_seconds: float = fixed.CACHE_TTL_SECONDS) -> DataFrame:

@@ -1,6 +1,6 @@
 """Counts and tables over review results."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from secondlook import fixed
@@ -105,3 +105,59 @@ def correction_snippets(results: DataFrame) -> DataFrame:
 def top_corrections(results: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` corrections in input order; each task keeps only its own first ``k``."""
     return correction_snippets(results).orderBy("seq").limit(k)
+
+
+def confusion_matrix(results: DataFrame) -> DataFrame:
+    """Rows per predicted and corrected label."""
+    corrected = with_corrected_label(results)
+    return corrected.groupBy("pred_label", "corrected_label").agg(F.count("*").alias("n_rows"))
+
+
+def worst_labels(results: DataFrame) -> DataFrame:
+    """Predicted labels by their share of Incorrect rows, the highest first; equal shares have one rank."""
+    shares = results.groupBy("pred_label").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("verdict") == fixed.INCORRECT).alias("incorrect")
+    ).withColumn("incorrect_rate", F.col("incorrect") / F.col("n_rows"))
+    # One row per label.
+    return shares.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("incorrect_rate"))))
+
+
+def escalation_queue(results: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Rows for a human: Uncertain, or predicted with less confidence than ``threshold``; the least sure first."""
+    open_rows = results.filter((F.col("verdict") == fixed.UNCERTAIN) | (F.col("confidence") < threshold))
+    return open_rows.orderBy(F.asc_nulls_first("confidence"), "seq")
+
+
+def reviewer_agreement(results: DataFrame) -> DataFrame:
+    """One row: how the reviewer's verdicts and suggestions compare with the known truth (rows without it left out)."""
+    wrong = F.col("pred_label") != F.col("ground_truth")
+    flagged = F.col("verdict") == fixed.INCORRECT
+    counts = results.filter("ground_truth IS NOT NULL AND pred_label IS NOT NULL").agg(
+        F.count("*").alias("total"),
+        F.count_if(wrong & flagged).alias("true_positives"),
+        F.count_if(~wrong & flagged).alias("false_positives"),
+        F.count_if(wrong & ~F.coalesce(flagged, F.lit(False))).alias("false_negatives"),
+        F.count_if(flagged & (F.col("suggested_label") == F.col("ground_truth"))).alias("right_suggestions"),
+    )
+    def share(part, of):
+        return F.when(of > 0, part / of).otherwise(F.lit(0.0))
+
+    hits = F.col("true_positives")
+    return counts.withColumns(
+        {
+            "precision": share(hits, hits + F.col("false_positives")),
+            "recall": share(hits, hits + F.col("false_negatives")),
+        }
+    )
+
+
+def latency_summary(results: DataFrame) -> DataFrame:
+    """One row over freshly scored rows: count, mean, exact median and 95th percentile, greatest latency."""
+    fresh = results.filter("success AND NOT cache_hit AND latency_ms IS NOT NULL")
+    return fresh.agg(
+        F.count("*").alias("n_rows"),
+        F.avg("latency_ms").alias("mean_ms"),
+        F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"),
+        F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"),
+        F.max("latency_ms").alias("max_ms"),
+    )

@@ -68,35 +68,37 @@ class Reviewer:
     """How distinct requests get answered.
 
     ``needs`` names the sample columns a request must carry; ``answer`` adds (raw_response, latency_ms,
-    error) to the requests whose ``cached`` is null and passes the others on.
+    error) to requests that the cache did not answer. ``outside`` names columns that the answer depends on
+    though the prompt does not hold them: rows with one prompt but different values there are asked
+    separately, and such answers are not for the cache.
     """
 
     needs: tuple[str, ...]
     answer: Callable[[DataFrame], DataFrame]
+    outside: tuple[str, ...] = ()
 
 
 def _mock_answers(requests: DataFrame) -> DataFrame:
     fields = mock_fields(F.col("pred_label"), F.col("ground_truth"), F.col("is_misclassified"))
     return requests.withColumns(
         {
-            "raw_response": F.when(F.col("cached").isNull(), rendered_answer(fields)),
+            "raw_response": rendered_answer(fields),
             "latency_ms": F.lit(0).cast("bigint"),
             "error": F.lit(None).cast("string"),
         }
     )
 
 
-MOCK_REVIEWER = Reviewer(("pred_label", "ground_truth", "is_misclassified"), _mock_answers)
+MOCK_REVIEWER = Reviewer(
+    ("pred_label", "ground_truth", "is_misclassified"), _mock_answers, ("ground_truth", "is_misclassified")
+)
 
 
 def scoring_reviewer(make_scorer, **options) -> Reviewer:
     """A reviewer that sends prompts to a scorer; options as in ``score_prompts``."""
 
     def answer(requests: DataFrame) -> DataFrame:
-        open_prompts = F.when(F.col("cached").isNull(), F.col("prompt"))
-        return scoring.score_prompts(
-            requests.withColumn("prompt", open_prompts), make_scorer, **options
-        )
+        return scoring.score_prompts(requests, make_scorer, **options)
 
     return Reviewer(("prompt",), answer)
 
@@ -176,7 +178,7 @@ def union_results(*parts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class BatchReview:
-    """``reviews``: one row per distinct prompt (``n_rows`` samples wait for it); ``results``: one row
+    """``reviews``: one row per distinct request (``n_rows`` samples wait for it); ``results``: one row
     per sample."""
 
     reviews: DataFrame
@@ -184,17 +186,41 @@ class BatchReview:
 
 
 REVIEW_COLUMNS = (
-    "prompt_hash", "n_rows", "verdict", "reasoning", "suggested_label", "explanation", "success",
-    "latency_ms", "cache_hit", "error", "_untrusted", "_validation_issues",
+    "request", "prompt_hash", "n_rows", "verdict", "reasoning", "suggested_label", "explanation", "success",
+    "latency_ms", "cache_hit", "error", "_untrusted", "_validation_issues", "suspicious", "label_rejected", "cacheable",
 )
 
 
+def request_key(outside: tuple[str, ...]) -> Column:
+    """What rows share that get one answer: the prompt, and the columns outside it that the answer depends on."""
+    if not outside:
+        return F.col("prompt_hash")
+    values = F.to_json(F.struct(*outside), {"ignoreNullFields": "false"})
+    return F.md5(F.concat(F.col("prompt_hash"), F.lit(":"), values))
+
+
+def answered_requests(requests: DataFrame, found: DataFrame | None, reviewer: Reviewer) -> DataFrame:
+    """Requests with ``cached`` or an answer: only those that the cache lacks reach the reviewer."""
+    nothing = F.lit(None)
+    if found is None:
+        return reviewer.answer(requests).withColumn("cached", nothing.cast(schemas.CACHE_RESPONSE))
+    missed = reviewer.answer(requests.join(found, "prompt_hash", "left_anti"))
+    hits = requests.join(found, "prompt_hash").drop("prompt").withColumns(
+        {
+            "raw_response": nothing.cast("string"),
+            "latency_ms": nothing.cast("bigint"),
+            "error": nothing.cast("string"),
+        }
+    )
+    return missed.drop("prompt").withColumn("cached", nothing.cast(schemas.CACHE_RESPONSE)).unionByName(hits)
+
+
 def review_batch(
     samples: DataFrame,
     taxonomy: DataFrame,
     reviewer: Reviewer = MOCK_REVIEWER,
     cache: DataFrame | None = None,
-    now: float = 0.0,
+    now: float | None = None,
     version: str = fixed.PROMPT_VERSION,
     model: str = fixed.DEFAULT_MODEL,
     ttl_seconds: float = fixed.CACHE_TTL_SECONDS,
@@ -202,31 +228,37 @@ def review_batch(
     compact: bool = False,
     template: str | None = None,
 ) -> BatchReview:
-    """Review all samples: each distinct prompt is looked up once, and scored once if that fails.
+    """Review all samples: each distinct request is looked up once, and scored once if that fails.
 
     1. Reduce the samples to distinct requests (map-side, so copies do not travel).
-    2. Look the requests up in the cache; both sides have one row per hash, so nothing is skewed.
-    3. Answer the misses, parse, validate, and write the reviews to the shared folder: a lost executor
+    2. Look the requests up in the cache by their prompts' hashes; ``now`` decides what has expired.
+    3. Answer the misses alone, parse, validate, and write the reviews to the shared folder: a lost executor
        must not repeat scoring calls, and the next step reads the reviews more than once.
     4. Hand the reviews back to the samples, hot prompts split.
     """
+    if cache is not None and now is None:
+        raise ValueError("a cache needs the time of the review: pass now")
     hashed = with_prompt_hash(samples, taxonomy, version, compact, template)
     for name in schemas.OPTIONAL_SAMPLE_COLUMNS:
         if name not in hashed.columns:
             hashed = hashed.withColumn(name, F.lit(None).cast(schemas.SAMPLES[name].dataType))
-    requests = distinct_requests(hashed, reviewer.needs)
-    if cache is None:
-        looked = requests.withColumn("cached", F.lit(None).cast(schemas.CACHE_RESPONSE))
-    else:
+    hashed = hashed.withColumn("request", request_key(reviewer.outside))
+    requests = distinct_requests(hashed, reviewer.needs, keys=("request", "prompt_hash"))
+    found = None
+    if cache is not None:
         live = live_entries(cache, now, version, model, ttl_seconds)
         found = live.select("prompt_hash", F.col("response").alias("cached"))
-        looked = requests.join(found, "prompt_hash", "left")
 
-    answered = parse_response(reviewer.answer(looked))
+    answered = parse_response(answered_requests(requests, found, reviewer))
     validated = validate_output(answered, taxonomy, strict)
-    reviews = stage(assemble_reviews(validated).select(*REVIEW_COLUMNS), "reviews")
+    counted = {
+        "suspicious": F.col("cached").isNull() & F.col("error").isNull() & F.coalesce("checked.suspicious", F.lit(False)),
+        "label_rejected": F.col("cached").isNull() & F.col("error").isNull() & F.coalesce("checked.label_rejected", F.lit(False)),
+        "cacheable": F.lit(not reviewer.outside),
+    }
+    reviews = stage(assemble_reviews(validated).withColumns(counted).select(*REVIEW_COLUMNS), "reviews")
 
-    rows = hashed.withColumnRenamed("id", "sample_id").drop("prompt", "is_misclassified")
-    sizes = reviews.select("prompt_hash", "n_rows")
-    joined = spread_lookup(rows, reviews.drop("n_rows"), "prompt_hash", "seq", sizes, how="inner")
+    rows = hashed.withColumnRenamed("id", "sample_id").drop("prompt", "prompt_hash", "is_misclassified")
+    sizes = reviews.select("request", "n_rows")
+    joined = spread_lookup(rows, reviews.drop("n_rows"), "request", "seq", sizes, how="inner")
     return BatchReview(reviews, _result_columns(joined))

@@ -74,23 +74,21 @@ def score_prompts(
 
     All other columns pass through as Arrow data, untouched; a null prompt stays unanswered.
     ``make_scorer`` runs once per task, so connections and models are set up there. ``concurrency``
-    deals the requests out evenly over that many tasks. A batch that fails is retried prompt by prompt,
-    so one bad prompt yields one row with ``error`` and never a failed job.
+    deals the requests out evenly over that many tasks. A batch waits and tries again while its failure is
+    transient; a service that stays overloaded gets no more calls for it. After any other failure the batch is
+    halved, so one bad prompt yields one row with ``error`` and never a failed job.
     """
 
-    def answer_one(scorer: Scorer, prompt: str):
+    def answer_batch(scorer: Scorer, prompts: list[str]):
+        if not prompts:
+            return []
         try:
-            return call_with_retry(scorer, [prompt], max_retries, base_seconds)[0], None
+            return [(a, None) for a in call_with_retry(scorer, prompts, max_retries, base_seconds)]
         except Exception as problem:
-            return None, str(problem)
-
-    def answer_batch(scorer: Scorer, prompts: list[str]):
-        if len(prompts) > 1:
-            try:
-                return [(a, None) for a in call_with_retry(scorer, prompts, 1, base_seconds)]
-            except Exception:
-                pass
-        return [answer_one(scorer, p) for p in prompts]
+            if len(prompts) == 1 or is_transient(problem):
+                return [(None, str(problem))] * len(prompts)
+        half = len(prompts) // 2
+        return answer_batch(scorer, prompts[:half]) + answer_batch(scorer, prompts[half:])
 
     def answer_part(scorer: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
         prompts = part.column("prompt").to_pylist()

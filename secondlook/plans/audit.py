@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secondlook import fixed
-from secondlook.operators.cache import cache_entries, cache_upsert
+from secondlook.operators.cache import cache_entries, cache_expire, cache_touch, cache_upsert
 from secondlook.operators.metrics import label_verdicts, verdict_metrics
 from secondlook.operators.privacy import pii_summary
 from secondlook.operators.review import MOCK_REVIEWER, Reviewer, mock_review, review_batch
@@ -20,6 +20,15 @@ def audit(samples: DataFrame, taxonomy: DataFrame, **options) -> DataFrame:
     return label_verdicts(review_batch(samples, taxonomy, **options).results)
 
 
+def next_snapshot(
+    cache: DataFrame, reviews: DataFrame, now: float, version: str, model: str, ttl_seconds: float
+) -> DataFrame:
+    """The cache after a batch: without expired entries, hits counted, fresh answers stored."""
+    kept = cache_expire(cache, now, ttl_seconds)
+    touched = cache_touch(kept, reviews.filter("cache_hit"), version, model)
+    return cache_upsert(touched, cache_entries(reviews, now, version, model))
+
+
 @dataclass(frozen=True)
 class AuditRun:
     summary: DataFrame
@@ -39,6 +48,8 @@ def run_audit(
     cache: DataFrame | None = None,
     now: float | None = None,
     model: str = fixed.DEFAULT_MODEL,
+    version: str = fixed.PROMPT_VERSION,
+    ttl_seconds: float = fixed.CACHE_TTL_SECONDS,
     redacted: bool = False,
     **options,
 ) -> AuditRun:
@@ -53,10 +64,12 @@ def run_audit(
     if reviewer is None:
         results = mock_review(samples)
     else:
-        batch = review_batch(samples, taxonomy, reviewer, cache, now, model=model, **options)
+        batch = review_batch(
+            samples, taxonomy, reviewer, cache, now, version, model, ttl_seconds, **options
+        )
         results = stage(batch.results, "results")
         if cache is not None:
-            next_cache = cache_upsert(cache, cache_entries(batch.reviews, now, model=model))
+            next_cache = next_snapshot(cache, batch.reviews, now, version, model, ttl_seconds)
 
     settings = {
         "run_id": run_id,

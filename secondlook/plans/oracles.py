@@ -275,13 +275,14 @@ CTES = {
     "'REASONING: ' || length(prompt) || ' characters' END AS raw_response, CASE WHEN length(prompt) % 11 = 0 THEN 'refused' END AS error FROM requests)",
     # Mock answers and scorer answers only trip the check on a label or a pattern within a label or name.
     "mocked": f"mocked AS (SELECT m.*, {validate_columns()} FROM (SELECT *, {parse_columns()} FROM (SELECT *, "
-    f"{render(MOCK['verdict'], MOCK['reasoning'], MOCK['suggested'], MOCK['explanation'])} AS raw_response FROM missed)) m {LABEL_JOIN})",
-    "reviewed": "reviewed AS (SELECT prompt_hash, verdict, reasoning, suggested_label, explanation, latency_ms, true AS cache_hit, "
-    "NULL::VARCHAR AS issues FROM live UNION ALL SELECT prompt_hash, final_verdict, final_reasoning, final_label, final_explanation, "
+    f"{render(MOCK['verdict'], MOCK['reasoning'], MOCK['suggested'], MOCK['explanation'])} AS raw_response FROM hashed "
+    f"WHERE prompt_hash NOT IN (SELECT prompt_hash FROM live))) m {LABEL_JOIN})",
+    "reviewed": "reviewed AS (SELECT h.seq, l.verdict, l.reasoning, l.suggested_label, l.explanation, l.latency_ms, true AS cache_hit, "
+    "NULL::VARCHAR AS issues FROM live l JOIN hashed h USING (prompt_hash) UNION ALL SELECT seq, final_verdict, final_reasoning, final_label, final_explanation, "
     "0, false, nullif(issues, '') FROM mocked)",
     "batch": "batch AS (SELECT h.seq, h.id AS sample_id, h.text, h.pred_label, h.confidence, h.ground_truth, r.verdict, r.reasoning, "
     "r.suggested_label, r.explanation, true AS success, h.prompt_hash, r.latency_ms, r.cache_hit, NULL::VARCHAR AS error, "
-    "true AS _untrusted, r.issues AS _validation_issues FROM hashed h JOIN reviewed r USING (prompt_hash))",
+    "true AS _untrusted, r.issues AS _validation_issues FROM hashed h JOIN reviewed r USING (seq))",
     "src": "src AS (SELECT source AS name, min(doc_id) AS ordinal, count(*) || ' texts from one crawl' AS definition FROM documents GROUP BY source)",
     "pairs": "pairs AS (SELECT ground_truth AS actual, pred_label AS confused, min(seq) AS ordinal, count(*) AS n_rows FROM b1 "
     "WHERE is_misclassified GROUP BY 1, 2)",
@@ -359,9 +360,8 @@ TOP3 = (
 )
 BATCH_FRESH = (
     f"fresh AS (SELECT prompt_hash, '{fixed.PROMPT_VERSION}' AS version, '{b.MODEL}' AS model, {b.NOW}::DOUBLE AS created_at, 0::BIGINT AS hit_count, "
-    "final_verdict AS verdict, final_label AS suggested_label FROM mocked)"
+    "final_verdict AS verdict, final_label AS suggested_label FROM scored_checked WHERE error IS NULL)"
 )
-CTES["fresh"] = BATCH_FRESH
 CACHE_COLUMNS = "prompt_hash, version, model, created_at, hit_count, verdict, suggested_label"
 
 
@@ -412,6 +412,7 @@ CTES["scored_checked"] = (
     f"scored_checked AS (SELECT m.*, {validate_columns()} FROM (SELECT * REPLACE (coalesce(raw_response, '') AS raw_response), {parse_columns()} FROM scored "
     f"WHERE prompt_hash NOT IN (SELECT prompt_hash FROM live)) m {LABEL_JOIN})"
 )
+CTES["fresh"] = BATCH_FRESH
 
 ORACLES = {
     "scan_samples": "SELECT * FROM b1",
@@ -488,7 +489,7 @@ ORACLES = {
     "miss_prompts_distinct": "SELECT prompt_hash, n_rows, seq, md5(prompt) AS prompt_md5 FROM missed",
     "review_join_back": "SELECT h.seq, h.id AS sample_id, h.prompt_hash, r.final_verdict AS verdict, r.final_label AS suggested_label, h.ground_truth "
     f"FROM hashed h JOIN (SELECT m.*, {validate_columns()} FROM (SELECT *, {parse_columns()} FROM (SELECT *, "
-    f"{render(MOCK['verdict'], MOCK['reasoning'], MOCK['suggested'], MOCK['explanation'])} AS raw_response FROM requests)) m {LABEL_JOIN}) r USING (prompt_hash)",
+    f"{render(MOCK['verdict'], MOCK['reasoning'], MOCK['suggested'], MOCK['explanation'])} AS raw_response FROM hashed)) m {LABEL_JOIN}) r USING (seq)",
     "static_confusion": "SELECT seq, ground_truth, confused FROM static",
     "label_membership": "SELECT seq, suggested_label AS label, coalesce(suggested_label IN (SELECT name FROM tax), false) AS known FROM parsed",
     "verdict_metrics": metrics("res"),
@@ -543,6 +544,21 @@ ORACLES = {
     "review_batch_scored": "SELECT h.seq, h.id AS sample_id, h.text, h.pred_label, h.confidence, h.ground_truth, r.verdict, r.reasoning, r.suggested_label, r.explanation, r.success, "
     f"CASE WHEN r.success THEN h.prompt_hash END AS prompt_hash, r.cache_hit, r.error, true AS _untrusted, r.issues AS _validation_issues FROM hashed h JOIN ({SCORED_REVIEWS}) r USING (prompt_hash)",
     "audit_run": "SELECT pred_label, verdict, count(*) AS n_rows FROM batch GROUP BY 1, 2",
+    "audit_pipeline": f"SELECT h.pred_label, r.verdict, count(*) AS n_rows FROM hashed h JOIN ({SCORED_REVIEWS}) r USING (prompt_hash) GROUP BY 1, 2",
+    "audit_next_cache": f"SELECT prompt_hash, version, model, created_at, (prompt_hash IN (SELECT prompt_hash FROM live))::BIGINT AS hit_count, verdict, suggested_label FROM cache "
+    f"WHERE NOT ({b.NOW} - created_at > {fixed.CACHE_TTL_SECONDS}) AND prompt_hash NOT IN (SELECT prompt_hash FROM fresh) "
+    f"UNION ALL SELECT {CACHE_COLUMNS} FROM fresh",
+    "confusion_matrix": "SELECT pred_label, coalesce(nullif(suggested_label, ''), pred_label) AS corrected_label, count(*) AS n_rows FROM res GROUP BY 1, 2",
+    "worst_labels": "SELECT *, dense_rank() OVER (ORDER BY incorrect_rate DESC)::INTEGER AS rank FROM (SELECT pred_label, count(*) AS n_rows, "
+    "count(*) FILTER (verdict = 'Incorrect') AS incorrect, incorrect / n_rows::DOUBLE AS incorrect_rate FROM res GROUP BY 1)",
+    "escalation_queue": "SELECT seq, sample_id, pred_label, confidence, verdict FROM res WHERE verdict = 'Uncertain' OR confidence < 0.7",
+    "reviewer_agreement": "SELECT *, CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives)::DOUBLE ELSE 0.0::DOUBLE END AS precision, "
+    "CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives)::DOUBLE ELSE 0.0::DOUBLE END AS recall FROM ("
+    "SELECT count(*) AS total, count(*) FILTER (w AND f) AS true_positives, count(*) FILTER (NOT w AND f) AS false_positives, "
+    "count(*) FILTER (w AND NOT f) AS false_negatives, count(*) FILTER (f AND suggested_label = ground_truth) AS right_suggestions "
+    "FROM (SELECT *, pred_label <> ground_truth AS w, coalesce(verdict = 'Incorrect', false) AS f FROM res WHERE ground_truth IS NOT NULL AND pred_label IS NOT NULL))",
+    "latency_summary": "SELECT count(*) AS n_rows, avg(latency_ms) AS mean_ms, quantile_cont(latency_ms, 0.5)::DOUBLE AS median_ms, "
+    "quantile_cont(latency_ms, 0.95)::DOUBLE AS p95_ms, max(latency_ms) AS max_ms FROM failing WHERE success",
     "stream_audit": f"SELECT lang, {any_pattern('text')} AS suspicious, {ANY_PII} AS has_pii, count(*) AS n_rows FROM documents GROUP BY 1, 2, 3",
 }
 

@@ -608,15 +608,13 @@ def _cache_columns(df: DataFrame) -> DataFrame:
     return df.select("prompt_hash", "version", "model", "created_at", "hit_count", "response.verdict", "response.suggested_label")
 
 
-def _fresh_entries(spark, d) -> DataFrame:
-    """Mock reviews of the missed prompts, as new cache entries."""
-    requests = ca.distinct_requests(b.hashed(spark, d), review.MOCK_REVIEWER.needs)
-    missed = ca.cache_misses(requests, live_cache(spark, d)).withColumn(
-        "cached", F.lit(None).cast(schemas.CACHE_RESPONSE)
+def _fresh_entries(spark: SparkSession, d: str) -> DataFrame:
+    """What a scored batch adds to the cache."""
+    reviewer = review.scoring_reviewer(_counting_scorer, concurrency=8)
+    batch = review.review_batch(
+        b.samples(spark, d), tables.load_taxonomy(spark), reviewer, cache=b.cache(spark, d), now=b.NOW, model=b.MODEL
     )
-    answered = responses.parse_response(review.MOCK_REVIEWER.answer(missed))
-    checked = responses.validate_output(answered, tables.load_taxonomy(spark))
-    return ca.cache_entries(review.assemble_reviews(checked), b.NOW, model=b.MODEL)
+    return ca.cache_entries(batch.reviews, b.NOW, model=b.MODEL)
 
 
 @query
@@ -767,6 +765,54 @@ def audit_run(spark, d):
     )
 
 
+def _audited(spark, d):
+    """A whole run with a scorer and a cache."""
+    return audit.run_audit(
+        b.samples(spark, d), tables.load_taxonomy(spark), fresh_path(spark, "run"), RUN_ID, b.SEED,
+        review.scoring_reviewer(_counting_scorer, concurrency=8), b.cache(spark, d), b.NOW, b.MODEL,
+    )
+
+
+@query
+def audit_pipeline(spark, d):
+    return me.label_verdicts(_audited(spark, d).results)
+
+
+@query
+def audit_next_cache(spark, d):
+    """The cache that a run leaves: nothing expired, hits counted, fresh answers stored."""
+    left = _audited(spark, d).cache
+    return left.select(
+        "prompt_hash", "version", "model", "created_at", "hit_count",
+        F.col("response.verdict").alias("verdict"), F.col("response.suggested_label").alias("suggested_label"),
+    )
+
+
+@query
+def confusion_matrix(spark, d):
+    return me.confusion_matrix(b.results(spark, d))
+
+
+@query
+def worst_labels(spark, d):
+    return me.worst_labels(b.results(spark, d))
+
+
+@query
+def escalation_queue(spark, d):
+    return me.escalation_queue(b.results(spark, d)).select("seq", "sample_id", "pred_label", "confidence", "verdict")
+
+
+@query
+def reviewer_agreement(spark, d):
+    return me.reviewer_agreement(b.results(spark, d))
+
+
+@query
+def latency_summary(spark, d):
+    return me.latency_summary(b.results(spark, d, failures=True))
+
+
 @query
 def stream_audit(spark, d):
     """Documents read as a stream, checked for injections and personal data, then counted."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secondlook import fixed, schemas
+from secondlook.sources.artifacts import CSV_READ
 
 
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -16,8 +17,12 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    if fmt in ("csv", "json"):
+        # All columns as text, under the names in the header, whatever their order.
+        named = reader.options(**CSV_READ).load(path)
+        numbers = {f.name for f in schemas.SAMPLES if not isinstance(f.dataType, T.StringType)}
+        blank = {n: F.nullif(F.trim(n), F.lit("")) for n in named.columns if n in numbers}
+        return as_samples(named.withColumns(blank))
+    if fmt == "json":
         reader = reader.schema(schemas.SAMPLES)
     return as_samples(reader.load(path))
 

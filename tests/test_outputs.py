@@ -137,10 +137,14 @@ def test_run_audit_writes_all_artifacts(spark, sf, taxonomy, tmp_path, redacted)
 
 def test_run_audit_with_cache_returns_the_next_snapshot(spark, taxonomy, make_samples, tmp_path):
     from secondlook import schemas
+    from secondlook.operators.review import scoring_reviewer
 
     samples = make_samples([("a", "Erasure", 0.5, "Erasure", False), ("b", "Erasure", 0.5, "Objection", True)])
     empty = spark.createDataFrame([], schemas.CACHE)
-    run = audit.run_audit(samples, taxonomy, str(tmp_path / "one"), "r1", cache=empty, now=5.0)
+    mocked = audit.run_audit(samples, taxonomy, str(tmp_path / "mock"), "r0", cache=empty, now=5.0)
+    assert mocked.cache.count() == 0  # mock answers depend on more than the prompt
+    answer = scoring_reviewer(lambda: lambda prompts_: ["VERDICT: Correct\nREASONING: fine"] * len(prompts_))
+    run = audit.run_audit(samples, taxonomy, str(tmp_path / "one"), "r1", reviewer=answer, cache=empty, now=5.0)
     assert run.cache.count() == 2
     again = audit.run_audit(samples, taxonomy, str(tmp_path / "two"), "r2", cache=run.cache, now=6.0)
     assert all(r["cache_hit"] for r in again.results.collect())

@@ -80,7 +80,10 @@ def test_batch_without_optional_columns_and_empty_batch(make_samples, taxonomy):
 def test_second_run_is_served_from_the_cache(spark, make_samples, taxonomy):
     samples = make_samples(ROWS)
     empty = spark.createDataFrame([], schemas.CACHE)
-    first = review.review_batch(samples, taxonomy, cache=empty, now=100.0)
+    answer = review.scoring_reviewer(lambda: lambda prompts_: ["VERDICT: Correct\nREASONING: fine"] * len(prompts_))
+    mocked = review.review_batch(samples, taxonomy, cache=empty, now=100.0)
+    assert ca.cache_entries(mocked.reviews, 100.0).count() == 0  # such answers depend on more than the prompt
+    first = review.review_batch(samples, taxonomy, answer, cache=empty, now=100.0)
     cache = ca.cache_upsert(empty, ca.cache_entries(first.reviews, 100.0))
     assert cache.count() == 4
 
@@ -110,7 +113,10 @@ def test_failed_prompts_become_error_rows(spark, make_samples, taxonomy):
         return score
 
     reviewer = review.scoring_reviewer(make, concurrency=1, base_seconds=0)
-    batch = review.review_batch(make_samples(ROWS), taxonomy, reviewer, cache=spark.createDataFrame([], schemas.CACHE))
+    none = spark.createDataFrame([], schemas.CACHE)
+    with pytest.raises(ValueError):
+        review.review_batch(make_samples(ROWS), taxonomy, reviewer, cache=none)
+    batch = review.review_batch(make_samples(ROWS), taxonomy, reviewer, cache=none, now=1.0)
     got = by_seq(batch.results)
     bad = got[3]
     assert (bad["verdict"], bad["reasoning"], bad["explanation"]) == ("Uncertain", "Error: bad request", "Review failed")
@@ -200,3 +206,66 @@ def test_result_parts_unite(spark):
     b = spark.createDataFrame([(2, "e")], "seq bigint, error string")
     got = sorted(tuple(r) for r in review.union_results(a, b).select("seq", "verdict", "error").collect())
     assert got == [(1, "x", None), (2, None, "e")]
+
+
+def test_rows_of_one_prompt_with_different_truth_get_their_own_mock_verdict(make_samples, taxonomy):
+    rows = [("same text", "Erasure", 0.9, "Erasure", False), ("same text", "Erasure", 0.9, "Complaint", True)]
+    got = by_seq(review.review_batch(make_samples(rows), taxonomy).results)
+    assert [got[i]["verdict"] for i in (0, 1)] == ["Correct", "Incorrect"]
+    assert got[0]["prompt_hash"] == got[1]["prompt_hash"]
+
+
+def test_a_run_counts_hits_drops_expired_entries_and_keeps_its_version(spark, make_samples, taxonomy, tmp_path):
+    from secondlook.plans import audit
+
+    answer = review.scoring_reviewer(lambda: lambda prompts_: ["VERDICT: Correct\nREASONING: fine"] * len(prompts_))
+    empty = spark.createDataFrame([], schemas.CACHE)
+    samples = make_samples(ROWS)
+
+    def run(name, cache, now, version="v9"):
+        return audit.run_audit(samples, taxonomy, f"{tmp_path}/{name}", name, reviewer=answer, cache=cache, now=now, version=version)
+
+    first = run("one", empty, 100.0)
+    assert {(r["version"], r["hit_count"]) for r in first.cache.collect()} == {("v9", 0)}
+    second = run("two", first.cache, 200.0)
+    assert all(r["cache_hit"] for r in second.results.collect())
+    assert {r["hit_count"] for r in second.cache.collect()} == {1}
+    late = run("three", second.cache, 200.0 + fixed.CACHE_TTL_SECONDS, version="v10")
+    assert {(r["version"], r["hit_count"]) for r in late.cache.collect()} == {("v10", 0)}
+
+
+def test_an_overloaded_service_is_not_stormed_and_bad_prompts_are_found_by_halving(spark):
+    calls = []
+
+    def busy(prompts_):
+        calls.append(len(prompts_))
+        raise scoring.ScorerError("slow down", 429)
+
+    with pytest.raises(scoring.ScorerError):
+        scoring.call_with_retry(busy, ["a"] * 32, 3, 0)
+    assert calls == [32, 32, 32]
+
+    def make():
+        def score(prompts_):
+            if any(p == "bad" for p in prompts_):
+                raise scoring.ScorerError("refused", 404)
+            return [p.upper() for p in prompts_]
+
+        return score
+
+    given = spark.createDataFrame([(f"h{i}", "bad" if i == 5 else "ok") for i in range(16)], "prompt_hash string, prompt string")
+    found = scoring.score_prompts(given.coalesce(1), make, base_seconds=0).collect()
+    assert {r["prompt_hash"] for r in found if r["error"]} == {"h5"} and sum(r["raw_response"] == "OK" for r in found) == 15
+
+
+def test_csv_samples_are_read_by_name(spark, tmp_path):
+    from secondlook.sources import tables
+
+    path = tmp_path / "samples.csv"
+    path.write_text('confidence,id,seq,text,pred_label\n0.9,a,0,"delete, me",Erasure\n0.5,b,1,,Other\n')
+    got = tables.read_samples(spark, str(path), "csv").orderBy("seq").collect()
+    assert [(r["id"], r["text"], r["pred_label"], r["confidence"]) for r in got] == [("a", "delete, me", "Erasure", 0.9), ("b", None, "Other", 0.5)]
+    assert got[0]["ground_truth"] is None
+    path.write_text("id,text\na,b\n")
+    with pytest.raises(ValueError):
+        tables.read_samples(spark, str(path), "csv")
