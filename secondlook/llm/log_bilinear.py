@@ -10,7 +10,7 @@ Counts cover all training documents: c per token, N, V and the mass of each clas
 THIN-th position of its documents, so that training grows with the input too; tasks learn in parallel from the same
 start, and their parameters are averaged, in ROUNDS rounds.
 
-Tokens above 1/COMMON of all are at most COMMON, so their counts are broadcast; the others are looked up by a join, and
+Tokens above 1/COMMON of all are at most COMMON (8 MB), so their counts are broadcast; the others are looked up by a join, and
 none of them has more than that share of the rows.
 
 Defined cases: a null text is an empty one and consists of the end token alone; rows with repeated or null ids are
@@ -33,7 +33,7 @@ from secondlook.session import stage
 SYMBOLS, CLASSES = 832, 192
 TOTAL = SYMBOLS + CLASSES + 1  # and the end token, which also stands before a text
 END = TOTAL - 1
-COMMON = 1 << 15
+COMMON = 1 << 19
 DIMENSIONS = 32
 THIN, ROUNDS, NOISE, BATCH = 8, 2, 16, 512
 RATE = 0.3
@@ -343,10 +343,10 @@ def scores(documents: DataFrame, known: Vocabulary, counts: DataFrame, p: Parame
     lookup = tables(p)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = stage(texts.mapInArrow(lambda b: _scored(b, known, lookup), SCORED), "scored")
-    rare = drawn.select("row", F.explode("rare").alias("token")).withColumn("times", F.lit(1))
+    rare = drawn.select("row", F.explode("rare").alias("token"))
     found = rare.join(counts.select("token", "n"), "token", "left")
-    logs = F.log10(F.coalesce("n", F.lit(0)) + ADD) * F.col("times")
-    sums = found.groupBy("row").agg(F.sum(logs).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("hits"))
+    logs = F.log10(F.coalesce("n", F.lit(0)) + ADD)
+    sums = found.groupBy("row").agg(F.sum(logs).alias("logs"), F.count_if(F.col("n") > 0).alias("hits"))
     more = F.coalesce("logs", F.lit(0.0))
     return drawn.drop("rare").join(sums, "row", "left").select(
         "doc_id",
