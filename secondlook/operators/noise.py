@@ -11,7 +11,7 @@ from secondlook import fixed
 from secondlook.functions import text as tx
 from secondlook.functions.draws import draw_int, draw_unit
 from secondlook.operators.skew import spread_lookup
-from secondlook.operators.taxonomy import first_patterns
+from secondlook.operators.taxonomy import distinct_pairs, first_patterns
 
 
 def assign_labels(df: DataFrame, taxonomy: DataFrame, seed: int, key: str = "seq") -> DataFrame:
@@ -238,9 +238,9 @@ def generator_metadata(
 ) -> DataFrame:
     """How a noise run was set up: one row per label, in label order.
 
-    ``confusion_patterns`` lists the label's patterns, or reads "dynamic".
+    ``confusion_patterns`` lists the label's patterns, each once, or reads "dynamic".
     """
-    listed = patterns.groupBy(F.col("actual").alias("name")).agg(
+    listed = distinct_pairs(patterns).groupBy(F.col("actual").alias("name")).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("ordinal", "confused"))), lambda s: s["confused"]

@@ -1,5 +1,8 @@
 """Looking up one row per key for facts whose keys may be very uneven."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 PIECES = 1000
 # Below this many rows a key is never worth splitting.
 MIN_PIECE_ROWS = 100_000
+# No task gets more rows of one key than this, however large the table is. 10**11 rows have at most 25,000 such keys.
+MAX_PIECE_ROWS = 4_000_000
 
 Names = str | tuple[str, ...]
 
@@ -29,14 +34,16 @@ def spread_lookup(
     how: str = "left",
     pieces: int = PIECES,
     min_piece_rows: int = MIN_PIECE_ROWS,
+    max_piece_rows: int = MAX_PIECE_ROWS,
 ) -> DataFrame:
     """Join every fact with the one lookup row of its key; hot keys are split over several tasks.
 
-    A key with more than a ``pieces``-th of all rows is hot. Its facts are dealt out over
-    ceil(rows / piece) salts by a hash of ``row_id``, and its single lookup row is repeated once per
-    salt. By counting, at most ``pieces`` keys can be hot and at most 2 * ``pieces`` rows are added, so
-    the table of hot keys is the one thing here that may be broadcast by force. No row is dropped:
-    keys that are not hot use salt 0 on both sides. Works for left, inner, semi and anti joins.
+    A key with more than a ``pieces``-th of all rows, or with more than ``max_piece_rows``, is hot. Its facts are
+    dealt out over ceil(rows / piece) salts by a hash of ``row_id``, and its single lookup row is repeated once per
+    salt. By counting, at most max(``pieces``, rows / ``max_piece_rows``) keys can be hot and at most twice as many
+    rows are added, so the table of hot keys is the one thing here that may be broadcast by force. No row is
+    dropped: keys that are not hot use salt 0 on both sides. Facts with a null in the key find nothing and are dealt
+    out over ``pieces`` salts. Works for left, inner, semi and anti joins.
     """
     keys = names(key)
     if sizes is None:
@@ -44,14 +51,17 @@ def spread_lookup(
         total = facts.agg(F.count("*")).scalar()  # reads no column of the facts
     else:
         total = sizes.agg(F.sum("n_rows")).scalar()
-    piece = F.greatest(F.ceil(total / F.lit(pieces)), F.lit(min_piece_rows))
+    share = F.least(F.ceil(total / F.lit(pieces)), F.lit(max_piece_rows))
+    piece = F.greatest(share, F.lit(min_piece_rows))
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     hot = sizes.filter(F.col("n_rows") > piece).select(
         *keys, F.ceil(F.col("n_rows") / piece).alias("_n_salts")
     )
     hot = F.broadcast(hot)
+    n_salts = F.when(no_key, F.lit(pieces)).otherwise(F.coalesce("_n_salts", F.lit(1)))
     salted_facts = (
         facts.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*names(row_id)), F.coalesce("_n_salts", F.lit(1))))
+        .withColumn("_salt", F.pmod(F.xxhash64(*names(row_id)), n_salts))
         .drop("_n_salts")
     )
     salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_n_salts", F.lit(1)) - 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from secondlook import fixed
 from secondlook.operators.skew import spread_lookup
+from secondlook.session import stage
 
 
 def taxonomy_block(taxonomy: DataFrame, compact: bool = False) -> DataFrame:
@@ -47,9 +48,14 @@ def first_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("actual").agg(F.min_by("confused", "ordinal").alias("confused"))
 
 
+def distinct_pairs(patterns: DataFrame) -> DataFrame:
+    """Each (actual, confused) once with its first ordinal, so that a label's list is bounded by the labels."""
+    return patterns.groupBy("actual", "confused").agg(F.min("ordinal").alias("ordinal"))
+
+
 def static_preview(taxonomy: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Per label, everything it may be mistaken for, in pattern order."""
-    grouped = patterns.groupBy(F.col("actual").alias("name")).agg(
+    """Per label, everything it may be mistaken for, in pattern order; repeated pairs count once."""
+    grouped = distinct_pairs(patterns).groupBy(F.col("actual").alias("name")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("ordinal", "confused"))), lambda s: s["confused"]
         ).alias("confused_with")
@@ -87,27 +93,26 @@ def _preview(taxonomy: DataFrame, grouped: DataFrame) -> DataFrame:
 def dense_ordinals(df: DataFrame, key: str, order: str, slice_rows: int = 1_000_000) -> DataFrame:
     """Number the rows of every key 0, 1, 2, ... by a unique integer column.
 
-    One label may hold any share of the rows, so labels are numbered in equally wide slices of the order
-    column, about one per ``slice_rows`` rows of the table: ranks inside a slice come from a window over
-    that slice, and the start of a slice from a running sum over the slice sizes, which are counted
-    map-side.
+    One label may hold any share of the rows, and ids may be dense here and far apart there. So the rows are
+    dealt into ranges of (key, order) by a sample of them, about ``slice_rows`` rows each, and staged with their
+    place. A row's number is its place in its range, less the place of its key's first row there, plus the key's
+    rows in earlier ranges, which are counted map-side.
     """
-    low = df.agg(F.min(order)).scalar()
-    n_slices = F.ceil(F.count("*") / F.lit(slice_rows))
-    width = df.agg(F.ceil((F.max(order) - F.min(order) + 1) / n_slices)).scalar()
-    sliced = df.withColumn("_slice", F.floor((F.col(order) - low) / width))
-    running = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    n_slices = max(1, -(-df.count() // slice_rows))
+    ranged = df.repartitionByRange(n_slices, key, order).sortWithinPartitions(key, order)
+    placed = stage(
+        ranged.withColumns({"_slice": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ordinals"
+    )
+    earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy(key, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .select(key, "_slice", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
+        placed.groupBy(key, "_slice")
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select(key, "_slice", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    inside = F.row_number().over(W.partitionBy(key, "_slice").orderBy(order)) - 1
-    return (
-        sliced.withColumn("_inside", inside)
-        .join(starts, [key, "_slice"])
-        .withColumn("ordinal", (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_slice", "_inside", "_start")
+    same = [F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}")), F.col("r._slice") == F.col("s._slice")]
+    return placed.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.`{c}`") for c in df.columns if c != "ordinal"],
+        (F.col("r._place") + F.col("s._shift")).cast("bigint").alias("ordinal"),
     )
 
 

@@ -388,12 +388,42 @@ LABELED = (
 
 
 def report_rows() -> str:
+    """All lines of the report; part 0 and 2 of them have a fixed wording, filled with the run's figures."""
     counted = " UNION ALL ".join(
         f"SELECT '{v}' AS v, count(*) FILTER (verdict = '{v}') AS n, count(*) AS total FROM mock" for v in fixed.VERDICTS
     )
+    share = "printf('%.1f%%', CASE WHEN total > 0 THEN n / total::DOUBLE * 100 ELSE 0.0::DOUBLE END)"
+    plain = [
+        "> **UNTRUSTED OUTPUT**",
+        "> The verdicts, labels and sentences below were produced by an automatic reviewer.",
+        "> Have a person check them before they are used for anything that matters.",
+        *[""] * 11, "---", "---",
+        "title: Classification Audit Report", "run_id: run-42", "generated: 2024-01-01 00:00:00",
+        "# Classification Audit Report", "## Verdict Distribution", "| Verdict | Count | Percentage |",
+        "|---------|-------|------------|", "## Label Distribution", "| Label | Count |", "|-------|-------|",
+        "## Sample Corrections", "## Left for people",
+    ]
+    figures = {
+        "Correct": "'accuracy: ' || share, 'samples_reviewed: ' || total",
+        "Incorrect": "'**' || total || '** predictions were reviewed; **' || n || '** (' || share || ') need a correction.', "
+        "'- ' || n || ' corrections wait for a second opinion.'",
+        "Uncertain": "'- ' || n || ' predictions stayed undecided.'",
+    }
+    filled_in = " UNION ALL ".join(f"SELECT unnest([{lines}]) FROM counted WHERE v = '{v}'" for v, lines in figures.items())
+    oneline = "regexp_replace({}, '[\\r\\n]', ' ', 'g')"
+    correction = (
+        f"[{oneline.format("'**' || i || '. \"' || text[:80] || '...\"**'")}, "
+        f"{oneline.format("'- Predicted: `' || pred_label || '`, suggested: `' || suggested_label || '`'")}, "
+        f"{oneline.format("'- Reason: ' || reasoning[:100]")}, '']"
+    )
     return (
-        "SELECT '| Verdict | Count | Percentage |' AS line UNION ALL SELECT '| Label | Count |' UNION ALL "
-        f"SELECT printf('| %s | %d | %.1f%% |', v, n, CASE WHEN total > 0 THEN n / total::DOUBLE * 100 ELSE 0.0::DOUBLE END) FROM ({counted}) "
+        f"SELECT unnest([{', '.join(quoted(line) for line in plain)}]) AS line "
+        f"UNION ALL SELECT line FROM (WITH counted AS (SELECT *, {share} AS share FROM ({counted})) "
+        f"SELECT * FROM ({filled_in}) filled_in(line) "
+        "UNION ALL SELECT '| ' || v || ' | ' || n || ' | ' || share || ' |' FROM counted "
+        "UNION ALL SELECT '*No corrections needed*' FROM counted WHERE v = 'Incorrect' AND n = 0) "
+        f"UNION ALL SELECT unnest({correction}) FROM (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM mock "
+        "WHERE verdict = 'Incorrect' ORDER BY seq LIMIT 5) "
         "UNION ALL SELECT '| ' || pred_label || ' | ' || count(*) || ' |' FROM mock GROUP BY pred_label"
     )
 

@@ -4,6 +4,7 @@ Every artifact is written by the tasks into a folder of its own; only one row of
 sample corrections of the report pass the driver.
 """
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,14 +88,17 @@ _BANNER = [
     "> Have a person check them before they are used for anything that matters.",
     "",
 ]
-_CLOSING = [
-    "",
-    "## What to do next",
-    "",
-    "- Look at label pairs that are often mistaken for each other.",
-    "- Collect more training examples for the labels that are corrected most.",
-    "- Send predictions of low confidence to a person.",
-]
+
+
+def _closing_lines(m: dict) -> list[str]:
+    """Where a person should look first, by the figures of this run."""
+    return [
+        "",
+        "## Left for people",
+        "",
+        f"- {m['uncertain']} predictions stayed undecided.",
+        f"- {m['incorrect']} corrections wait for a second opinion.",
+    ]
 
 
 def _opening_lines(m: dict, run_id: str, generated: str) -> list[str]:
@@ -149,7 +153,7 @@ def report_lines(results: DataFrame, run_id: str, generated: str | None = None)
     metrics = verdict_metrics(results).first().asDict()
     corrections = top_corrections(results).collect()
     # A text may contain line ends; they must not break the report's own lines.
-    tail = [line.replace("\n", " ") for line in _correction_lines(corrections)] + _CLOSING
+    tail = [re.sub(r"[\r\n]", " ", line) for line in _correction_lines(corrections)] + _closing_lines(metrics)
 
     def fixed_part(part, lines):
         return [(part, i, line) for i, line in enumerate(lines)]
@@ -161,7 +165,7 @@ def report_lines(results: DataFrame, run_id: str, generated: str | None = None)
     labels = label_distribution(results).select(
         F.lit(1).alias("part"),
         F.col("first_seq").alias("position"),
-        F.concat(F.lit("| "), "label", F.lit(" | "), F.col("n_rows").cast("string"), F.lit(" |")).alias("line"),
+        F.concat(F.lit("| "), F.regexp_replace("label", r"[\r\n]", " "), F.lit(" | "), F.col("n_rows").cast("string"), F.lit(" |")).alias("line"),
     )
     return ends.unionByName(labels)
 

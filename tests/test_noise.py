@@ -102,6 +102,23 @@ def test_dense_ordinals_across_slices(spark):
     assert {(r["label"], r["k"]): r["ordinal"] for r in got} == want
 
 
+def test_dense_ordinals_with_a_far_off_id_and_null_labels(spark):
+    rows = [("hot", i) for i in range(300)] + [("hot", 2**50)] + [(None, 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "label string, k bigint")
+    got = {(r["label"], r["k"]): r["ordinal"] for r in ta.dense_ordinals(df, "label", "k", slice_rows=40).collect()}
+    want = {("hot", i): i for i in range(300)} | {("hot", 2**50): 300} | {(None, 1000 + i): i for i in range(50)}
+    assert got == want
+    assert ta.dense_ordinals(df.limit(0), "label", "k").count() == 0
+
+
+def test_repeated_patterns_are_listed_once(spark, taxonomy):
+    name = taxonomy.orderBy("ordinal").first()["name"]
+    rows = [(i, name, "x" if i % 2 else "y") for i in range(6)]
+    patterns = spark.createDataFrame(rows, "ordinal bigint, actual string, confused string")
+    shown = {r["label"]: r["confused_with"] for r in ta.static_preview(taxonomy, patterns).collect()}
+    assert shown[name] == ["y", "x"]
+
+
 def test_generate_samples(spark, taxonomy):
     def make(n):
         rows = spark.range(n).withColumnRenamed("id", "seq")

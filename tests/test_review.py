@@ -186,6 +186,14 @@ def test_spread_lookup_is_exact_for_hot_keys(spark):
         assert sorted(map(str, got.select("seq", "k", "v").collect())) == sorted(map(str, plain.collect()))
 
 
+def test_null_keys_find_nothing_and_are_spread(spark):
+    facts = spark.range(2000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, "a").alias("k"))
+    lookup = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    got = skew.spread_lookup(facts, lookup, "k", "seq", pieces=16, min_piece_rows=1, max_piece_rows=50)
+    assert got.filter("k IS NULL AND v IS NULL").count() == 1800 and got.filter("k = 'a' AND v = 1").count() == 200
+    assert skew.spread_lookup(facts, lookup, "k", "seq", how="left_anti").count() == 1800
+
+
 def test_hot_key_is_split_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
