@@ -4,12 +4,13 @@ A document is the set of its word shingles. Documents with equal sets form a cla
 Every class has a row of COORDINATES minwise values. A tree chooses coordinates at random and branches the classes by
 their values there, so that classes at similarity s stay together with probability s per step. Nodes of at most
 NODE_ROWS classes are compared exhaustively (by estimates from the minwise values); larger ones compare every member
-with one of theirs and branch further. TREES independent trees find a pair at the threshold with probability
-1 - (1 - 0.8 ** FIRST_DEPTH) ** TREES, over 0.9999.
+with one of theirs and branch further, in several ways at once, lest a pair be lost on the way through a crowd. TREES
+independent trees find a pair at the threshold with probability 1 - (1 - 0.8 ** FIRST_DEPTH) ** TREES, over 0.9999,
+where nodes are small at first depth.
 
 What a node suggests is confirmed on full sets, in two rounds: first a spanning forest of each node's estimates in a few
 trees, which joins almost all; then, in all trees, every candidate pair that is not yet in one component. Pairs within a
-component need no test, so that large groups of copies never yield all their pairs.
+component need no test, so that large groups of copies never yield all their pairs, and nodes within one component end.
 
 Defined cases: null and empty texts, or texts without words, have an empty set, link with nothing and are kept; a
 text with fewer words than a shingle is one shingle; rows without an id link with nothing, have no component and are
@@ -17,6 +18,7 @@ kept; rows that share an id are classes like any others. Other columns pass thro
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,10 @@ from secondlook.session import stage
 COORDINATES = 96
 TREES, FIRST_TREES = 12, 3
 #: Depth at which nodes are first looked at, and the depths to which large ones branch further.
-DEPTHS = (3, 5, 8, 12, 18, 26, 36)
+DEPTHS = (3, 5, 7, 9, 12, 16, 22, 30, 40)
+#: Ways in which a large node branches in the second round; a pair at the threshold stays together in one of two ways
+#: over two coordinates with probability 0.87, and the crowd around it shrinks faster than it is repeated.
+BRANCHES = 2
 NODE_ROWS = 256
 #: Pairs are confirmed if they agree in at least this share of the coordinates, over four deviations below 0.8.
 LEAST_AGREEMENT = 0.63
@@ -98,43 +103,60 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
 # Trees
 
 
-def _chosen(tree: int) -> np.ndarray:
-    return np.random.default_rng(1000 + tree).permutation(COORDINATES)
+def _chosen(tree: int, way: int = 0) -> np.ndarray:
+    return np.random.default_rng(1000 + tree + 100 * way).permutation(COORDINATES)
 
 
-def _branch(node, tree_coordinates, start: int, stop: int):
-    return F.xxhash64(node, *[F.get("sign", F.lit(int(c))) for c in tree_coordinates[start:stop]])
+def _branch(node, coordinates):
+    return F.xxhash64(node, *[F.get("sign", F.lit(int(c))) for c in coordinates])
 
 
-def node_members(classes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame]:
-    """(node, class) of all nodes with 2 to NODE_ROWS classes, and (a, b): each member of a larger node with one of it.
+def _sized(current: DataFrame) -> DataFrame:
+    """The rows of nodes that hold more than one component, with the node's size and its smallest class."""
+    sizes = current.groupBy("node").agg(
+        F.count("*").alias("n"),
+        F.min("class").alias("pivot"),
+        F.min_by("label", "class").alias("pivot_label"),
+        F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+    )
+    return stage(current.join(sizes.filter("lo < hi").drop("lo", "hi"), "node"), "nodes")
+
+
+def roots(signs: DataFrame) -> DataFrame:
+    """All nodes at the first depth in which classes meet."""
+    nodes = F.array(*[_branch(F.lit(t), _chosen(t)[: DEPTHS[0]]) for t in range(TREES)])
+    found = signs.select("class", F.col("class").alias("label"), F.posexplode(nodes).alias("tree", "node"))
+    return _sized(found)
+
+
+def node_members(sized: DataFrame, signs: DataFrame, ways: int) -> tuple[DataFrame, DataFrame]:
+    """(node, class, label) of all nodes up to NODE_ROWS classes, and (a, b): each member of a larger one with one of it.
 
     The larger nodes branch until they are small. Those that aren't at the last depth agree in most coordinates; they
     are cut into runs of members by a hash, and the comparison with one member joins the runs.
     """
-    choices = [_chosen(t) for t in trees]
-    roots = F.array(*[_branch(F.lit(int(t)), c, 0, DEPTHS[0]) for t, c in zip(trees, choices)])
-    current = classes.select("class", F.posexplode(roots).alias("tree", "node"))
-    small, stars = None, None
+    small, stars = [], []
     for level, depth in enumerate(DEPTHS):
-        sizes = current.groupBy("node").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).filter("n > 1")
-        sized = stage(current.join(sizes, "node"), "nodes")
-        few = sized.filter(F.col("n") <= NODE_ROWS).select("node", "class")
+        small.append(sized.filter(F.col("n") <= NODE_ROWS).select("node", "class", "label"))
         many = sized.filter(F.col("n") > NODE_ROWS)
-        star = many.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        small = few if small is None else small.unionAll(few)
-        stars = star if stars is None else stars.unionAll(star)
         if many.isEmpty():
             break
+        stars.append(many.filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
         if level + 1 == len(DEPTHS):
             runs = F.ceil(2 * F.col("n") / NODE_ROWS)
             cut = F.xxhash64("node", F.pmod(F.xxhash64("class", F.lit(5)), runs))
-            small = small.unionAll(many.select(cut.alias("node"), "class"))
+            small.append(many.select(cut.alias("node"), "class", "label"))
             break
-        deeper = F.array(*[_branch(F.col("node"), c, depth, DEPTHS[level + 1]) for c in choices])
-        joined_on = many.select("class", "tree", "node").join(classes, "class")
-        current = joined_on.select("class", "tree", F.get(deeper, F.col("tree")).alias("node"))
-    return small, stars.distinct()
+        part = slice(depth, DEPTHS[level + 1])
+        deeper = F.array(*[
+            F.array(*[F.xxhash64(F.lit(w), _branch(F.col("node"), _chosen(t, w)[part])) for w in range(ways)])
+            for t in range(TREES)
+        ])
+        rows = many.select("class", "label", "tree", "node").join(signs, "class")
+        sized = _sized(rows.select("class", "label", "tree", F.explode(F.get(deeper, F.col("tree"))).alias("node")))
+    none = sized.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.unionAll, small), reduce(DataFrame.unionAll, stars, none).distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -211,16 +233,8 @@ def _forest(agree: np.ndarray, least: float) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def suggested(members: DataFrame, classes: DataFrame, labels: DataFrame | None, forest: bool) -> DataFrame:
-    label = F.col("class").alias("label") if labels is None else F.coalesce("label", "class").alias("label")
-    known = members if labels is None else members.join(labels, "class", "left")
-    if labels is not None:
-        # Nodes whose members are all in one component have nothing left to find.
-        open_nodes = known.groupBy("node").agg(
-            F.min(F.coalesce("label", "class")).alias("lo"), F.max(F.coalesce("label", "class")).alias("hi")
-        ).filter("lo < hi").select("node")
-        known = known.join(open_nodes, "node", "left_semi")
-    rows = known.join(classes, "class").select("node", "class", label, "sign")
+def suggested(members: DataFrame, signs: DataFrame, forest: bool) -> DataFrame:
+    rows = members.join(signs, "class").select("node", "class", "label", "sign")
     dealt = rows.repartition("node").sortWithinPartitions("node", "class")
     return dealt.mapInArrow(lambda b: _suggested(b, forest), "a long, b long").distinct()
 
@@ -287,16 +301,19 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("sign").alias("sign")), "classes")
     signs = classes.select("class", "sign")
 
-    members, stars = node_members(signs, range(TREES))
-    first_members, _ = node_members(signs, range(FIRST_TREES))
-    first_pairs = stage(suggested(first_members, signs, None, True).unionAll(stars).distinct(), "pairs")
-    texts = stage(
-        class_texts(documents, classes.join(_classes_in(members, stars), "class", "left_semi").select("class", "first_id"), size),
-        "texts",
-    )
+    first_nodes = roots(signs)
+    met = classes.join(first_nodes.select("class").distinct(), "class", "left_semi")
+    texts = stage(class_texts(documents, met.select("class", "first_id"), size), "texts")
+
+    members, stars = node_members(first_nodes.filter(F.col("tree") < FIRST_TREES), signs, 1)
+    first_pairs = stage(suggested(members, signs, True).unionAll(stars).distinct(), "pairs")
     links = stage(confirmed(first_pairs, texts, size, percent), "links")
     labels = components(links)
-    more_pairs = suggested(members, signs, labels, False).join(first_pairs, ["a", "b"], "left_anti")
+
+    known = first_nodes.select("class", "tree", "node").join(labels, "class", "left")
+    still_open = _sized(known.withColumn("label", F.coalesce("label", "class")))
+    members, stars = node_members(still_open, signs, BRANCHES)
+    more_pairs = suggested(members, signs, False).unionAll(stars).distinct().join(first_pairs, ["a", "b"], "left_anti")
     more = stage(confirmed(more_pairs, texts, size, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
@@ -314,10 +331,6 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     )
 
 
-def _classes_in(members: DataFrame, stars: DataFrame) -> DataFrame:
-    return members.select("class").unionAll(stars.select("a")).unionAll(stars.select("b")).distinct()
-
-
 def op5_chosen_path(spark, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"), size=4)
 

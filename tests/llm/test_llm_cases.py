@@ -401,3 +401,20 @@ def test_query_equals_its_sql(spark, sf, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     ours, theirs = entry.queries()[name](spark, sf), con.sql(entry.oracle_sql()[name])
     assert sorted(map(tuple, ours.select(*theirs.columns).collect())) == sorted(theirs.fetchall())
+
+
+def test_pairs_inside_a_crowd_are_found(spark, monkeypatch):
+    """Texts that share half their words crowd the nodes; pairs at the threshold have no other link."""
+    monkeypatch.setattr(chosen_path, "NODE_ROWS", 8)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        own = [f"w{i}_{k}" for k in range(120)]
+        rows.append((2 * i, " ".join(common + own)))
+        rows.append((2 * i + 1, " ".join(common + own[:98] + [f"x{i}_{k}" for k in range(22)])))
+    found = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for _, t in rows]
+    assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[0::2], sets[1::2]))
+    met = sum(got[2 * i + 1] == 2 * i for i in range(120))
+    assert all(got[2 * i] == 2 * i for i in range(120)) and met >= 0.95 * 120
