@@ -7,7 +7,8 @@ they stand. Base spans are observed. Loopy message passing spreads them, so that
 is found where the document has it in full elsewhere.
 
 The weights are those of a logistic regression over shape and the label of a like token, learned from a bounded
-sample: base spans with parts cut off are its positive examples, other tokens its negative ones.
+sample: base spans with parts cut off are its positive examples, other tokens its negative ones, those that repeat with
+a like token that is none. Every document with such a token goes through the field, with or without base spans or repeats.
 
 Defined cases: null is as the empty text, which has no spans; without training examples only base spans are found.
 Offsets count code points. Other columns pass through.
@@ -15,7 +16,7 @@ Offsets count code points. Other columns pass through.
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _NUMBER = re.compile(r"[(0-9](?:[\x20().-]{0,2}[0-9])++").finditer
 _NAME = re.compile(r"[A-Za-z0-9._%+@-]++").finditer
+# The names that hold a digit or an @; the look-behind lets each run be tried once.
+_MARKED = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+").finditer
 _NOT_DIGITS = re.compile("[^0-9]+").sub
 
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -126,10 +129,12 @@ class FieldModel:
 
 def other_tokens(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Entity-like tokens that touch no base span, in order and without overlaps."""
-    names = {text[a:z].partition("@")[0].lower() for a, z, k in base if k == 0}
-    names = {n for n in names if not n.isalpha()}
+    names = {text[a:z].partition("@")[0].lower().strip(".-") for a, z, k in base if k == 0} - {""}
     found = [m.span() for m in _NUMBER(text)] if _DIGIT(text) else []
-    found += [m.span() for m in _NAME(text) if "@" in m[0] or _DIGIT(m[0]) or m[0].lower().strip(".-") in names]
+    if names:
+        found += [m.span() for m in _NAME(text) if "@" in m[0] or _DIGIT(m[0]) or m[0].lower().strip(".-") in names]
+    elif found or "@" in text:
+        found += [m.span() for m in _MARKED(text)]
     taken = sorted((a, z) for a, z, _ in base)
     found = [(a, a + len(text[a:z].rstrip(".-"))) for a, z in found]
     tokens, end, i = [], -1, 0
@@ -185,8 +190,8 @@ def marginals(scores: np.ndarray, links: np.ndarray, weights: np.ndarray) -> np.
 
 def all_spans(text: str, base: list[Span], model: FieldModel) -> list[Span]:
     """Base spans and those that the field adds."""
-    tokens = other_tokens(text, base) if base else []
-    if not tokens or not model.like.any():
+    tokens = other_tokens(text, base)
+    if not tokens or not model.shapes.any():  # nothing to label, or nothing was learned
         return base
     nodes = sorted([(a, z, k) for a, z, k in base] + [(a, z, -1) for a, z in tokens])
     words = [text[a:z] for a, z, _ in nodes]
@@ -196,8 +201,6 @@ def all_spans(text: str, base: list[Span], model: FieldModel) -> list[Span]:
             scores[i] = -1e3
             scores[i, k] = 0
     skips = links_of([key_of(w) for w in words])
-    if not skips:
-        return base  # no repeated or similar tokens: nothing for the field to make consistent
     pairs = [(a, b, 0) for a, b in skips] + [(i, i + 1, 1) for i in range(len(nodes) - 1)]
     links = np.array([way for a, b, k in pairs for way in ((a, b, k), (b, a, k))], np.int64)
     weights = np.stack([model.like, np.full(N_LABELS, CHAIN_WEIGHT)])
@@ -233,9 +236,13 @@ def examples(texts) -> tuple[np.ndarray, np.ndarray]:
                 x.append(shape(form) + like)
                 y.append(k)
         known = {key_of(text[a:z]) for a, z, _ in base}
-        for a, z in other_tokens(text or "", base):
-            if key_of(text[a:z]) not in known:
-                x.append(shape(text[a:z]) + [0.0] * N_LABELS)
+        others = [text[a:z] for a, z in other_tokens(text or "", base)]
+        repeats = Counter(map(key_of, others))
+        for token in others:
+            if (key := key_of(token)) not in known:
+                like = [0.0] * N_LABELS
+                like[NONE] = float(bool(key) and repeats[key] > 1)
+                x.append(shape(token) + like)
                 y.append(NONE)
     return np.array(x, float).reshape(-1, N_SHAPE + N_LABELS), np.array(y, np.int64)
 

@@ -361,6 +361,26 @@ def test_personal_data_is_found_and_masked(spark, odd, none):
     assert skip_chain.with_personal_data(none, empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def phones_and_addresses(spark):
+    rows = [(i, f"call +1 ({500 + i}) 555-10{i} in room {i} or 2.{i}, joe{i}@x.com or 1.2.3.{i}") for i in range(10, 60)]
+    return skip_chain.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_the_field_runs_without_base_spans_or_repeats(phones_and_addresses):
+    def spans(text):
+        return skip_chain.all_spans(text, skip_chain.base_spans(text), phones_and_addresses)
+
+    number = "(523) 555-1055"
+    for text in (f"call {number}", f"call {number} or {number}, room 12", f"{number} room 12 1.1.1.1"):
+        assert number in {text[a:z] for a, z, k in spans(text) if k == 3}, text
+    assert spans("room 12 or 2.13, room 12") == [] and spans("no numbers") == []
+    assert [s[2] for s in spans("joe@x.com and then joe, not joey")] == [0, 0]
+    for text in ("a1 b @c", "x" * 9 + "1", "é1x-2 ab c@ 12.a"):
+        wanted = [m.span() for m in skip_chain._NAME(text) if "@" in m[0] or re.search("[0-9]", m[0])]
+        assert [m.span() for m in skip_chain._MARKED(text)] == wanted
+
+
 def test_belief_propagation_is_exact_on_a_chain():
     import itertools
 
