@@ -381,6 +381,34 @@ def test_the_field_runs_without_base_spans_or_repeats(phones_and_addresses):
         assert [m.span() for m in skip_chain._MARKED(text)] == wanted
 
 
+def test_evidence_reaches_all_of_many_repeats():
+    import numpy as np
+
+    # By its shape a bare number is none (2.5 against 1); a like phone adds 4 to phone.
+    shapes = np.zeros((skip_chain.N_SHAPE, skip_chain.N_LABELS))
+    shapes[0] = [0, 0, 0, 1, 2.5]
+    model = skip_chain.FieldModel(shapes, np.array([0, 0, 0, 4.0, 0]))
+    for n, before in ((60, 0), (60, 30), (60, 60), (400, 0)):
+        copies = ["523 555 1055; "] * n
+        text = "".join([*copies[:before], "+1 523 555 1055; ", *copies[before:]])
+        found = skip_chain.all_spans(text, skip_chain.base_spans(text), model)
+        assert [k for _, _, k in found] == [3] * (n + 1), (n, before)
+    keys = ["a", "b", "a", "a", "a", "a"]
+    assert skip_chain.links_of(keys) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert skip_chain.links_of(keys, [True] + [False] * 5) == [(0, 2), (0, 3), (0, 4), (0, 5), (2, 3), (3, 4), (4, 5)]
+
+
+def test_messages_cross_a_long_chain():
+    import numpy as np
+
+    scores = np.zeros((80, 2))
+    scores[0] = [0, -1e3]
+    ways = np.array([w for i in range(79) for w in ((i, i + 1, 0), (i + 1, i, 0))])
+    # On a chain of equal links the pull of the observed end is exactly ((e^w - 1) / (e^w + 1)) ** distance.
+    exact = 0.5 + 0.5 * np.tanh(2.5) ** np.arange(80)
+    assert np.allclose(skip_chain.marginals(scores, ways, np.array([[5.0, 5.0]]))[:, 0], exact, atol=1e-6)
+
+
 def test_belief_propagation_is_exact_on_a_chain():
     import itertools
 
