@@ -1,7 +1,8 @@
 """URL filters: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees learn from the URLs that a rule judges. Features: lengths, depth, digit ratio, entropy, parameter
-counts, and for the host's last label and last two labels the share of blocked URLs among all labelled ones.
+counts, and for the host's last label and last two labels the share of blocked URLs among all labelled ones. These
+shares are a table with a row for every labelled suffix; rows find theirs by a join.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the
 method like any other; if the labelled URLs are of one kind only, the method gives that kind; without any,
@@ -9,7 +10,7 @@ method like any other; if the labelled URLs are of one kind only, the method giv
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import table
+from secondlook.operators.skew import spread_lookup
+from secondlook.session import stage
 
 BLOCK, ALLOW = "block", "allow"
 #: Rule (host and path) and verdict.
 RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
-#: The trees learn from at most this many labelled URLs, those with the smallest hashes.
+#: The trees learn from at most this many distinct labelled URLs, those with the smallest hashes, each weighted by its rows.
 SAMPLE = 20_000
-#: At most so many suffixes keep a statistic of their own, the most frequent ones.
-SUFFIXES = 4096
 PRIOR = 20.0
+#: A suffix with at least so many rows and over a thousandth of all is looked up by several tasks.
+LEAST_PIECE = 64
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 
 
@@ -59,7 +62,7 @@ def suffixes(host: Column) -> Column:
 class Trees:
     base: float
     nodes: list  # per tree: (features, thresholds, leaves) of a complete tree, level by level
-    blocked_share: dict = field(default_factory=dict)
+    shares: DataFrame | None = None  # (key, share) of every suffix of a labelled URL
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
@@ -88,16 +91,16 @@ def feature_rows(urls, hosts, paths, shares) -> np.ndarray:
     return np.hstack([np.array(own, float).reshape(len(own), -1), np.array(shares, float).reshape(len(own), -1)])
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
+def boost(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, list]:
     """Histogram-based gradient boosting with logistic loss and complete trees of fixed depth."""
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(np.average(y, weights=weights), 1e-3, 1 - 1e-3)
     base = float(np.log(rate / (1 - rate)))
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], 1)
     margin, nodes = np.full(len(y), base), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        g, h, at = p - y, p * (1 - p), np.zeros(len(y), np.int64)
+        g, h, at = weights * (p - y), weights * p * (1 - p), np.zeros(len(y), np.int64)
         inner = 2**DEPTH - 1
         features, thresholds = np.zeros(inner, np.int64), np.full(inner, np.inf)
         for node in range(inner):
@@ -133,16 +136,37 @@ def train(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE)
     """Learn from the URLs that a rule judges: suffix statistics over all of them, trees on a bounded sample."""
     labelled = judged(pages, url, rules).filter("label IS NOT NULL")
     counted = labelled.select(F.explode("keys").alias("key"), "label").groupBy("key")
-    statistic = counted.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).orderBy(F.desc("n"), "key")
-    shares = {r.key: (r.blocked + 0.5 * PRIOR) / (r.n + PRIOR) for r in statistic.limit(SUFFIXES).collect()}
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).toPandas()
+    share = (F.sum("label") + 0.5 * PRIOR) / (F.count("*") + PRIOR)
+    shares = stage(counted.agg(share.alias("share")), "suffixes")
+    distinct = labelled.groupBy("url", "host", "path", "label", "keys").agg(F.count("*").alias("n"))
+    drawn = stage(distinct.orderBy(F.xxhash64("url"), "url").limit(sample), "labelled")
+    rows = drawn.toPandas()
     if rows.empty:
         return Trees(-1.0, [])
+    keys = F.broadcast(drawn.select(F.explode("keys").alias("key")).distinct())  # at most two for each URL of the sample
+    known = {r.key: r.share for r in shares.join(keys, "key", "left_semi").collect()}
     y = rows["label"].to_numpy(float)
-    x = feature_rows(rows["url"], rows["host"], rows["path"], [[shares.get(k, 0.5) for k in ks] for ks in rows["keys"]])
+    x = feature_rows(rows["url"], rows["host"], rows["path"], [[known[k] for k in ks] for ks in rows["keys"]])
     if y.min() == y.max():
         return Trees(2 * y[0] - 1, [], shares)
-    return Trees(*boost(x, y), shares)
+    return Trees(*boost(x, y, rows["n"].to_numpy(float)), shares)
+
+
+def with_shares(pages: DataFrame, shares: DataFrame | None, url: str) -> DataFrame:
+    """Add ``_last`` and ``_two``, the shares of the host's last label and last two labels; 0.5 where no URL had a label."""
+    if shares is None:
+        return pages.withColumns({"_last": F.lit(0.5), "_two": F.lit(0.5)})
+    keyed = pages.withColumns({"_key": suffixes(host_of(F.col(url)))[1], "_row": F.monotonically_increasing_id()})
+    # The last two labels tell the last one, so both shares come with one lookup row for each pair of labels.
+    sizes = stage(keyed.groupBy("_key").agg(F.count("*").alias("n_rows")), "pairs")
+    pairs = sizes.select("_key", F.element_at(F.split("_key", r"\."), -1).alias("_label"))
+    pairs = pairs.join(shares.select(F.col("key").alias("_key"), F.col("share").alias("_two")), "_key", "left")
+    lasts = shares.select(F.col("key").alias("_label"), F.col("share").alias("_last"))
+    lookup = spread_lookup(pairs, lasts, "_label", "_key").select(
+        "_key", *[F.coalesce(c, F.lit(0.5)).alias(c) for c in ("_last", "_two")]
+    )
+    found = spread_lookup(keyed, lookup, "_key", "_row", sizes, min_piece_rows=LEAST_PIECE)
+    return found.select(*pages.columns, "_last", "_two")
 
 
 def with_block_margin(pages: DataFrame, model: Trees, url: str = "url", out: str = "margin") -> DataFrame:
@@ -150,13 +174,14 @@ def with_block_margin(pages: DataFrame, model: Trees, url: str = "url", out: str
 
     @F.arrow_udf("double")
     def margins(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for urls, hosts, paths, keys in batches:
-            shares = [[model.blocked_share.get(k, 0.5) for k in ks] for ks in keys.to_pylist()]
+        for urls, hosts, paths, lasts, twos in batches:
+            shares = np.stack([np.asarray(lasts), np.asarray(twos)], 1)
             x = feature_rows(urls.to_pylist(), hosts.to_pylist(), paths.to_pylist(), shares)
-            yield pa.array(model.margin(x), pa.float64())
+            yield pa.array(trees.margin(x), pa.float64())
 
-    host = host_of(F.col(url))
-    return pages.withColumn(out, margins(F.col(url), host, path_of(F.col(url)), suffixes(host)))
+    trees = Trees(model.base, model.nodes)  # what tasks need; the shares are in the rows
+    margin = margins(F.col(url), host_of(F.col(url)), path_of(F.col(url)), F.col("_last"), F.col("_two"))
+    return with_shares(pages, model.shares, url).withColumn(out, margin).drop("_last", "_two")
 
 
 def filter_urls(pages: DataFrame, model: Trees, url: str = "url", rules=RULES) -> DataFrame:

@@ -256,6 +256,34 @@ def test_trees_learn_lexical_features(spark):
     assert all((r.margin > 0) == ("/de/" in r.url) for r in margins if "/de/" in r.url or "example.net" in r.url)
 
 
+def test_every_suffix_keeps_its_share(spark):
+    """More suffixes than the 4096 that a capped dictionary held, each with its own share in training and scoring."""
+    rules = (("org/aa/", "allow"), ("org/bb/", "block"))
+    rows = [(i, f"https://d{i % 5000:04}.org/{'bb' if i % 2 else 'aa'}/") for i in range(10_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    model = url_filter.train(pages, rules=rules)
+    asked = spark.createDataFrame([(i, f"https://d{i:04}.org/cc/") for i in range(5000)] + [(9999, "http://new.com/")], "id long, url string")
+    found = {r.id: (r._last, r._two) for r in url_filter.with_shares(asked, model.shares, "url").collect()}
+    assert len(found) == 5001 and found[9999] == (0.5, 0.5)
+    for i in range(5000):
+        own = (2 * (i % 2) + 10) / 22
+        assert abs(found[i][0] - 0.5) < 1e-9 and abs(found[i][1] - own) < 1e-9
+    margins = url_filter.with_block_margin(asked.filter("id < 5000"), model).collect()
+    assert all((r.margin > 0) == (r.id % 2 == 1) for r in margins)
+
+
+def test_copies_of_a_url_do_not_fill_the_sample(spark):
+    rules = (("org/good/", "allow"), ("org/bad/", "block"))
+    rows = [f"https://a{i}.org/{'bad' if i % 2 else 'good'}/" for i in range(40)]
+    order = spark.createDataFrame([(u,) for u in rows], "url string").orderBy(F.xxhash64("url"))
+    first = order.first().url
+    pages = spark.createDataFrame([(u,) for u in rows + [first] * 200], "url string")
+    model = url_filter.train(pages, rules=rules, sample=40)
+    assert model.nodes
+    margins = url_filter.with_block_margin(pages, model).collect()
+    assert len(margins) == 240 and all((r.margin > 0) == ("/bad/" in r.url) for r in margins)
+
+
 def test_fingerprints_of_odd_texts_match_python(spark, odd, none):
     rows = order_min_hash.fingerprints(odd.withColumn("sign", F.lit("x")).withColumn("edit", F.lit(1))).collect()
     texts = [(i, t or "") for i, t, *_ in odd_texts()]
