@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from secondlook.llm import chosen_path, harmonic_packing, language, skip_chain, toxicity
 from secondlook.llm.common import table
-from secondlook.session import fresh_path
+from secondlook.session import fresh_path, stage
 
 #: A text goes if no language holds this share of its letters, or if it has no letter.
 LEAST_LANGUAGE_SHARE = 0.35
@@ -30,15 +30,21 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows that share this id, one."""
-    found = chosen_path.near_duplicates(docs)
-    copies = found.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.isEmpty():
-        return kept
-    # Rows of one id: the same text may stand in several.
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One document of each group stays, the one with the smallest id; of rows that share this id, one.
+
+    Rows that share an id but no likeness belong to groups of their own. Rows without an id all stay.
+    """
+    found = stage(chosen_path.marked_rows(docs).select("doc_id", "text_key", "stays"), "stays")
+    keys = {"_id": F.col("doc_id").cast("long"), "_text": chosen_path.text_key()}
+    named = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "stays")
+    copies = named.filter(~F.col("stays")).select("_id", "_text").distinct()
+    kept = docs.withColumns(keys).join(copies, ["_id", "_text"], "left_anti")
+    # The row that stays may stand in the table more than once.
+    repeated = named.filter("stays").groupBy("_id", "_text").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+        kept = kept.join(repeated, ["_id", "_text"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import as_bytes, joined, mixed, steps, table, words
@@ -85,19 +85,28 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(at, len(run)),
+                    batch.column("text_key").slice(at, len(run)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array(signs, pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "class", "sign"],
+                ["doc_id", "text_key", "n_shingles", "class", "sign"],
             )
             at += len(run)
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
+SKETCHED = "doc_id long, text_key long, n_shingles long, class long, sign array<int>"
+
+
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, class, sign) per row; class and sign are null for an empty set."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(lambda b: _sketched(b, size), "doc_id long, n_shingles long, class long, sign array<int>")
+    """(doc_id, text_key, n_shingles, class, sign) per row; class and sign are null for an empty set."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    return texts.mapInArrow(lambda b: _sketched(b, size), SKETCHED)
 
 
 # Trees
@@ -296,9 +305,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; ``kept`` marks one document of each component."""
+    return marked_rows(documents, size, percent).drop("text_key", "stays")
+
+
+def marked_rows(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept, stays) for every row.
+
+    ``kept`` marks the id of each component, ``stays`` only the row of this id and one of its texts, so that rows which share
+    an id are told apart; rows without an id or with an empty set stay.
+    """
     drawn = stage(sketches(documents, size), "sketches")
     known = drawn.filter("doc_id IS NOT NULL AND class IS NOT NULL")
-    classes = stage(known.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.any_value("sign").alias("sign")), "classes")
+    firsts = F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = stage(known.groupBy("class").agg(*firsts, F.any_value("sign").alias("sign")), "classes")
     signs = classes.select("class", "sign")
 
     first_nodes = roots(signs)
@@ -318,16 +337,19 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
-    named = classes.select("class", "first_id").join(labels, "class", "left")
-    named = named.select("class", "first_id", F.coalesce("label", "class").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = named.join(smallest, "label").select("class", "component_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    named = classes.select("class", "first").join(labels, "class", "left")
+    named = named.select("class", "first", F.coalesce("label", "class").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
+    found = named.drop("first").join(smallest, "label").select("class", "first")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    own = F.struct("doc_id", "text_key") == F.col("first")
     return (
-        drawn.select("doc_id", "n_shingles", "class")
+        drawn.select("doc_id", "text_key", "n_shingles", "class")
         .join(found, "class", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", component.alias("component_id"), own.alias("own"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("stays", F.col("doc_id").isNull() | F.coalesce("own", F.lit(True)))
+        .drop("own")
     )
 
 

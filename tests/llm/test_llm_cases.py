@@ -466,6 +466,16 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, folder):
     assert set(r.doc_id for r in packed.collect() if r.doc_id is not None) == set(ids)
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    other = "a wholly different text about rivers and hills that nobody else has written down here before today"
+    near = LINE + " again and again until the evening comes at last"
+    rows = [(3, LINE), (7, LINE), (7, other), (None, "no id"), (None, "no id"), (8, near), (8, near + " soon"), (9, "twin " + other[::-1]), (9, "twin " + other[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert [i for i, _ in left] == [0, 0, 3, 7, 8, 9]
+    assert (7, other) in left and (3, LINE) in left and left.count((0, "no id")) == 2
+
+
 @pytest.mark.parametrize("name", ["op1_max_score", "op5_chosen_path"])
 def test_query_equals_its_sql(spark, sf, name):
     import duckdb
