@@ -6,8 +6,8 @@ frequent training tokens and, for all others, classes by their last two bytes; w
 of smoothed counts. A text's log-probability is normalised: matrix products over all contexts and symbols give the
 tables of scores and of the logarithm of their sums.
 
-Counts cover all training documents: c per token, N, V and the mass of each class. Each training task draws every
-THIN-th position of its documents, so that training grows with the input too; tasks learn in parallel from the same
+Counts cover all training documents: c per token, N, V and the mass of each class. Training uses every
+position of all training documents; tasks, whose number grows with the input, learn in parallel from the same
 start, and their parameters are averaged, in ROUNDS rounds.
 
 Tokens above 1/COMMON of all are at most COMMON (8 MB), so their counts are broadcast; the others are looked up by a join, and
@@ -35,7 +35,7 @@ TOTAL = SYMBOLS + CLASSES + 1  # and the end token, which also stands before a t
 END = TOTAL - 1
 COMMON = 1 << 19
 DIMENSIONS = 32
-THIN, ROUNDS, NOISE, BATCH = 8, 2, 16, 512
+ROUNDS, NOISE, BATCH = 2, 16, 512
 RATE = 0.3
 #: Positions that one training task learns from.
 TASK_POSITIONS = 1 << 19
@@ -225,14 +225,13 @@ def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 def _positions(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Every THIN-th position of all training texts, with its context."""
+    """Every position of all training texts, with its context; the symbols fit in 16 bits."""
     for batch in batches:
         for run in steps(as_bytes(batch.column("text"))):
             found = tokens(run)
             symbols, _ = looked_up(found, known)
-            some = np.flatnonzero(found.hashes.view(np.uint64) + np.arange(len(symbols), dtype=np.uint64) * np.uint64(3) & np.uint64(THIN - 1) == 0)
             one, two = contexts(symbols, found)
-            columns = [c[some].astype(np.int32) for c in (symbols, one, two)]
+            columns = [c.astype(np.int16) for c in (symbols, one, two)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["target", "one", "two"])
 
 
@@ -258,8 +257,8 @@ def train(texts: DataFrame, known: Vocabulary) -> Parameters:
     p = Parameters(known)
     if not known.total:
         return p
-    spread = max(1, round(known.total / THIN / TASK_POSITIONS))
-    drawn = texts.select("text").mapInArrow(lambda b: _positions(b, known), "target int, one int, two int")
+    spread = max(1, round(known.total / TASK_POSITIONS))
+    drawn = texts.select("text").mapInArrow(lambda b: _positions(b, known), "target short, one short, two short")
     positions = stage(drawn.repartition(spread), "positions")
     for turn in range(ROUNDS):
         start = p.rows()

@@ -360,6 +360,17 @@ def test_lm_counts_equal_brute_force(spark, folder):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
 
 
+def test_lm_learns_from_every_position():
+    import numpy as np
+    import pyarrow as pa
+
+    nothing = np.zeros(0, np.int64)
+    known = log_bilinear.Vocabulary(0, 0, nothing, nothing, nothing, np.zeros(log_bilinear.TOTAL), np.zeros(log_bilinear.TOTAL))
+    texts = pa.RecordBatch.from_arrays([pa.array([LINE, None, LINE + " " + LINE])], ["text"])
+    found = list(log_bilinear._positions(iter([texts]), known))
+    assert sum(b.num_rows for b in found) == 3 * len(LINE.split()) + 3
+
+
 def test_lm_is_normalised(spark, odd):
     import numpy as np
 
