@@ -9,16 +9,19 @@ from secondlook.llm import (
     log_bilinear,
     max_score,
     order_min_hash,
+    pivot_tables,
     skip_chain,
+    tokenizer_spans,
     toxicity,
     url_filter,
+    word_scan,
 )
 
 QUERIES = {}
 ORACLES = {}
 for _module in (
     max_score, toxicity, log_bilinear, language, chosen_path, harmonic_packing, url_filter, order_min_hash,
-    byte_bpe, skip_chain,
+    byte_bpe, skip_chain, word_scan, tokenizer_spans, pivot_tables,
 ):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
