@@ -5,13 +5,15 @@ fingerprints that differ go into tables of their Hamming distances to fixed refe
 that differ in at most LIMIT bits have distances to every pivot that differ by at most LIMIT, so a pair with a greater
 difference in any coordinate of its tables is discarded, and only survivors are verified bit by bit.
 
-The same rule deals the work out. A cell of too many fingerprints is split by the distances to the next pivots into slices of
-WIDTH; a fingerprint within LIMIT of the upper edge of its slice is also put into the next one, so that every pair within
-LIMIT still meets in a cell, namely in the upper one of its slices in each coordinate. Cells are split until they have at most
-CELL_ROWS fingerprints. A cell which the pivots don't tell apart (a crowd of fingerprints near one another) is cut into
-runs instead, and all runs are compared with one another, block by block, in tasks of their own. Nothing is left out:
-the links found are exactly those within LIMIT. A block yields for each fingerprint at most one link, to the smallest one of
-its component there, which keeps all components and bounds the links by the rows.
+The same tables deal the work out. Besides a base reference there are references which differ from it inside one of eight
+ranges of bits only, so that their distance less the base's depends on this range alone. Two ranges form one of four blocks.
+Two fingerprints within LIMIT bits differ in at most two blocks, so their table entries are equal in two whole blocks; each
+fingerprint is put into six cells, one for every two blocks, by its entries there, and every pair within LIMIT meets in one.
+A cell of more than CELL_ROWS is dealt out once more in the same way, by two of the four ranges of its other blocks. What is
+still larger (a crowd of fingerprints near one another) is cut into runs, and all runs are compared with one another,
+block by block, in tasks of their own. Nothing is left out: the links found are exactly those within LIMIT, and a
+fingerprint has 6 rows, in crowds 36, however many there are. A block yields for each fingerprint at most one link, to the smallest
+one of its component there, which keeps all components and bounds the links by the rows.
 
 Defined cases: null and empty texts, or texts without words, have fingerprint zero and are linked like any other; fewer words
 than a shingle are one shingle. Rows without an id link with nothing and have no component; rows that share an id are
@@ -19,7 +21,7 @@ linked only by their texts. Other columns are left out of the result.
 """
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import combinations
 from re import compile as pattern
 
 import numpy as np
@@ -40,10 +42,8 @@ BITS, LIMIT = 64, 2
 PIECE = 1 << 20
 
 CELL_ROWS = 4096
-#: Pivots by which a cell is split at once, and the width of a slice; edges lie around half of the bits, where most distances are.
-PIVOTS_PER_SPLIT, WIDTH = 2, 4
-#: A split must leave at most this share of the comparisons, else the cell is compared in runs.
-WORTH = 0.75
+#: Ranges of bits, two to a block, and the references of each range.
+RANGES, RANGE_BITS, RANGE_PIVOTS = 8, 8, 6
 #: Deals the fingerprints of a cell into runs.
 RUN_SEED = 77
 #: Pivots of the tables in which a block discards its pairs, and the rows that are compared at once with all others.
@@ -107,42 +107,63 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 # Cells
 
 
+def range_pivots() -> tuple[int, list[list[int]]]:
+    """The base reference, and for each range the references that differ from it in some bits of this range."""
+    draw = np.random.default_rng(1)
+    base = int(draw.integers(-(2**63), 2**63 - 1))
+    masks = [[sum(1 << int(b) for b in draw.choice(RANGE_BITS, RANGE_BITS // 2, replace=False)) for _ in range(RANGE_PIVOTS)] for _ in range(RANGES)]
+    signed = [[int(np.uint64(m << RANGE_BITS * r).astype(np.int64)) for m in own] for r, own in enumerate(masks)]
+    return base, [[base ^ m for m in own] for own in signed]
+
+
 def _distance(pivot: int) -> Column:
     return F.bit_count(F.col("bits").bitwiseXOR(F.lit(pivot)))
 
 
-def _slices(pivot: int) -> Column:
-    """The slices a fingerprint belongs to: its own, and the next one if a link may lead there."""
-    place = _distance(pivot) - F.lit(BITS // 2 + WIDTH // 2) + F.lit(BITS)
-    own = F.floor(place / F.lit(WIDTH)).cast("int")
-    return F.when(place % WIDTH >= WIDTH - LIMIT, F.array(own, own + 1)).otherwise(F.array(own))
+def with_entries(bits: DataFrame) -> DataFrame:
+    """Add ``entries``: for each range a hash of its distances less the base's."""
+    base, own = range_pivots()
+    return bits.withColumn("entries", F.array(*[F.xxhash64(*[_distance(p) - _distance(base) for p in ps]) for ps in own]))
+
+
+#: The choices of two blocks, and for each the ranges of its blocks and of the others.
+BLOCK_PAIRS = list(combinations(range(RANGES // 2), 2))
+
+
+def _ranges(blocks) -> list[int]:
+    return [r for b in blocks for r in (2 * b, 2 * b + 1)]
+
+
+def _cells_of(pair: tuple[int, int]) -> Column:
+    return F.xxhash64(F.lit(str(pair)), *[F.col("entries")[r] for r in _ranges(pair)])
+
+
+def _inner_cells(pair: tuple[int, int]) -> Column:
+    others = _ranges(b for b in range(RANGES // 2) if b not in pair)
+    return F.array(*[F.xxhash64(F.col("cell"), F.lit(str(two)), *[F.col("entries")[r] for r in two]) for two in combinations(others, 2)])
 
 
 def cells(bits: DataFrame, cell_rows: int) -> DataFrame:
-    """(block, bits): fingerprints that meet in blocks of about twice ``cell_rows`` at most, for ``bits`` without repeats."""
-    rows = bits.select("bits", F.lit(0).cast("long").alias("cell"))
-    sizes = stage(rows.groupBy("cell").agg(F.count("*").alias("n")), "cells")
-    done, level = [], 0
-    while True:
-        sized = rows.join(F.broadcast(sizes) if not level else sizes, "cell")
-        done.append(sized.filter(F.col("n") <= cell_rows).select(F.col("cell").alias("block"), "bits"))
-        large = sized.filter(F.col("n") > cell_rows)
-        if sizes.filter(F.col("n") > cell_rows).isEmpty():
-            break
-        parts = large
-        for i, pivot in enumerate(pivots(level + 1, PIVOTS_PER_SPLIT)):
-            parts = parts.withColumn(f"slice{i}", F.explode(_slices(pivot)))
-        slices = [f"slice{i}" for i in range(PIVOTS_PER_SPLIT)]
-        parts = stage(parts.select("bits", "cell", "n", F.xxhash64("cell", *slices).alias("child")), "cells")
-        children = parts.groupBy("cell", "n", "child").agg(F.count("*").alias("n_child"))
-        left = F.sum(F.col("n_child").cast("double") * F.col("n_child")) / (F.first("n").cast("double") * F.first("n"))
-        split = stage(children.groupBy("cell").agg((left <= WORTH).alias("splits")), "splits")
-        known = parts.join(split, "cell")
-        done.append(_runs(large.join(split.filter("NOT splits"), "cell", "left_semi"), cell_rows))
-        rows = known.filter("splits").select("bits", F.col("child").alias("cell"))
-        sizes = stage(rows.groupBy("cell").agg(F.count("*").alias("n")), "cells")
-        level += 1
-    return reduce(DataFrame.unionAll, done)
+    """(block, bits): fingerprints that meet, in blocks of about ``cell_rows`` at most, for ``bits`` without repeats."""
+    tables = stage(with_entries(bits.select("bits")), "tables")
+    rows = tables.select("*", F.posexplode(F.array(*[_cells_of(p) for p in BLOCK_PAIRS])).alias("pair", "cell"))
+    done, deeper = _parted(rows, cell_rows)
+    if deeper is None:
+        return done
+    inner = F.array(*[_inner_cells(p) for p in BLOCK_PAIRS])
+    again = deeper.select("bits", F.explode(F.get(inner, F.col("pair"))).alias("cell"))
+    more, crowds = _parted(again, cell_rows)
+    done = done.unionAll(more)
+    return done if crowds is None else done.unionAll(_runs(crowds, cell_rows))
+
+
+def _parted(rows: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(block, bits) of the cells up to ``cell_rows``, and the rows of larger ones with their number ``n``, if there are any."""
+    large = stage(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows), "large")
+    if large.isEmpty():
+        return rows.select(F.col("cell").alias("block"), "bits"), None
+    small = rows.join(large, "cell", "left_anti").select(F.col("cell").alias("block"), "bits")
+    return small, rows.join(large, "cell")
 
 
 def _runs(large: DataFrame, cell_rows: int) -> DataFrame:
@@ -154,8 +175,6 @@ def _runs(large: DataFrame, cell_rows: int) -> DataFrame:
     return dealt.select(block.alias("block"), "bits")
 
 
-
-
 # Comparison of a block
 
 
