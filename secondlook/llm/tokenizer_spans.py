@@ -6,10 +6,11 @@ the next one begins at a whole character. Between two coarse cuts, where charact
 byte-fallback tokens have empty spans, the tokens' decoded bytes give the exact ends. Places where tokens of both end cut the
 text into groups; a link joins the A token and the B token that end there.
 
-Both tokenizers cut a text at every single space between characters that aren't white space: A's pattern takes a space only as the
-first character of a match or within white space, and no piece of B holds a space after another character (which is checked when
-the model is read). So texts are cut into such segments, and a task aligns each distinct segment once; it keeps at most KEPT
-segments at hand.
+Both tokenizers cut a text before every single space or line feed between characters that aren't white space: A's pattern takes
+them only as the first character of a match or within white space, no piece of B holds a space after another character, and
+none a line feed (this is checked when the model is read). They also cut it between a letter and a punctuation mark at a segment's
+end, unless a piece of B holds both side by side. So texts are cut into such segments, and a task aligns each distinct segment
+once; it keeps at most KEPT segments at hand. A text with a segment whose bytes aren't met is aligned as a whole.
 
 How often an id pair is linked is counted over all documents. Pairs with more than a COMMON-th of all links are at most
 COMMON, so that their counts can be broadcast (about 8 MB); all others are looked up by a join in which, by the same count, no
@@ -24,6 +25,8 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from itertools import chain
+from re import compile
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from secondlook.session import stage
 
 COMMON = 1 << 19
 #: Segments whose alignment a task keeps at hand; the store starts anew beyond that.
-KEPT = 200_000
+KEPT = 400_000
 STEP_CHARS = 1 << 19
 #: An id pair as one number: A's id, then B's in the lower bits.
 B_BITS = 32
@@ -56,19 +59,11 @@ def aligner_of(path_a: str, path_b: str) -> "Aligner":
     return Aligner(path_a, path_b)
 
 
-class Segment:
-    """One aligned segment: its groups as text, its token numbers and its links; ``whole`` if both sides give its bytes."""
-
-    __slots__ = ("bytes_a", "bytes_b", "groups", "links", "n_a", "n_b")
-
-    def __init__(self, a_ids, b_ids, cuts, bytes_a, bytes_b):
-        self.n_a, self.n_b, self.bytes_a, self.bytes_b = len(a_ids), len(b_ids), bytes_a, bytes_b
-        parts, links, i, j = [], [], 0, 0
-        for at_a, at_b in cuts:
-            parts.append(",".join(map(str, a_ids[i:at_a])) + "|" + ",".join(map(str, b_ids[j:at_b])))
-            links.append(a_ids[at_a - 1] << B_BITS | b_ids[at_b - 1])
-            i, j = at_a, at_b
-        self.groups, self.links = ";".join(parts), links
+#: An aligned segment: numbers of tokens, groups as text, links, and whether both sides give its bytes.
+Segment = tuple[int, int, str, tuple, bool]
+MARKS = ".,;:!?"
+#: Places before a single space or line feed between characters that aren't white space.
+_CUT = compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class Aligner:
@@ -90,54 +85,82 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_MARK, " ").encode()
             for i, p in enumerate(pieces)
         ]
-        self.by_segments = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) for p in pieces)
-        self.kept: dict[str, Segment | None] = {}
+        self.space = self.b.piece_to_id(_SPACE_MARK)
+        self.by_segments = not any(_SPACE_MARK in p.lstrip(_SPACE_MARK) or "\n" in p for p in pieces)
+        beside = {m: {p[i - 1] for p in pieces for i in range(1, len(p)) if p[i] == m} for m in MARKS}
+        self.marks: dict[str, tuple[set, Segment]] = {}
+        for m in MARKS:
+            one, other = self.a.encode(m, add_special_tokens=False).ids, self.b.piece_to_id(m)
+            if len(one) == 1 and self.bytes_a[one[0]] == self.bytes_b[other] == m.encode():
+                self.marks[m] = beside[m], (1, 1, f"{one[0]}|{other}", (one[0] << B_BITS | other,), True)
+        self.kept: dict[str, Segment] = {}
 
     def segments(self, text: str) -> list[str]:
-        """Parts of a text that begin after a single space, which both tokenizers count to the part behind it."""
-        if not self.by_segments:
-            return [text]
-        parts = text.split(" ")
-        found, held = [], parts[0]
-        for before, part in zip(parts, parts[1:]):
-            if before and part and not before[-1].isspace() and not part[0].isspace():
-                found.append(held)
-                held = part
-            else:
-                held = f"{held} {part}"
-        found.append(held)
-        return found
+        """Parts of a space and the text, each beginning with a space or a line feed."""
+        return _CUT.split(" " + text) if self.by_segments else [" " + text]
 
     def align(self, segments: set[str]) -> None:
         """Have all of these segments at hand."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = [s for s in segments if s not in self.kept]
+        whole, cut = set(), []
+        for s in segments.difference(self.kept):
+            mark = self.marks.get(s[-1]) if self.by_segments else None
+            if mark and s[-2:-1].isalpha() and s[-2] not in mark[0]:
+                cut.append(s)
+                whole.add(s[:-1])
+            else:
+                whole.add(s)
+        new = list(whole.difference(self.kept))
         for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            ours = self.a.encode_batch([" " + s for s in some], add_special_tokens=False)
-            theirs = self.b.encode(some, return_type="proto", num_threads=1)
-            for s, one, other in zip(some, ours, theirs):
-                self.kept[s] = self._segment(" " + s, one, other.pieces)
-
-    def _segment(self, text: str, one, pieces) -> Segment:
-        b_ids, b_spans = [p.id for p in pieces], [(p.begin, p.end) for p in pieces]
-        bytes_a = [self.bytes_a[i] for i in one.ids]
-        bytes_b = [self.bytes_b[i] for i in b_ids]
-        coarse = _coarse(text, one.offsets, b_spans)
-        return Segment(one.ids, b_ids, _refined(coarse, bytes_a, bytes_b), b"".join(bytes_a), b"".join(bytes_b))
+            self.kept.update(zip(some := new[at : at + 1024], self.fresh(some)))
+        for s in cut:
+            n_a, n_b, groups, links, good = self.kept[s[:-1]]
+            _, (_, _, group, link, _) = self.marks[s[-1]]
+            self.kept[s] = n_a + 1, n_b + 1, f"{groups};{group}", links + link, good
+
+    def fresh(self, segments: list[str]) -> Iterator[Segment]:
+        """Segments aligned anew."""
+        ours = self.a.encode_batch(segments, add_special_tokens=False)
+        theirs = self.b.encode([s.removeprefix(" ") for s in segments], return_type="proto", num_threads=1)
+        for s, one, other in zip(segments, ours, theirs):
+            shift = s[0] == " "
+            spans = [(p.id, p.begin + shift, p.end + shift) for p in other.pieces]
+            if not shift and spans[0][0] == self.space:
+                del spans[0]  # the space that B adds
+            yield self._segment(s, one.ids, one.offsets, spans)
+
+    def _segment(self, text: str, a_ids: list[int], offsets: list[tuple], spans: list[tuple]) -> Segment:
+        b_ids = [p[0] for p in spans]
+        bytes_a, bytes_b = [self.bytes_a[i] for i in a_ids], [self.bytes_b[i] for i in b_ids]
+        whole = text.encode()
+        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            return 0, 0, "", (), False
+        if len(whole) == len(text):  # no character is shared by tokens, so all ends are cuts as they are
+            ends_a, ends_b = {x[1]: k for k, x in enumerate(offsets, 1)}, {x[2]: k for k, x in enumerate(spans, 1)}
+            cuts = [(k, ends_b[x]) for x, k in ends_a.items() if x in ends_b]
+        else:
+            cuts = _refined(_coarse(text, offsets, spans), bytes_a, bytes_b)
+        parts, links, i, j = [], [], 0, 0
+        for at_a, at_b in cuts:
+            if at_a - i == 1 == at_b - j:
+                parts.append(f"{a_ids[i]}|{b_ids[j]}")
+            else:
+                parts.append(",".join(map(str, a_ids[i:at_a])) + "|" + ",".join(map(str, b_ids[j:at_b])))
+            links.append(a_ids[at_a - 1] << B_BITS | b_ids[at_b - 1])
+            i, j = at_a, at_b
+        return len(a_ids), len(b_ids), ";".join(parts), tuple(links), True
 
 
 def _coarse(text: str, offsets: list[tuple], spans: list[tuple]) -> list[tuple[int, int]]:
     """(tokens of A, tokens of B) before each place where on both sides one token ends and the next begins at a character.
 
-    ``offsets`` are characters of the text, ``spans`` bytes of the text without its first space.
+    ``offsets`` are characters, ``spans`` (id, begin, end) bytes of the text.
     """
     ends_a = {x[1]: k for k, (x, y) in enumerate(zip(offsets, offsets[1:]), 1) if x[1] == y[0] and x[0] < x[1] and y[0] < y[1]}
-    ends_b = {x[1] + 1: k for k, (x, y) in enumerate(zip(spans, spans[1:]), 1) if x[1] == y[0] and x[0] < x[1] and y[0] < y[1]}
-    if not text.isascii():
-        place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).tolist()
-        ends_a = {place[c]: k for c, k in ends_a.items()}
+    ends_b = {x[2]: k for k, (x, y) in enumerate(zip(spans, spans[1:]), 1) if x[2] == y[1] and x[1] < x[2] and y[1] < y[2]}
+    place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).tolist()
+    ends_a = {place[c]: k for c, k in ends_a.items()}
     both = sorted(ends_a.keys() & ends_b.keys())
     return [(ends_a[x], ends_b[x]) for x in both] + [(len(offsets), len(spans))]
 
@@ -169,13 +192,16 @@ _NOTHING = (0, 0, 0, "", [], [])
 
 def _aligned_text(text: str, parts: list[str], aligner: Aligner) -> tuple:
     found = [aligner.kept[s] for s in parts]
-    whole = (" " + text).encode()
-    if b"".join([s.bytes_a for s in found]) != whole or b"".join([s.bytes_b for s in found]) != whole:
-        return _NOTHING
-    links = np.fromiter((x for s in found for x in s.links), np.int64)
-    pairs, times = np.unique(links, return_counts=True)
-    digest = hashlib.sha256(";".join([s.groups for s in found]).encode()).hexdigest()
-    return sum(s.n_a for s in found), sum(s.n_b for s in found), len(links), digest, pairs, times.astype(np.int32)
+    if not all([s[4] for s in found]):
+        found = list(aligner.fresh([" " + text]))
+        if not found[0][4]:
+            return _NOTHING
+    n_a, n_b, groups, links, _ = zip(*found)
+    pairs = np.fromiter(chain.from_iterable(links), np.int64)
+    n_links = len(pairs)
+    pairs, times = np.unique(pairs, return_counts=True)
+    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    return sum(n_a), sum(n_b), n_links, digest, pairs, times.astype(np.int32)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,8 @@ def test_alignment_equals_whole_texts(spark, common):
     ]
     texts = ["".join(draw.choice(pool) for _ in range(draw.randint(1, 25))) for _ in range(600)]
     texts += [" ".join(draw.choice(pool) for _ in range(draw.randint(1, 25))) for _ in range(600)]
+    words = ["word", "Word,", "mixing.", "it's", "naïve!", "日本?", "e.g.;", "end:", "x,", "9.", "a.b", "straße,", "),"]
+    texts += ["".join(draw.choice(words) + draw.choice(" \n ") for _ in range(draw.randint(1, 40))) for _ in range(400)]
     texts += [None, "", " ", "x" * 20_000, "é" * 3000, "the same text", "the same text"]
     expected = sorted((i, *r) for i, r in enumerate(brute_alignment(texts)))
     assert sum(r[1] > 0 for r in expected) > 500
@@ -170,10 +172,19 @@ def test_alignment_of_repeated_and_missing_ids(spark):
 
 def test_coarse_cuts_are_refined_inside_characters():
     aligner = tokenizer_spans.aligner_of(PATH_A, PATH_B)
-    aligner.align({"Ａ①b"})
-    found = aligner.kept["Ａ①b"]
-    assert found.bytes_a == found.bytes_b == " Ａ①b".encode()
-    assert sum(len(g.split("|")[0].split(",")) for g in found.groups.split(";")) == found.n_a
+    aligner.align({" Ａ①b"})
+    n_a, n_b, groups, links, good = aligner.kept[" Ａ①b"]
+    sides = [p.split("|") for p in groups.split(";")]
+    assert good and len(links) == len(sides)
+    assert [sum(len(s[k].split(",")) for s in sides) for k in (0, 1)] == [n_a, n_b]
+
+
+def test_segments_lose_nothing():
+    aligner = tokenizer_spans.aligner_of(PATH_A, PATH_B)
+    assert aligner.by_segments and set(aligner.marks) == set(tokenizer_spans.MARKS)
+    for text in random_texts(50, 8) + ["a b\nc  d \n e", " a", "\na ", "a\n\nb"]:
+        assert "".join(aligner.segments(text)) == " " + text
+    assert aligner.segments("a, b\nc") == [" a,", " b", "\nc"]
 
 
 # Pivot tables
