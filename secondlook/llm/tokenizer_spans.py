@@ -25,7 +25,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 from re import compile
 
 import numpy as np
@@ -93,6 +93,7 @@ class Aligner:
             one, other = self.a.encode(m, add_special_tokens=False).ids, self.b.piece_to_id(m)
             if len(one) == 1 and self.bytes_a[one[0]] == self.bytes_b[other] == m.encode():
                 self.marks[m] = beside[m], (1, 1, f"{one[0]}|{other}", (one[0] << B_BITS | other,), True)
+        self.numbers = [str(i) for i in range(max(*self.bytes_a, len(pieces)) + 1)]
         self.kept: dict[str, Segment] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -120,33 +121,37 @@ class Aligner:
             self.kept[s] = n_a + 1, n_b + 1, f"{groups};{group}", links + link, good
 
     def fresh(self, segments: list[str]) -> Iterator[Segment]:
-        """Segments aligned anew."""
+        """Segments aligned anew. Where all characters are ASCII, a token's span is its length."""
         ours = self.a.encode_batch(segments, add_special_tokens=False)
-        theirs = self.b.encode([s.removeprefix(" ") for s in segments], return_type="proto", num_threads=1)
-        for s, one, other in zip(segments, ours, theirs):
-            shift = s[0] == " "
-            spans = [(p.id, p.begin + shift, p.end + shift) for p in other.pieces]
-            if not shift and spans[0][0] == self.space:
-                del spans[0]  # the space that B adds
-            yield self._segment(s, one.ids, one.offsets, spans)
-
-    def _segment(self, text: str, a_ids: list[int], offsets: list[tuple], spans: list[tuple]) -> Segment:
-        b_ids = [p[0] for p in spans]
+        own = [s.removeprefix(" ") for s in segments]
+        plain = [s for s in own if s.isascii()]
+        ids = iter(self.b.encode(plain, num_threads=1))
+        protos = iter(self.b.encode([s for s in own if not s.isascii()], return_type="proto", num_threads=1))
+        for s, text, one in zip(segments, own, ours):
+            shift = len(s) - len(text)
+            if text.isascii():
+                b_ids, spans = next(ids), None
+            else:
+                pieces = next(protos).pieces
+                b_ids, spans = [p.id for p in pieces], [(p.begin + shift, p.end + shift) for p in pieces]
+            if not shift and b_ids[0] == self.space:  # the space that B adds
+                b_ids, spans = b_ids[1:], spans and spans[1:]
+            yield self._segment(s, one.ids, one.offsets, b_ids, spans)
+
+    def _segment(self, text: str, a_ids: list[int], offsets: list[tuple], b_ids: list[int], spans: list[tuple] | None) -> Segment:
         bytes_a, bytes_b = [self.bytes_a[i] for i in a_ids], [self.bytes_b[i] for i in b_ids]
         whole = text.encode()
         if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
             return 0, 0, "", (), False
-        if len(whole) == len(text):  # no character is shared by tokens, so all ends are cuts as they are
-            ends_a, ends_b = {x[1]: k for k, x in enumerate(offsets, 1)}, {x[2]: k for k, x in enumerate(spans, 1)}
-            cuts = [(k, ends_b[x]) for x, k in ends_a.items() if x in ends_b]
+        if spans is None:  # no character is shared by tokens, so all ends are cuts as they are
+            ends_b = {z: k for k, z in enumerate(accumulate(map(len, bytes_b)), 1)}
+            cuts = [(k, ends_b[x[1]]) for k, x in enumerate(offsets, 1) if x[1] in ends_b]
         else:
             cuts = _refined(_coarse(text, offsets, spans), bytes_a, bytes_b)
+        a_texts, b_texts = [self.numbers[i] for i in a_ids], [self.numbers[i] for i in b_ids]
         parts, links, i, j = [], [], 0, 0
         for at_a, at_b in cuts:
-            if at_a - i == 1 == at_b - j:
-                parts.append(f"{a_ids[i]}|{b_ids[j]}")
-            else:
-                parts.append(",".join(map(str, a_ids[i:at_a])) + "|" + ",".join(map(str, b_ids[j:at_b])))
+            parts.append(",".join(a_texts[i:at_a]) + "|" + ",".join(b_texts[j:at_b]))
             links.append(a_ids[at_a - 1] << B_BITS | b_ids[at_b - 1])
             i, j = at_a, at_b
         return len(a_ids), len(b_ids), ";".join(parts), tuple(links), True
@@ -155,12 +160,11 @@ class Aligner:
 def _coarse(text: str, offsets: list[tuple], spans: list[tuple]) -> list[tuple[int, int]]:
     """(tokens of A, tokens of B) before each place where on both sides one token ends and the next begins at a character.
 
-    ``offsets`` are characters, ``spans`` (id, begin, end) bytes of the text.
+    ``offsets`` are characters, ``spans`` bytes of the text.
     """
-    ends_a = {x[1]: k for k, (x, y) in enumerate(zip(offsets, offsets[1:]), 1) if x[1] == y[0] and x[0] < x[1] and y[0] < y[1]}
-    ends_b = {x[2]: k for k, (x, y) in enumerate(zip(spans, spans[1:]), 1) if x[2] == y[1] and x[1] < x[2] and y[1] < y[2]}
-    place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).tolist()
-    ends_a = {place[c]: k for c, k in ends_a.items()}
+    place = [0, *accumulate(len(c.encode()) for c in text)]
+    ends_a = {place[x[1]]: k for k, (x, y) in enumerate(pairwise(offsets), 1) if x[1] == y[0] and x[0] < x[1] and y[0] < y[1]}
+    ends_b = {x[1]: k for k, (x, y) in enumerate(pairwise(spans), 1) if x[1] == y[0] and x[0] < x[1] and y[0] < y[1]}
     both = sorted(ends_a.keys() & ends_b.keys())
     return [(ends_a[x], ends_b[x]) for x in both] + [(len(offsets), len(spans))]
 
