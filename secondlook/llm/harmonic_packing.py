@@ -19,7 +19,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,9 @@ END_ID = 2
 FAN_IN = 64
 #: A rest is not cut further if it leaves at most so many ids, or such a part of itself, of its share empty.
 SLACK_IDS, SLACK_PART = 8, 0.01
-#: Words whose ids a task keeps at hand; the store starts anew beyond that.
+#: Words of one generation of a task's store; a full one takes the place of the one before it.
 KEPT = 300_000
-STEP_CHARS = 1 << 19
+STEP_CHARS = 1 << 20
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -104,16 +106,33 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}  # as they stand in texts
         self.parts: dict[str, bytes] = {}  # lower-cased, without marks
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for store in (self.kept, self.parts):
-            if len(store) > KEPT:
-                store.clear()
-        words = [t.split(" ") for t in texts]
-        cut = {w: self._cut(w) for w in set().union(*words).difference(self.kept)}
+        self.older: tuple[dict, dict] = {}, {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(distinct)
+        known = [self.kept[w] for w in distinct]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        times = sizes[place]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        found = ids[np.repeat(begins[place] - ends[:-1], times) + np.arange(ends[-1])]
+        edges = ends[words.offsets.to_numpy()].tolist()
+        return [found[a:z] for a, z in zip(edges, edges[1:])]
+
+    def _learn(self, words: list[str]) -> None:
+        """Have the ids of all of these words at hand; what hasn't been met for KEPT words is forgotten."""
+        if max(len(self.kept), len(self.parts)) > KEPT:
+            self.older, self.kept, self.parts = (self.kept, self.parts), {}, {}
+        self.kept.update((w, self.older[0][w]) for w in words if w in self.older[0])
+        cut = {w: self._cut(w) for w in words if w not in self.kept}
+        wanted = {part for pair in cut.values() for part in pair}.difference(self.parts)
+        self.parts.update((w, self.older[1][w]) for w in wanted & self.older[1].keys())
         new = []
-        for part in {part for pair in cut.values() for part in pair}.difference(self.parts):
+        for part in wanted.difference(self.parts):
             if part.isascii() and part.isalpha() and part.islower():  # nothing to normalise or to split
                 self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
             else:
@@ -124,13 +143,18 @@ class WordTokenizer:
                 self.parts[w] = array("I", e.ids).tobytes()
         for w, (core, marks) in cut.items():
             self.kept[w] = self.parts[core] + self.parts[marks]
-        return [b"".join([self.kept[w] for w in ws]) for ws in words]
 
     def _cut(self, word: str) -> tuple[str, str]:
+        """A word and the marks behind it, if the word ends in a letter in the form in which the tokenizer reads it."""
         core = word.rstrip(self.MARKS)
-        if not core or not core[-1].isalpha() or "<|" in core:  # the latter may begin a special token
+        if not core or "<|" in core:  # may begin a special token
+            return word, ""
+        if core.isascii():
+            return (core.lower(), word[len(core) :]) if core[-1].isalpha() else (word, "")
+        if core == word:
             return word, ""
-        return core.lower() if core.isascii() else core, word[len(core) :]
+        read = self.tokenizer.normalizer.normalize_str(core)
+        return (core, word[len(core) :]) if read and read[-1].isalpha() else (word, "")
 
 
 PIECE = (
@@ -162,12 +186,12 @@ class _Rows:
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    tokenizer, bins, rows, end = tokenizer_of(vocabulary), Bins(), _Rows(0), array("I", [END_ID]).tobytes()
+    tokenizer, bins, rows, end = tokenizer_of(vocabulary), Bins(), _Rows(0), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for some in _parts(list(zip(batch.column("doc_id").to_pylist(), texts))):
             for (key, _), ids in zip(some, tokenizer.encode([t for _, t in some])):
-                _place(key, ids + end, bins, rows)
+                _place(key, ids.tobytes() + end, bins, rows)
             yield rows.batch()
     rows.open(bins.left())
     yield rows.batch()
