@@ -28,7 +28,10 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script with at least this share of its training letters.
 MIN_SHARE = 0.01
-STEP_CHARS = 1 << 18
+#: Characters of a run of texts, times languages when they are scored; a single longer text forms a run of its own.
+STEP_CHARS = 1 << 20
+#: Words that are scored at once.
+CHUNK_WORDS = 1 << 14
 
 #: First code points of script ranges with the script's number; 0 is "any other".
 SCRIPT_RANGES = (
@@ -90,12 +93,13 @@ def words_of(run: list[str]) -> Words:
     return Words(np.searchsorted(starts, offsets), starts, ends, offsets, grams.astype(np.int64), script_of[points[starts]])
 
 
-def runs(texts: list[str]) -> Iterator[list[str]]:
+def runs(texts: list[str], limit: int = STEP_CHARS) -> Iterator[list[str]]:
+    """Runs of consecutive texts with about ``limit`` characters each."""
     run, size = [], 0
     for t in texts:
         run.append(t)
-        size += len(t)
-        if size >= STEP_CHARS:
+        size += len(t) + 1
+        if size >= limit:
             yield run
             run, size = [], 0
     if run:
@@ -149,13 +153,17 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
 
 def word_scores(found: Words, model: LanguageModel) -> np.ndarray:
-    """(words, languages): the summed trigram scores; languages that don't use the word's script get -inf."""
-    sums = np.zeros((len(found.grams) + 1, len(model.languages)))
-    np.cumsum(model.scores[found.grams], axis=0, out=sums[1:])
-    scores = sums[found.ends + 1] - sums[found.starts]
+    """(words, languages): the summed trigram scores; languages that don't use the word's script get -1e6."""
+    scores = np.zeros((len(found.starts), len(model.languages)), np.float32)
+    for a in range(0, len(scores), CHUNK_WORDS):
+        starts, ends = found.starts[a : a + CHUNK_WORDS], found.ends[a : a + CHUNK_WORDS]
+        sums = np.zeros((ends[-1] + 2 - starts[0], len(model.languages)))
+        np.cumsum(model.scores[found.grams[starts[0] : ends[-1] + 1]], axis=0, out=sums[1:])
+        scores[a : a + CHUNK_WORDS] = sums[ends + 1 - starts[0]] - sums[starts - starts[0]]
     open_to = model.candidates[found.scripts]
     open_to[~open_to.any(1)] = True  # a script that no language uses tells nothing
-    return np.where(open_to, scores, -1e6)
+    scores[~open_to] = -1e6
+    return scores
 
 
 def best_paths(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -165,7 +173,7 @@ def best_paths(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     start, n_active = first[order], np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
     switched = np.zeros(scores.shape, bool)
     leaders, path = np.zeros(len(scores), np.int8 if scores.shape[1] < 128 else np.int32), np.zeros(len(scores), np.int32)
-    value = np.zeros((len(order), scores.shape[1]))
+    value = np.zeros((len(order), scores.shape[1]))  # sums of many words need the longer floats
     for t, n in enumerate(n_active):
         at, v = start[:n] + t, value[:n]
         if t:
@@ -190,18 +198,11 @@ def identify(texts: list[str], model: LanguageModel, spans: bool) -> list[tuple]
     if not model.languages:
         return [(UNKNOWN, 0.0, [])] * len(texts)
     results: list[tuple] = []
-    held: list[tuple[Words, np.ndarray]] = []
-    for run in runs(texts):
+    for run in runs(texts, max(STEP_CHARS // len(model.languages), 1)):
         found = words_of(run)
-        found.grams, scores = found.grams[:0], word_scores(found, model)
-        held.append((found, scores))
-    if not held:
-        return []
-    shifts = np.cumsum([0, *(len(s) for _, s in held)])
-    first = np.concatenate([f.first[:-1] + k for (f, _), k in zip(held, shifts)] + [shifts[-1:]])
-    path = best_paths(np.concatenate([s for _, s in held]), first)
-    for (f, _), k in zip(held, shifts):
-        results += _summaries(f, path[k : k + len(f.starts)], model, spans)
+        scores = word_scores(found, model)
+        found.grams = found.grams[:0]
+        results += _summaries(found, best_paths(scores, found.first), model, spans)
     return results
 
 
@@ -236,10 +237,10 @@ def with_language(
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = identify([t or "" for t in texts.to_pylist()], model, spans)
-            parts = [
-                {"lang": a, "score": b, "spans": [{"start": s, "stop": e, "lang": n} for s, e, n in c]} for a, b, c in found
-            ]
-            yield pa.array(parts, _ARROW)
+            languages, scores, parts = zip(*found) if found else ((), (), ())
+            named = [[{"start": s, "stop": e, "lang": n} for s, e, n in part] for part in parts]
+            columns = [pa.array(c, f.type) for c, f in zip((languages, scores, named), _ARROW)]
+            yield pa.StructArray.from_arrays(columns, fields=list(_ARROW))
 
     return documents.withColumn(out, identified(F.col(text)))
 
