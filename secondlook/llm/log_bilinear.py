@@ -8,7 +8,7 @@ tables of scores and of the logarithm of their sums.
 
 Counts cover all training documents: c per token, N, V and the mass of each class. Training uses every
 position of all training documents; tasks, whose number grows with the input, learn in parallel from the same
-start, and their parameters are averaged, in ROUNDS rounds.
+start, each from the texts that it reads, and their parameters are averaged, in ROUNDS rounds.
 
 Tokens above 1/COMMON of all are at most COMMON (8 MB), so their counts are broadcast; the others are looked up by a join, and
 none of them has more than that share of the rows.
@@ -37,8 +37,6 @@ COMMON = 1 << 19
 DIMENSIONS = 32
 ROUNDS, NOISE, BATCH = 2, 16, 512
 RATE = 0.3
-#: Positions that one training task learns from.
-TASK_POSITIONS = 1 << 19
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 1 << 20
 END_TOKEN = int(mixed(np.array([0xE0F], np.uint64)).astype(np.int64)[0])
@@ -188,11 +186,13 @@ class Parameters:
         self.bias = rows[2 * TOTAL + 2 :].reshape(-1)[:TOTAL, None].copy()
 
 
-def learn(p: Parameters, noise: np.ndarray, examples: np.ndarray, seed: int) -> None:
-    """One pass of NCE over (target, one before, two before), with adaptive rates and shared noise per batch."""
+def learn(p: Parameters, noise: np.ndarray, examples: np.ndarray, seed: int, squares: dict[str, np.ndarray]) -> None:
+    """One pass of NCE over (target, one before, two before), with adaptive rates and shared noise per batch.
+
+    ``squares`` are the sums of squared gradients, which set the rates; they grow from call to call.
+    """
     draw = np.random.default_rng(seed)
     cumulative, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
-    squares = {n: np.full(getattr(p, n).shape, 1e-2, np.float32) for n in Parameters.NAMES}
     for at in range(0, len(examples), BATCH):
         w, one, two = examples[at : at + BATCH].T
         n = len(w)
@@ -224,49 +224,48 @@ def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     to[own[cuts]] += np.add.reduceat(rows[order], cuts, axis=0)
 
 
-def _positions(batches: Iterator[pa.RecordBatch], known: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Every position of all training texts, with its context; the symbols fit in 16 bits."""
-    for batch in batches:
-        for run in steps(as_bytes(batch.column("text"))):
-            found = tokens(run)
-            symbols, _ = looked_up(found, known)
-            one, two = contexts(symbols, found)
-            columns = [c.astype(np.int16) for c in (symbols, one, two)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["target", "one", "two"])
+def _examples(run: list[bytes], known: Vocabulary) -> np.ndarray:
+    """(target, one before, two before) of every position of a run of texts."""
+    found = tokens(run)
+    symbols, _ = looked_up(found, known)
+    return np.stack([symbols, *contexts(symbols, found)], 1)
 
 
 def _learned(batches: Iterator[pa.RecordBatch], start: np.ndarray, known: Vocabulary, turn: int) -> Iterator[pa.RecordBatch]:
+    """A task's parameters after all positions of its texts, weighted by their number."""
     p, seen = Parameters(known), 0
     p.take(start)
     noise = (known.symbol_counts + 1) / (known.symbol_counts + 1).sum()
+    squares = {n: np.full(getattr(p, n).shape, 1e-2, np.float32) for n in Parameters.NAMES}
     for batch in batches:
-        examples = np.stack([np.asarray(batch.column(n)) for n in ("target", "one", "two")], 1)
-        if len(examples):
+        for run in steps(as_bytes(batch.column("text"))):
+            examples = _examples(run, known)
             order = np.random.default_rng([turn, seen]).permutation(len(examples))
-            learn(p, noise, examples[order], turn * 1_000_003 + seen)
+            learn(p, noise, examples[order], turn * 1_000_003 + seen, squares)
             seen += len(examples)
     if seen:
         rows = p.rows().astype(np.float64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float64()))], ["row", "v"]
+            [pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float64())), pa.array([float(seen)] * len(rows))],
+            ["row", "v", "seen"],
         )
 
 
 def train(texts: DataFrame, known: Vocabulary) -> Parameters:
-    """Parallel training over positions of all texts; the average of the tasks' parameters after each round."""
+    """Every task learns from all positions of its own texts as it cuts them into tokens; nothing is written.
+
+    After each round the tasks' parameters are averaged by their positions; each task sends as many rows as the model has.
+    """
     p = Parameters(known)
     if not known.total:
         return p
-    spread = max(1, round(known.total / TASK_POSITIONS))
-    drawn = texts.select("text").mapInArrow(lambda b: _positions(b, known), "target short, one short, two short")
-    positions = stage(drawn.repartition(spread), "positions")
     for turn in range(ROUNDS):
         start = p.rows()
-        tasks = positions.repartition(spread).mapInArrow(
-            lambda b, start=start, turn=turn: _learned(b, start, known, turn), "row long, v array<double>"
+        tasks = texts.select("text").mapInArrow(
+            lambda b, start=start, turn=turn: _learned(b, start, known, turn), "row long, v array<double>, seen double"
         )
-        means = tasks.groupBy("row").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(DIMENSIONS)]).alias("v"))
-        merged = means.toPandas().sort_values("row")  # as many rows as the model has
+        sums = F.array(*[F.sum(F.col("v")[i] * F.col("seen")) / F.sum("seen") for i in range(DIMENSIONS)])
+        merged = tasks.groupBy("row").agg(sums.alias("v")).toPandas().sort_values("row")  # as many rows as the model has
         if len(merged):
             p.take(np.stack(merged["v"].to_numpy()).astype(np.float32))
     return p
