@@ -82,7 +82,8 @@ def base_spans(text: str) -> list[Span]:
     spans = [(a, z, 0) for a, z in emails(text)] if "@" in text else []
     if _DIGIT(text):
         for m in _IP(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 spans.append((*m.span(), 1))
         for m in _CARD(text):
             digits = _NOT_DIGITS("", m[0])
