@@ -10,7 +10,7 @@ Both tokenizers cut a text before every single space or line feed between charac
 them only as the first character of a match or within white space, no piece of B holds a space after another character, and
 none a line feed (this is checked when the model is read). They also cut it between a letter and a punctuation mark at a segment's
 end, unless a piece of B holds both side by side. So texts are cut into such segments, and a task aligns each distinct segment
-once; it keeps at most KEPT segments at hand. A text with a segment whose bytes aren't met is aligned as a whole.
+once and keeps about twice KEPT segments at hand. A text with a segment whose bytes aren't met is aligned as a whole.
 
 How often an id pair is linked is counted over all documents. Pairs with more than a COMMON-th of all links are at most
 COMMON, so that their counts can be broadcast (about 8 MB); all others are looked up by a join in which, by the same count, no
@@ -37,8 +37,9 @@ from secondlook.llm.common import table
 from secondlook.session import stage
 
 COMMON = 1 << 19
-#: Segments whose alignment a task keeps at hand; the store starts anew beyond that.
-KEPT = 400_000
+#: Aligned segments of one generation of a task's store. When a generation is full, the one before it goes; what is met again
+#: moves to the new one.
+KEPT = 300_000
 STEP_CHARS = 1 << 19
 #: An id pair as one number: A's id, then B's in the lower bits.
 B_BITS = 32
@@ -95,6 +96,7 @@ class Aligner:
                 self.marks[m] = beside[m], (1, 1, f"{one[0]}|{other}", (one[0] << B_BITS | other,), True)
         self.numbers = [str(i) for i in range(max(*self.bytes_a, len(pieces)) + 1)]
         self.kept: dict[str, Segment] = {}
+        self.older: dict[str, Segment] = {}
 
     def segments(self, text: str) -> list[str]:
         """Parts of a space and the text, each beginning with a space or a line feed."""
@@ -103,15 +105,20 @@ class Aligner:
     def align(self, segments: set[str]) -> None:
         """Have all of these segments at hand."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.kept, self.older = {}, self.kept
         whole, cut = set(), []
         for s in segments.difference(self.kept):
+            if s in self.older:
+                self.kept[s] = self.older[s]
+                continue
             mark = self.marks.get(s[-1]) if self.by_segments else None
             if mark and s[-2:-1].isalpha() and s[-2] not in mark[0]:
                 cut.append(s)
                 whole.add(s[:-1])
             else:
                 whole.add(s)
+        known = whole & self.older.keys()
+        self.kept.update((s, self.older[s]) for s in known)
         new = list(whole.difference(self.kept))
         for at in range(0, len(new), 1024):
             self.kept.update(zip(some := new[at : at + 1024], self.fresh(some)))
