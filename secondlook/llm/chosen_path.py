@@ -1,16 +1,19 @@
 """MinHash near-dedup: a chosen-path set similarity join over minwise tokens.
 
-A document is the set of its word shingles. Documents with equal sets form a class; only one of each class goes on.
-Every class has a row of COORDINATES minwise values. A tree chooses coordinates at random and branches the classes by
+A document is the set of its word shingles. Documents with equal sets (by a 64-bit hash of the whole set) form a class; only one of
+each class goes on. Every class has COORDINATES minwise values. A tree chooses coordinates at random and branches the classes by
 their values there, so that classes at similarity s stay together with probability s per step. Nodes of at most
-NODE_ROWS classes are compared exhaustively (by estimates from the minwise values); larger ones compare every member
-with one of theirs and branch further, in several ways at once, lest a pair be lost on the way through a crowd. TREES
-independent trees find a pair at the threshold with probability 1 - (1 - 0.8 ** FIRST_DEPTH) ** TREES, over 0.9999,
-where nodes are small at first depth.
-
-What a node suggests is confirmed on full sets, in two rounds: first a spanning forest of each node's estimates in a few
-trees, which joins almost all; then, in all trees, every candidate pair that is not yet in one component. Pairs within a
-component need no test, so that large groups of copies never yield all their pairs, and nodes within one component end.
+NODE_ROWS classes are compared exhaustively, by estimates from the minwise values. Larger ones branch further, in WAYS ways for
+every three coordinates: a pair at the threshold then meets again in about one of them, while a crowd of texts that are less alike
+thins out faster than it is repeated. What is still large at the last depth is cut into runs, and all runs are compared with
+one another, block by block, so that nothing is left out there. Where nodes are small at first depth, TREES independent trees meet a pair at
+the threshold with probability 1 - (1 - 0.8 ** 3) ** TREES, over 0.9999999; estimates that fall by chance below LEAST_AGREEMENT (four
+deviations) lose less than 1 pair in 10,000.
+
+What a node suggests is confirmed on full sets. First a spanning forest of each node's estimates in a few trees, for nodes cut
+into small runs, joins almost all; then, in all trees, each member's best candidates in other components, first a few of them, then
+GROWTH times as many, until none is left out. Pairs within a component need no test, so that large groups of copies never yield all
+their pairs, and nodes within one component end.
 
 Defined cases: null and empty texts, or texts without words, have an empty set, link with nothing and are kept; a
 text with fewer words than a shingle is one shingle; rows without an id link with nothing, have no component and are
@@ -26,19 +29,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import as_bytes, joined, mixed, steps, table, words
+from secondlook.llm.components import components
+from secondlook.operators.skew import spread_lookup
 from secondlook.session import stage
 
-COORDINATES = 96
-TREES, FIRST_TREES = 12, 3
-#: Depth at which nodes are first looked at, and the depths to which large ones branch further.
-DEPTHS = (3, 5, 7, 9, 12, 16, 22, 30, 40)
-#: Ways in which a large node branches in the second round; a pair at the threshold stays together in one of two ways
-#: over two coordinates with probability 0.87, and the crowd around it shrinks faster than it is repeated.
-BRANCHES = 2
-NODE_ROWS = 256
-#: Pairs are confirmed if they agree in at least this share of the coordinates, over four deviations below 0.8.
-LEAST_AGREEMENT = 0.63
-MAX_ROUNDS = 60
+#: Minwise values of which estimates take the last byte, and the first of them, by which trees branch.
+COORDINATES, PATH = 256, 96
+TREES, FIRST_TREES = 24, 3
+#: Depths at which nodes are looked at, and the ways in which large ones branch from one to the next.
+DEPTHS = (3, 6, 9, 12, 15, 18)
+WAYS = 2
+#: Classes that are compared exhaustively, and those of a run in the first round.
+NODE_ROWS, RUN_ROWS = 4096, 512
+#: Pairs are confirmed if they agree in at least this share of the coordinates, four deviations below 0.8, and in so many of QUICK.
+LEAST_AGREEMENT, QUICK, QUICK_LEAST = 0.70, 32, 15
+#: Candidates of each member in the second round's first pass; each further pass takes GROWTH times as many.
+FIRST_CANDIDATES, GROWTH = 8, 64
+#: Members, and pairs, that are compared at once.
+TILE, PAIRS = 64, 1 << 16
 
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -62,15 +70,18 @@ def class_key(shingles: np.ndarray) -> int:
     return int(mixed(total ^ np.uint64(len(shingles))).astype(np.int64)[0])
 
 
-def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, COORDINATES) minwise values of sets that aren't empty."""
+def minwise(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(PATH minwise values, the last bytes of all COORDINATES) of sets that aren't empty."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    signs = np.empty((len(sets), COORDINATES), np.int32)
+    path, sign = np.empty((len(sets), PATH), np.int32), np.empty((len(sets), COORDINATES), np.uint8)
     for t, seed in enumerate(_SEEDS):
         values = ((flat ^ (seed >> np.uint64(7))) * seed >> np.uint64(32)).astype(np.uint32)
-        signs[:, t] = np.minimum.reduceat(values, starts).view(np.int32)
-    return signs
+        least = np.minimum.reduceat(values, starts)
+        sign[:, t] = least
+        if t < PATH:
+            path[:, t] = least.view(np.int32)
+    return path, sign
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -79,18 +90,20 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         for run in steps(as_bytes(batch.column("text"))):
             sets = shingle_sets(run, size)
             full = [i for i, s in enumerate(sets) if len(s)]
+            paths: list = [None] * len(sets)
             signs: list = [None] * len(sets)
-            for i, sign in zip(full, minwise([sets[i] for i in full]) if full else []):
-                signs[i] = sign
+            for i, path, sign in zip(full, *minwise([sets[i] for i in full])) if full else ():
+                paths[i], signs[i] = path, sign.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(at, len(run)),
                     batch.column("text_key").slice(at, len(run)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(signs, pa.list_(pa.int32())),
+                    pa.array(paths, pa.list_(pa.int32())),
+                    pa.array(signs, pa.binary()),
                 ],
-                ["doc_id", "text_key", "n_shingles", "class", "sign"],
+                ["doc_id", "text_key", "n_shingles", "class", "path", "sign"],
             )
             at += len(run)
 
@@ -100,11 +113,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(text)
 
 
-SKETCHED = "doc_id long, text_key long, n_shingles long, class long, sign array<int>"
+SKETCHED = "doc_id long, text_key long, n_shingles long, class long, path array<int>, sign binary"
 
 
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, class, sign) per row; class and sign are null for an empty set."""
+    """(doc_id, text_key, n_shingles, class, path, sign) per row; class, path and sign are null for an empty set."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
     return texts.mapInArrow(lambda b: _sketched(b, size), SKETCHED)
 
@@ -113,59 +126,58 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
 
 
 def _chosen(tree: int, way: int = 0) -> np.ndarray:
-    return np.random.default_rng(1000 + tree + 100 * way).permutation(COORDINATES)
+    return np.random.default_rng(1000 + tree + 100 * way).permutation(PATH)
 
 
 def _branch(node, coordinates):
-    return F.xxhash64(node, *[F.get("sign", F.lit(int(c))) for c in coordinates])
+    return F.xxhash64(node, *[F.get("path", F.lit(int(c))) for c in coordinates])
 
 
 def _sized(current: DataFrame) -> DataFrame:
-    """The rows of nodes that hold more than one component, with the node's size and its smallest class."""
-    sizes = current.groupBy("node").agg(
-        F.count("*").alias("n"),
-        F.min("class").alias("pivot"),
-        F.min_by("label", "class").alias("pivot_label"),
-        F.min("label").alias("lo"),
-        F.max("label").alias("hi"),
-    )
+    """The rows of nodes that hold more than one component, with the node's size."""
+    sizes = current.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     return stage(current.join(sizes.filter("lo < hi").drop("lo", "hi"), "node"), "nodes")
 
 
-def roots(signs: DataFrame) -> DataFrame:
+def roots(classes: DataFrame) -> DataFrame:
     """All nodes at the first depth in which classes meet."""
     nodes = F.array(*[_branch(F.lit(t), _chosen(t)[: DEPTHS[0]]) for t in range(TREES)])
-    found = signs.select("class", F.col("class").alias("label"), F.posexplode(nodes).alias("tree", "node"))
+    found = classes.select("class", F.col("class").alias("label"), F.posexplode(nodes).alias("tree", "node"))
     return _sized(found)
 
 
-def node_members(sized: DataFrame, signs: DataFrame, ways: int) -> tuple[DataFrame, DataFrame]:
-    """(node, class, label) of all nodes up to NODE_ROWS classes, and (a, b): each member of a larger one with one of it.
+def small_runs(sized: DataFrame) -> DataFrame:
+    """(node, class, label): nodes cut into runs of about RUN_ROWS by a hash, and one more node of some of each run's members."""
+    runs = F.ceil(F.col("n") / RUN_ROWS)
+    drawn = F.xxhash64("class", F.lit(5))
+    cut = sized.select(F.xxhash64("node", F.pmod(drawn, runs)).alias("node"), "class", "label")
+    some = sized.filter((F.col("n") > RUN_ROWS) & (F.pmod(F.xxhash64("class", F.lit(6)), runs) == 0))
+    return cut.unionAll(some.select(F.xxhash64("node", F.lit(-1)).alias("node"), "class", "label"))
 
-    The larger nodes branch until they are small. Those that aren't at the last depth agree in most coordinates; they
-    are cut into runs of members by a hash, and the comparison with one member joins the runs.
-    """
-    small, stars = [], []
+
+def node_members(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, class, label) of all nodes up to NODE_ROWS classes; larger ones branch, and at last are cut into pairs of runs."""
+    small = []
     for level, depth in enumerate(DEPTHS):
         small.append(sized.filter(F.col("n") <= NODE_ROWS).select("node", "class", "label"))
         many = sized.filter(F.col("n") > NODE_ROWS)
         if many.isEmpty():
             break
-        stars.append(many.filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("class").alias("b")))
         if level + 1 == len(DEPTHS):
-            runs = F.ceil(2 * F.col("n") / NODE_ROWS)
-            cut = F.xxhash64("node", F.pmod(F.xxhash64("class", F.lit(5)), runs))
-            small.append(many.select(cut.alias("node"), "class", "label"))
+            runs = F.ceil(2 * F.col("n") / NODE_ROWS).cast("int")
+            own = F.pmod(F.xxhash64("class", F.lit(5)), runs).cast("int")
+            dealt = many.select("node", "class", "label", own.alias("run"), F.explode(F.sequence(F.lit(0), runs - 1)).alias("other"))
+            block = F.xxhash64("node", F.least("run", "other"), F.greatest("run", "other"))
+            small.append(dealt.select(block.alias("node"), "class", "label"))
             break
         part = slice(depth, DEPTHS[level + 1])
         deeper = F.array(*[
-            F.array(*[F.xxhash64(F.lit(w), _branch(F.col("node"), _chosen(t, w)[part])) for w in range(ways)])
+            F.array(*[F.xxhash64(F.lit(w), _branch(F.col("node"), _chosen(t, w)[part])) for w in range(WAYS)])
             for t in range(TREES)
         ])
-        rows = many.select("class", "label", "tree", "node").join(signs, "class")
+        rows = many.select("class", "label", "tree", "node").join(classes.select("class", "path"), "class")
         sized = _sized(rows.select("class", "label", "tree", F.explode(F.get(deeper, F.col("tree"))).alias("node")))
-    none = sized.sparkSession.createDataFrame([], "a long, b long")
-    return reduce(DataFrame.unionAll, small), reduce(DataFrame.unionAll, stars, none).distinct()
+    return reduce(DataFrame.unionAll, small)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -188,64 +200,98 @@ def _cut_groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         return
     rows = rows.combine_chunks()
     nodes, classes, labels = (rows.column(n).to_numpy() for n in ("node", "class", "label"))
-    signs = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if z - a > 1:
             yield classes[a:z], labels[a:z], signs[a:z]
 
 
-def _agreements(signs: np.ndarray) -> np.ndarray:
-    return np.stack([(signs == s).sum(1) for s in signs])
-
-
-def _suggested(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each node: a spanning forest of its best estimates, or all pairs across components."""
-    least = LEAST_AGREEMENT * COORDINATES
+def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreements) of the pairs i < j in different components whose signs agree well enough."""
+    quick = np.ascontiguousarray(signs[:, :QUICK])
+    found = []
+    for a in range(0, len(signs), TILE):
+        agree = (quick[a : a + TILE, None] == quick[None, a:]).sum(2, dtype=np.uint8) >= QUICK_LEAST
+        i, j = np.nonzero(np.triu(agree & (labels[a : a + TILE, None] != labels[None, a:]), 1))
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS] + a, j[k : k + PAIRS] + a
+            both = (signs[x] == signs[y]).sum(1)
+            good = both >= LEAST_AGREEMENT * COORDINATES
+            found.append((x[good].astype(np.int32), y[good].astype(np.int32), both[good].astype(np.int16)))
+    none = np.zeros(0, np.int32)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)
+
+
+def best_of_each(n: int, i, j, agree, most: int) -> tuple[np.ndarray, bool]:
+    """Pairs that are among the ``most`` best of one of their members, and whether there are others."""
+    if len(i) <= most:
+        return np.arange(len(i)), False
+    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((-np.tile(agree, 2), ends))
+    ends = ends[order]
+    rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
+    kept = np.unique(pair[order[rank < most]])
+    return kept, len(kept) < len(i)
+
+
+def _suggested(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each node: a spanning forest of its estimates, or each member's ``most`` best across components.
+
+    A row with ``more`` tells that a node has more candidates than that.
+    """
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    n_out = 0
+    n_out, more = 0, False
     for classes, labels, signs in _groups(batches):
-        if not forest and (labels == labels[0]).all():
+        if (labels == labels[0]).all():
             continue
-        agree = _agreements(signs)
-        if forest:
-            pairs = _forest(agree, least)
+        i, j, agree = close_pairs(signs, labels)
+        if most is None:
+            kept = _forest(len(classes), i, j, agree)
         else:
-            pairs = np.argwhere(np.triu((agree >= least) & (labels[:, None] != labels[None, :]), 1))
-        if len(pairs):
-            ends = np.sort(classes[pairs], axis=1)
+            kept, others = best_of_each(len(classes), i, j, agree, most)
+            more |= others
+        if len(kept):
+            ends = np.sort(np.stack([classes[i[kept]], classes[j[kept]]], 1), axis=1)
             out.append((ends[:, 0], ends[:, 1]))
-            n_out += len(pairs)
+            n_out += len(kept)
         if n_out > 50_000:
             yield _pairs_batch(out)
             out, n_out = [], 0
-    yield _pairs_batch(out)
+    yield _pairs_batch(out, more)
 
 
-def _pairs_batch(out) -> pa.RecordBatch:
+def _pairs_batch(out, more: bool = False) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-
-
-def _forest(agree: np.ndarray, least: float) -> np.ndarray:
-    """Edges of a maximum spanning forest of the agreements that are high enough (Prim's way)."""
-    n = len(agree)
-    best, source, outside = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
-    edges = []
-    for _ in range(n):
-        at = int(np.argmax(np.where(outside, best, -2)))
-        if best[at] >= least:
-            edges.append((source[at], at))
-        outside[at] = False
-        closer = outside & (agree[at] > best)
-        best[closer], source[closer] = agree[at][closer], at
-    return np.array(edges, np.int64).reshape(-1, 2)
-
-
-def suggested(members: DataFrame, signs: DataFrame, forest: bool) -> DataFrame:
-    rows = members.join(signs, "class").select("node", "class", "label", "sign")
+    flags = np.zeros(len(columns[0]) + more, bool)
+    flags[len(columns[0]) :] = True
+    rows = [pa.array(np.append(c, np.zeros(int(more), np.int64))) for c in columns]
+    return pa.RecordBatch.from_arrays([*rows, pa.array(flags)], ["a", "b", "more"])
+
+
+def _forest(n: int, i, j, agree) -> np.ndarray:
+    """The pairs of a spanning forest, best agreements first."""
+    root = list(range(n))
+    kept = []
+    for k in np.argsort(-agree, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[a] = b
+            kept.append(k)
+            if len(kept) == n - 1:
+                break
+    return np.array(kept, np.int64)
+
+
+def suggested(members: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
+    """(a, b, more)"""
+    rows = members.join(classes.select("class", "sign"), "class").select("node", "class", "label", "sign")
     dealt = rows.repartition("node").sortWithinPartitions("node", "class")
-    return dealt.mapInArrow(lambda b: _suggested(b, forest), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda b: _suggested(b, most), "a long, b long, more boolean").distinct()
 
 
 # Confirmation
@@ -282,25 +328,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """The pairs whose full sets are similar enough."""
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda b: _confirmed(b, size, percent), "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(class, label): the smallest class that the links reach, for every class with a link."""
-    ways = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage(ways.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
-        heard = ways.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, "a").select("a", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("jump"))
-        moved = stage(
-            nearer.join(jump, "label").select("a", "old", F.least("label", "jump").alias("label")), "labels"
-        )
-        labels = moved.select("a", "label")
-        if moved.filter("old <> label").isEmpty():
-            return labels.withColumnRenamed("a", "class")
-    raise RuntimeError("the components did not settle")
+    both = spread_lookup(spread_lookup(pairs.select("a", "b"), one, "a", "b", how="inner"), other, "b", "a", how="inner")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirmed(b, size, percent), "a long, b long")
+
+
+def named_components(links: DataFrame) -> DataFrame:
+    """(class, label) of every class with a link."""
+    return components(links).withColumnRenamed("node", "class")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -316,36 +350,42 @@ def marked_rows(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     """
     drawn = stage(sketches(documents, size), "sketches")
     known = drawn.filter("doc_id IS NOT NULL AND class IS NOT NULL")
-    firsts = F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("first")
-    classes = stage(known.groupBy("class").agg(*firsts, F.any_value("sign").alias("sign")), "classes")
-    signs = classes.select("class", "sign")
+    firsts = F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n_rows")
+    sketch = F.any_value(F.struct("path", "sign")).alias("sketch")
+    classes = stage(known.groupBy("class").agg(*firsts, sketch).select("*", "sketch.*").drop("sketch"), "classes")
 
-    first_nodes = roots(signs)
+    first_nodes = roots(classes)
     met = classes.join(first_nodes.select("class").distinct(), "class", "left_semi")
     texts = stage(class_texts(documents, met.select("class", "first_id"), size), "texts")
 
-    members, stars = node_members(first_nodes.filter(F.col("tree") < FIRST_TREES), signs, 1)
-    first_pairs = stage(suggested(members, signs, True).unionAll(stars).distinct(), "pairs")
-    links = stage(confirmed(first_pairs, texts, size, percent), "links")
-    labels = components(links)
-
-    known = first_nodes.select("class", "tree", "node").join(labels, "class", "left")
-    still_open = _sized(known.withColumn("label", F.coalesce("label", "class")))
-    members, stars = node_members(still_open, signs, BRANCHES)
-    more_pairs = suggested(members, signs, False).unionAll(stars).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    more = stage(confirmed(more_pairs, texts, size, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
+    members = small_runs(first_nodes.filter(F.col("tree") < FIRST_TREES))
+    tested = stage(suggested(members, classes, None).select("a", "b").filter("a <> b"), "pairs")
+    links = stage(confirmed(tested, texts, size, percent), "links")
+    labels = stage(named_components(links), "labels")
+
+    most, more = FIRST_CANDIDATES, True
+    while more:
+        at = first_nodes.select("class", "tree", "node").join(labels, "class", "left")
+        still_open = _sized(at.withColumn("label", F.coalesce("label", "class")))
+        found = stage(suggested(node_members(still_open, classes), classes, most), "pairs")
+        fresh = stage(found.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(confirmed(fresh, texts, size, percent), "links")
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            labels = stage(named_components(links), "labels")
+        more, most = not found.filter("more").isEmpty(), most * GROWTH
+        tested = tested.unionAll(fresh)
 
     named = classes.select("class", "first").join(labels, "class", "left")
-    named = named.select("class", "first", F.coalesce("label", "class").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
-    found = named.drop("first").join(smallest, "label").select("class", "first")
+    named = stage(named.select("class", "first", F.coalesce("label", "class").alias("label")), "named")
+    smallest = stage(named.groupBy("label").agg(F.min("first").alias("first"), F.count("*").alias("n_rows")), "smallest")
+    sizes = smallest.select("label", "n_rows")
+    found = spread_lookup(named.drop("first"), smallest.drop("n_rows"), "label", "class", sizes=sizes).select("class", "first")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
     own = F.struct("doc_id", "text_key") == F.col("first")
+    rows = drawn.select("doc_id", "text_key", "n_shingles", "class")
     return (
-        drawn.select("doc_id", "text_key", "n_shingles", "class")
-        .join(found, "class", "left")
+        spread_lookup(rows, found, "class", ("doc_id", "text_key"))  # null classes and copies are dealt out
         .select("doc_id", "text_key", "n_shingles", component.alias("component_id"), own.alias("own"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         .withColumn("stays", F.col("doc_id").isNull() | F.coalesce("own", F.lit(True)))

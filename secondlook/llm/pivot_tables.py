@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import as_bytes, table
-from secondlook.llm.components import components
+from secondlook.llm.components import components, unite
 from secondlook.operators.skew import spread_lookup
 from secondlook.session import stage
 
@@ -203,7 +203,7 @@ def block_links(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i, j = i[keep], j[keep]
         i, j = i + a, j + a
         linked = differing(bits[i], bits[j]) <= LIMIT
-        _unite(label, i[linked], j[linked])
+        unite(label, i[linked], j[linked])
     smallest = np.full(len(bits), np.iinfo(np.int64).max)
     np.minimum.at(smallest, label, bits)
     root = smallest[label]
@@ -211,22 +211,6 @@ def block_links(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits[other], root[other]
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the components of linked places; a label is the smallest place of its component."""
-    while True:
-        a, b = label[i], label[j]
-        open_ = a != b
-        if not open_.any():
-            return
-        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            further = label[label]
-            if (further == label).all():
-                break
-            label[:] = further
-
-
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members in batch.column("members"):

@@ -270,7 +270,8 @@ def test_near_duplicates_of_texts_equal_brute_force(spark, monkeypatch):
     assert pivot_tables.near_duplicates(table_of(spark, rows).limit(0)).count() == 0
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("local_links", [1 << 20, 60])
+def test_components_equal_brute_force(spark, local_links):
     draw = random.Random(1)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(1000, 1000 + i) for i in range(1, 60)]
     label = {}
@@ -283,6 +284,6 @@ def test_components_equal_brute_force(spark):
     for a, b in links:
         a, b = root(a), root(b)
         label[max(a, b)] = min(a, b)
-    found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), local_links).collect()}
     assert all(found.get(x, x) == root(x) for x in list(label))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
