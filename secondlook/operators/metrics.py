@@ -1,10 +1,13 @@
 """Counts and tables over review results."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook import fixed
 from secondlook.functions.text import null_if_empty
+from secondlook.operators.skew import spread_lookup
+from secondlook.operators.taxonomy import dense_ordinals
+from secondlook.session import stage
 
 READER_DEFAULTS = {"verdict": fixed.UNCERTAIN, "pred_label": fixed.UNKNOWN_LABEL, "text": "", "reasoning": ""}
 
@@ -23,19 +26,29 @@ def verdict_metrics(results: DataFrame) -> DataFrame:
 
     Unknown verdicts count in the total only.
     """
-    verdict = F.coalesce("verdict", F.lit(fixed.UNCERTAIN))
-    names = [v.lower() for v in fixed.VERDICTS]
-    counts = results.agg(
-        F.count("*").alias("total"),
-        *[F.count_if(verdict == v).alias(n) for v, n in zip(fixed.VERDICTS, names)],
-    )
+    counts = results.agg(*verdict_counts())
     shares = {
         f"{n}_pct": F.when(F.col("total") > 0, F.col(n) / F.col("total") * 100).otherwise(F.lit(0.0))
-        for n in names
+        for n in VERDICT_NAMES
     }
     return counts.withColumns(shares)
 
 
+VERDICT_NAMES = [v.lower() for v in fixed.VERDICTS]
+
+
+def verdict_counts() -> list[Column]:
+    """Aggregates of ``verdict_metrics``, for an aggregation or an observation."""
+    verdict = F.coalesce("verdict", F.lit(fixed.UNCERTAIN))
+    return [F.count(F.lit(1)).alias("total"), *[F.count_if(verdict == v).alias(n) for v, n in zip(fixed.VERDICTS, VERDICT_NAMES)]]
+
+
+def with_shares(counts: dict) -> dict:
+    """The values of ``verdict_metrics`` from observed counts."""
+    total = counts["total"]
+    return counts | {f"{n}_pct": counts[n] / total * 100 if total else 0.0 for n in VERDICT_NAMES}
+
+
 def verdict_distribution(results: DataFrame) -> DataFrame:
     verdict = F.coalesce("verdict", F.lit(fixed.UNCERTAIN)).alias("verdict")
     return results.groupBy(verdict).agg(F.count("*").alias("n_rows"))
@@ -114,12 +127,19 @@ def confusion_matrix(results: DataFrame) -> DataFrame:
 
 
 def worst_labels(results: DataFrame) -> DataFrame:
-    """Predicted labels by their share of Incorrect rows, the highest first; equal shares have one rank."""
+    """Predicted labels by their share of Incorrect rows, the highest first; equal shares have one rank.
+
+    Ranks number the distinct shares: these are dealt into ranges and counted per range, so no task sees all of them, and
+    each label looks its share's rank up.
+    """
     shares = results.groupBy("pred_label").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("verdict") == fixed.INCORRECT).alias("incorrect")
     ).withColumn("incorrect_rate", F.col("incorrect") / F.col("n_rows"))
-    # One row per label.
-    return shares.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("incorrect_rate"))))
+    shares = stage(shares, "shares")
+    rates = shares.groupBy("incorrect_rate").agg(F.count("*").alias("n_rows"))
+    places = rates.select("incorrect_rate", F.lit(0).alias("all"), (-F.col("incorrect_rate")).alias("falling"))
+    ranks = dense_ordinals(places, "all", "falling").select("incorrect_rate", (F.col("ordinal") + 1).cast("int").alias("rank"))
+    return spread_lookup(shares, ranks, "incorrect_rate", "pred_label", sizes=rates)
 
 
 def escalation_queue(results: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -151,13 +171,17 @@ def reviewer_agreement(results: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(results: DataFrame) -> DataFrame:
-    """One row over freshly scored rows: count, mean, exact median and 95th percentile, greatest latency."""
+def latency_summary(results: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """One row over freshly scored rows: count, mean, median and 95th percentile, greatest latency.
+
+    The percentiles are values that occur, from a mergeable sketch of bounded size: the rank of each is off by at most a
+    1/``accuracy``-th of the rows.
+    """
     fresh = results.filter("success AND NOT cache_hit AND latency_ms IS NOT NULL")
     return fresh.agg(
         F.count("*").alias("n_rows"),
         F.avg("latency_ms").alias("mean_ms"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("median_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"),
+        F.percentile_approx("latency_ms", 0.5, accuracy).alias("median_ms"),
+        F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_ms"),
         F.max("latency_ms").alias("max_ms"),
     )

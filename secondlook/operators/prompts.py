@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from secondlook import fixed, schemas
 from secondlook.functions.text import number_text
-from secondlook.operators.taxonomy import taxonomy_block
+from secondlook.operators.taxonomy import prompt_block
 
 
 def fill_template(template: str, values: dict[str, Column]) -> Column:
@@ -29,7 +29,7 @@ def build_prompt(
     if template is None:
         template = fixed.COMPACT_PROMPT_TEMPLATE if compact else fixed.PROMPT_TEMPLATE
     values = {
-        "labels": taxonomy_block(taxonomy, compact).scalar(),
+        "labels": prompt_block(taxonomy, compact).scalar(),
         "text": F.coalesce("text", F.lit("None")),
         "pred_label": F.coalesce("pred_label", F.lit("None")),
         "confidence": number_text(F.col("confidence")),

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from secondlook import fixed, schemas
@@ -13,7 +13,7 @@ from secondlook.operators.cache import CACHED_FIELDS, distinct_requests, live_en
 from secondlook.operators.prompts import with_prompt_hash
 from secondlook.operators.responses import parse_response, validate_output
 from secondlook.operators.skew import spread_lookup
-from secondlook.session import stage
+from secondlook.session import is_written, stage
 
 SAMPLE_FIELDS = ("seq", "text", "pred_label", "confidence", "ground_truth")
 
@@ -183,6 +183,36 @@ class BatchReview:
 
     reviews: DataFrame
     results: DataFrame
+    counters: dict
+
+
+def review_counters() -> list[Column]:
+    """Aggregates over reviews: what the check found, and how the cache did."""
+    hit, rows = F.col("cache_hit"), F.col("n_rows")
+    kept = hit | (F.col("success") & F.col("cacheable"))
+    return [
+        F.count_if("suspicious").alias("validation_failures"),
+        F.count_if("label_rejected").alias("invalid_labels_rejected"),
+        F.coalesce(F.sum(F.when(hit, rows)), F.lit(0)).alias("hits"),
+        F.coalesce(F.sum(F.when(~hit, rows)), F.lit(0)).alias("misses"),
+        F.count_if(hit).alias("persistent_hits"),
+        F.count_if(kept).alias("cached_prompts"),
+        F.coalesce(F.sum(F.when(F.col("success"), rows)), F.lit(0)).alias("rows_done"),
+    ]
+
+
+def _kept_reviews(reviews: DataFrame, path: str | None) -> tuple[DataFrame, dict]:
+    """The reviews, written once, and their counters, which are taken while they are written."""
+    spark, seen = reviews.sparkSession, Observation()
+    if path is None:
+        kept = stage(reviews.observe(seen, *review_counters()), "reviews")
+    else:
+        if is_written(spark, path):
+            kept = spark.read.schema(reviews.schema).parquet(path)
+            return kept, kept.agg(*review_counters()).first().asDict()
+        reviews.observe(seen, *review_counters()).write.mode("overwrite").parquet(path)
+        kept = spark.read.schema(reviews.schema).parquet(path)
+    return kept, dict(seen.get)
 
 
 REVIEW_COLUMNS = (
@@ -227,13 +257,15 @@ def review_batch(
     strict: bool = True,
     compact: bool = False,
     template: str | None = None,
+    reviews_path: str | None = None,
 ) -> BatchReview:
     """Review all samples: each distinct request is looked up once, and scored once if that fails.
 
     1. Reduce the samples to distinct requests (map-side, so copies do not travel).
     2. Look the requests up in the cache by their prompts' hashes; ``now`` decides what has expired.
     3. Answer the misses alone, parse, validate, and write the reviews to the shared folder: a lost executor
-       must not repeat scoring calls, and the next step reads the reviews more than once.
+       must not repeat scoring calls, and the next step reads the reviews more than once. With ``reviews_path`` they are
+       kept there, and taken from there if an earlier attempt at the same batch has already written them.
     4. Hand the reviews back to the samples, hot prompts split.
     """
     if cache is not None and now is None:
@@ -256,9 +288,10 @@ def review_batch(
         "label_rejected": F.col("cached").isNull() & F.col("error").isNull() & F.coalesce("checked.label_rejected", F.lit(False)),
         "cacheable": F.lit(not reviewer.outside),
     }
-    reviews = stage(assemble_reviews(validated).withColumns(counted).select(*REVIEW_COLUMNS), "reviews")
+    answers = assemble_reviews(validated).withColumns(counted).select(*REVIEW_COLUMNS)
+    reviews, counters = _kept_reviews(answers, reviews_path)
 
     rows = hashed.withColumnRenamed("id", "sample_id").drop("prompt", "prompt_hash", "is_misclassified")
     sizes = reviews.select("request", "n_rows")
     joined = spread_lookup(rows, reviews.drop("n_rows"), "request", "seq", sizes, how="inner")
-    return BatchReview(reviews, _result_columns(joined))
+    return BatchReview(reviews, _result_columns(joined), counters)

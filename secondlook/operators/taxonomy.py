@@ -5,7 +5,7 @@ forces a broadcast, pairs labels with labels, or numbers a whole label in one ta
 broadcasts them when their known size allows it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,15 +14,37 @@ from secondlook.operators.skew import spread_lookup
 from secondlook.session import stage
 
 
-def taxonomy_block(taxonomy: DataFrame, compact: bool = False) -> DataFrame:
-    """One row: the label list as it appears in prompts; it fits one row because it must fit a prompt."""
+def _label_line(compact: bool) -> tuple[Column, str]:
     if compact:
         short = F.left("definition", F.lit(fixed.COMPACT_DEFINITION_CHARS))
-        line, sep = F.concat("name", F.lit(":"), short), "|"
-    else:
-        line, sep = F.concat(F.lit("- "), "name", F.lit(": "), "definition"), "\n"
+        return F.concat("name", F.lit(":"), short), "|"
+    return F.concat(F.lit("- "), "name", F.lit(": "), "definition"), "\n"
+
+
+def _joined_lines(compact: bool) -> Column:
+    line, sep = _label_line(compact)
     lines = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    return taxonomy.agg(F.array_join(F.transform(lines, lambda s: s["line"]), sep).alias("block"))
+    return F.array_join(F.transform(lines, lambda s: s["line"]), sep).alias("block")
+
+
+def prompt_block(taxonomy: DataFrame, compact: bool = False) -> DataFrame:
+    """One row: the label list as it appears in prompts; it fits one row because it must fit a prompt."""
+    return taxonomy.agg(_joined_lines(compact))
+
+
+#: Labels of one part of a label list.
+PART_LABELS = 256
+
+
+def taxonomy_block(taxonomy: DataFrame, compact: bool = False, part_labels: int = PART_LABELS) -> DataFrame:
+    """(part, block): the label list in parts of ``part_labels`` lines, for taxonomies of any size.
+
+    Joined in the order of ``part``, with the separator between them, the parts are the whole list. Labels are
+    numbered in ranges of their ordinals, so neither a task nor a row ever holds more than a range or a part.
+    """
+    numbered = dense_ordinals(taxonomy.withColumns({"all": F.lit(0), "place": F.col("ordinal")}), "all", "place")
+    part = F.floor(F.col("ordinal") / F.lit(part_labels)).cast("bigint")
+    return numbered.groupBy(part.alias("part")).agg(_joined_lines(compact))
 
 
 def valid_labels(taxonomy: DataFrame) -> DataFrame:

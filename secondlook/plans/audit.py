@@ -3,15 +3,15 @@
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from secondlook import fixed
 from secondlook.operators.cache import cache_entries, cache_expire, cache_touch, cache_upsert
-from secondlook.operators.metrics import label_verdicts, verdict_metrics
+from secondlook.operators.metrics import label_verdicts, verdict_counts, with_shares
 from secondlook.operators.privacy import pii_summary
 from secondlook.operators.review import MOCK_REVIEWER, Reviewer, mock_review, review_batch
-from secondlook.session import stage
+from secondlook.session import StagedFolders, stage
 from secondlook.sources import artifacts
 
 
@@ -36,6 +36,17 @@ class AuditRun:
     results: DataFrame
     cache: DataFrame | None
     paths: dict[str, str]
+    staged: StagedFolders
+
+    def __enter__(self) -> "AuditRun":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete what the run has staged, unredacted texts among it; ``results`` and ``cache`` can't be read any more."""
+        self.staged.remove()
 
 
 def run_audit(
@@ -55,22 +66,38 @@ def run_audit(
 ) -> AuditRun:
     """Review, report and save a run under ``run_dir``.
 
-    ``reviewer=None`` takes the plain mock review without prompts or cache; that is a mere projection, so
-    every artifact computes it anew. Reviewed results come out of a join and are staged once.
+    ``reviewer=None`` takes the plain mock review without prompts or cache. The samples are read for their own artifact
+    and for the results, which are staged once; totals, validation and cache counters are observed while results and reviews
+    are written, and serve manifest, report, metrics and summary. Close the run (or use it in a ``with`` block) to delete
+    the staged tables.
     """
+    staged = StagedFolders(samples.sparkSession)
+    with staged:
+        return _run_audit(
+            samples, taxonomy, run_dir, run_id, seed, reviewer, cache, now, model, version, ttl_seconds, redacted, options, staged
+        )
+
+
+def _run_audit(
+    samples, taxonomy, run_dir, run_id, seed, reviewer, cache, now, model, version, ttl_seconds, redacted, options, staged
+) -> AuditRun:
+    spark = samples.sparkSession
     begun = time.monotonic()
     now = time.time() if now is None else now
-    next_cache = None
+    next_cache, counters = None, {}
     if reviewer is None:
         results = mock_review(samples)
     else:
         batch = review_batch(
             samples, taxonomy, reviewer, cache, now, version, model, ttl_seconds, **options
         )
-        results = stage(batch.results, "results")
+        results, counters = batch.results, with_hit_rate(batch.counters)
         if cache is not None:
             next_cache = next_snapshot(cache, batch.reviews, now, version, model, ttl_seconds)
 
+    seen = Observation()
+    results = stage(results.observe(seen, *verdict_counts()), "results")
+    totals = with_shares(dict(seen.get))
     settings = {
         "run_id": run_id,
         "seed": seed,
@@ -80,14 +107,19 @@ def run_audit(
         "strict_validation": options.get("strict", True),
     }
     paths = {
-        "manifest": artifacts.save_manifest(samples, run_dir, settings),
+        "manifest": artifacts.save_manifest(samples, run_dir, settings, totals["total"]),
         "samples": artifacts.save_samples(samples, run_dir, redacted),
         "results": artifacts.save_results(results, run_dir, redacted),
         "labeled": artifacts.save_labeled(results, run_dir, redacted),
-        "report": artifacts.save_report(results, run_dir, run_id, redacted=redacted),
-        "metrics": artifacts.save_metrics(results, run_dir, redacted),
+        "report": artifacts.save_report(results, run_dir, run_id, redacted=redacted, metrics=totals),
+        "metrics": artifacts.save_observed_metrics(spark, totals | counters, run_dir, redacted),
     }
-    summary = verdict_metrics(results).select(
-        F.lit(run_id).alias("run_id"), "*", F.lit(time.monotonic() - begun).alias("seconds")
-    )
-    return AuditRun(summary, pii_summary(samples), results, next_cache, paths)
+    row = {"run_id": run_id, **totals, "seconds": time.monotonic() - begun}
+    kinds = {int: "bigint", float: "double", str: "string"}
+    summary = spark.range(1).select(*[F.lit(v).cast(kinds[type(v)]).alias(k) for k, v in row.items()])
+    return AuditRun(summary, pii_summary(samples), results, next_cache, paths, staged)
+
+
+def with_hit_rate(counters: dict) -> dict:
+    rows = counters["hits"] + counters["misses"]
+    return counters | {"hit_rate": counters["hits"] / rows * 100 if rows else 0.0}

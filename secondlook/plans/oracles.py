@@ -444,6 +444,13 @@ CTES["scored_checked"] = (
 )
 CTES["fresh"] = BATCH_FRESH
 
+SRC_PARTS = "SELECT *, (row_number() OVER (ORDER BY ordinal) - 1) // 8 AS part FROM src"
+
+CTES["streamed"] = (
+    f"streamed AS (SELECT m.*, {validate_columns()} FROM (SELECT * REPLACE (coalesce(raw_response, '') AS raw_response), {parse_columns()} FROM scored) m {LABEL_JOIN})"
+)
+STREAM_VERDICT = f"CASE WHEN error IS NULL THEN final_verdict ELSE '{fixed.UNCERTAIN}' END"
+
 ORACLES = {
     "scan_samples": "SELECT * FROM b1",
     "scan_taxonomy": "SELECT tax.*, coalesce(n.n_rows, 0) AS n_rows FROM tax LEFT JOIN (SELECT ground_truth, count(*) AS n_rows FROM b0 GROUP BY 1) n ON n.ground_truth = tax.name",
@@ -534,7 +541,8 @@ ORACLES = {
     "(SELECT count(l.prompt_hash) AS hits, count(*) - count(l.prompt_hash) AS misses, count(DISTINCT l.prompt_hash) AS persistent_hits, "
     "count(DISTINCT h.prompt_hash) AS cached_prompts FROM hashed h LEFT JOIN live l USING (prompt_hash))",
     "success_count": "SELECT count(*) FILTER (success) AS succeeded, count(*) AS total FROM failing",
-    "taxonomy_block": f"SELECT {FULL_BLOCK} AS block, 'full' AS style FROM src UNION ALL SELECT {SHORT_BLOCK}, 'compact' FROM src",
+    "taxonomy_block": f"SELECT part, {FULL_BLOCK} AS block, 'full' AS style FROM ({SRC_PARTS}) GROUP BY part UNION ALL "
+    f"SELECT part, {SHORT_BLOCK}, 'compact' FROM ({SRC_PARTS}) GROUP BY part",
     "valid_labels": "SELECT DISTINCT source AS name FROM documents",
     "generator_metadata": "SELECT 42::BIGINT AS seed, tax.ordinal AS label_ordinal, tax.name AS label, false AS use_dynamic_confusion, "
     "coalesce(string_agg(confused, '|' ORDER BY pairs.ordinal), '') AS confusion_patterns FROM tax LEFT JOIN pairs ON pairs.actual = tax.name GROUP BY tax.ordinal, tax.name "
@@ -587,9 +595,20 @@ ORACLES = {
     "SELECT count(*) AS total, count(*) FILTER (w AND f) AS true_positives, count(*) FILTER (NOT w AND f) AS false_positives, "
     "count(*) FILTER (w AND NOT f) AS false_negatives, count(*) FILTER (f AND suggested_label = ground_truth) AS right_suggestions "
     "FROM (SELECT *, pred_label <> ground_truth AS w, coalesce(verdict = 'Incorrect', false) AS f FROM res WHERE ground_truth IS NOT NULL AND pred_label IS NOT NULL))",
-    "latency_summary": "SELECT count(*) AS n_rows, avg(latency_ms) AS mean_ms, quantile_cont(latency_ms, 0.5)::DOUBLE AS median_ms, "
-    "quantile_cont(latency_ms, 0.95)::DOUBLE AS p95_ms, max(latency_ms) AS max_ms FROM failing WHERE success",
+    "latency_summary": "SELECT count(*) AS n_rows, avg(latency_ms) AS mean_ms, quantile_disc(latency_ms, 0.5) AS median_ms, "
+    "quantile_disc(latency_ms, 0.95) AS p95_ms, max(latency_ms) AS max_ms FROM failing WHERE success",
     "stream_audit": f"SELECT lang, {any_pattern('text')} AS suspicious, {ANY_PII} AS has_pii, count(*) AS n_rows FROM documents GROUP BY 1, 2, 3",
+    "stream_cached_review": f"SELECT batch, {STREAM_VERDICT} AS verdict, batch = 1 AND error IS NULL AS cache_hit, error IS NULL AS success, sum(n_rows)::BIGINT AS n_rows "
+    "FROM streamed, (VALUES (0), (1)) x(batch) GROUP BY 1, 2, 3, 4",
+    "stream_running_verdicts": f"SELECT step, h.pred_label, {STREAM_VERDICT} AS verdict, (step + 1) * count(*) AS n_rows "
+    "FROM hashed h JOIN streamed s USING (prompt_hash), (VALUES (0), (1)) x(step) GROUP BY 1, 2, 3",
+    "run_counters": "SELECT m.*, x.*, CASE WHEN x.hits + x.misses > 0 THEN x.hits / (x.hits + x.misses)::DOUBLE * 100 ELSE 0.0::DOUBLE END AS hit_rate, v.* FROM "
+    f"(SELECT total, correct, incorrect, uncertain FROM ({metrics(f'(SELECT r.verdict FROM hashed h JOIN ({SCORED_REVIEWS}) r USING (prompt_hash))')})) m, "
+    "(SELECT count(l.prompt_hash) AS hits, count(*) - count(l.prompt_hash) AS misses, count(DISTINCT l.prompt_hash) AS persistent_hits, "
+    "count(DISTINCT CASE WHEN l.prompt_hash IS NOT NULL OR s.error IS NULL THEN h.prompt_hash END) AS cached_prompts, "
+    "count(*) FILTER (l.prompt_hash IS NOT NULL OR s.error IS NULL) AS rows_done "
+    "FROM hashed h LEFT JOIN live l USING (prompt_hash) LEFT JOIN scored_checked s USING (prompt_hash)) x, "
+    "(SELECT count(*) FILTER (suspicious) AS validation_failures, count(*) FILTER (rejected) AS invalid_labels_rejected FROM scored_checked WHERE error IS NULL) v",
 }
 
 

@@ -520,9 +520,10 @@ def success_count(spark, d):
 
 @query
 def taxonomy_block(spark, d):
+    """The list of all sources, eight lines to a part."""
     labels = b.source_taxonomy(spark, d)
-    full = ta.taxonomy_block(labels).withColumn("style", F.lit("full"))
-    return full.unionByName(ta.taxonomy_block(labels, True).withColumn("style", F.lit("compact")))
+    full = ta.taxonomy_block(labels, part_labels=8).withColumn("style", F.lit("full"))
+    return full.unionByName(ta.taxonomy_block(labels, True, 8).withColumn("style", F.lit("compact")))
 
 
 @query
@@ -823,3 +824,41 @@ def stream_audit(spark, d):
     audit_stream.run_available(rows.select("doc_id", "lang", "suspicious", "has_pii"), f"{out}/rows", f"{out}/log")
     done = spark.read.schema("doc_id bigint, lang string, suspicious boolean, has_pii boolean").parquet(f"{out}/rows")
     return done.groupBy("lang", "suspicious", "has_pii").agg(F.count("*").alias("n_rows"))
+
+
+def _streamed(spark, d) -> str:
+    """All samples as a stream, then all of them once more; verdicts are counted after each batch."""
+    out = fresh_path(spark, "stream")
+    samples = b.samples(spark, d)
+    scorer = review.scoring_reviewer(_counting_scorer, concurrency=8)
+    for turn in range(2):
+        again = samples.withColumn("seq", F.col("seq") + turn * 1_000_000_000)
+        again.write.mode("append").parquet(f"{out}/samples")
+        stream = audit_stream.read_stream(spark, f"{out}/samples", samples.schema)
+        audit_stream.review_stream_cached(
+            stream, tables.load_taxonomy(spark), scorer, f"{out}/reviewed", f"{out}/log", lambda k: b.NOW + k, model=b.MODEL
+        )
+        results = audit_stream.read_stream(spark, f"{out}/reviewed/results", schemas.RESULTS)
+        audit_stream.count_available(results, f"{out}/counts", f"{out}/count-log")
+    return out
+
+
+@query
+def stream_cached_review(spark, d):
+    """Rows per batch of a reviewed stream: the second batch hits what the first one stored."""
+    done = spark.read.parquet(f"{_streamed(spark, d)}/reviewed/results")
+    return done.groupBy("batch", "verdict", "cache_hit", "success").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def stream_running_verdicts(spark, d):
+    """The counts of a reviewed stream after each batch."""
+    return spark.read.parquet(f"{_streamed(spark, d)}/counts")
+
+
+@query
+def run_counters(spark, d):
+    """Totals, validation and cache counters that a whole run has written into its metrics."""
+    path = _audited(spark, d).paths["metrics"]
+    names = "total correct incorrect uncertain validation_failures invalid_labels_rejected hits misses persistent_hits cached_prompts rows_done"
+    return spark.read.schema(", ".join(f"{n} bigint" for n in names.split()) + ", hit_rate double").json(path)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,5 +56,44 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    for folders in _open_folders.get():
+        folders.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    files, at = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+class StagedFolders:
+    """The folders that were staged inside a ``with`` block of this object, until ``remove`` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self._token = spark, [], None
+
+    def __enter__(self) -> "StagedFolders":
+        self._token = _open_folders.set((*_open_folders.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open_folders.reset(self._token)
+
+    def remove(self) -> None:
+        while self.paths:
+            remove_folder(self.spark, self.paths.pop())
+
+
+_open_folders: ContextVar[tuple[StagedFolders, ...]] = ContextVar("open_folders", default=())

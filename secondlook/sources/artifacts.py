@@ -71,14 +71,29 @@ def save_metrics(results: DataFrame, run_dir: str, redacted: bool = False, extra
     return path
 
 
-def save_manifest(samples: DataFrame, run_dir: str, settings: dict) -> str:
-    """How the run was set up, as one JSON line; ``settings`` holds run_id, seed, model and flags."""
+def save_observed_metrics(spark: SparkSession, values: dict, run_dir: str, redacted: bool = False) -> str:
+    """The same from values that were observed while other artifacts were written."""
+    path = artifact_path(run_dir, "metrics")
+    row = values | {"_warning": fixed.METRICS_WARNING, "redacted": redacted}
+    spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()]).write.json(path)
+    return path
+
+
+def save_manifest(samples: DataFrame, run_dir: str, settings: dict, n_samples: int | None = None) -> str:
+    """How the run was set up, as one JSON line; ``settings`` holds run_id, seed, model and flags.
+
+    The samples are only counted if their number isn't given.
+    """
     path = artifact_path(run_dir, "manifest")
     generated = settings.get("generated_at") or datetime.now(timezone.utc).isoformat()
     columns = {k: F.lit(v) for k, v in settings.items() if k != "generated_at"}
     columns["generated_at"] = F.lit(generated)
     columns["_warning"] = F.lit(fixed.RUN_WARNING)
-    samples.agg(F.count("*").alias("n_samples")).withColumns(columns).write.json(path)
+    if n_samples is None:
+        counted = samples.agg(F.count("*").alias("n_samples"))
+    else:
+        counted = samples.sparkSession.range(1).select(F.lit(n_samples).cast("bigint").alias("n_samples"))
+    counted.withColumns(columns).write.json(path)
     return path
 
 
@@ -145,12 +160,12 @@ def _correction_lines(corrections: list) -> list[str]:
     return lines
 
 
-def report_lines(results: DataFrame, run_id: str, generated: str | None = None) -> DataFrame:
+def report_lines(results: DataFrame, run_id: str, generated: str | None = None, metrics: dict | None = None) -> DataFrame:
     """The report as (part, position, line). The label table, the only part without a fixed length, stays
     a distributed aggregate."""
     spark = results.sparkSession
     generated = generated or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    metrics = verdict_metrics(results).first().asDict()
+    metrics = metrics or verdict_metrics(results).first().asDict()
     corrections = top_corrections(results).collect()
     # A text may contain line ends; they must not break the report's own lines.
     tail = [re.sub(r"[\r\n]", " ", line) for line in _correction_lines(corrections)] + _closing_lines(metrics)
@@ -170,9 +185,11 @@ def report_lines(results: DataFrame, run_id: str, generated: str | None = None)
     return ends.unionByName(labels)
 
 
-def save_report(results: DataFrame, run_dir: str, run_id: str, generated: str | None = None, redacted: bool = False) -> str:
+def save_report(
+    results: DataFrame, run_dir: str, run_id: str, generated: str | None = None, redacted: bool = False, metrics: dict | None = None
+) -> str:
     """The Markdown report; its part files in name order are the report's lines in order."""
     path = artifact_path(run_dir, "report")
     shown = redact_results(results) if redacted else results
-    report_lines(shown, run_id, generated).orderBy("part", "position").select("line").write.text(path)
+    report_lines(shown, run_id, generated, metrics).orderBy("part", "position").select("line").write.text(path)
     return path

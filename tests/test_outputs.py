@@ -190,3 +190,149 @@ def test_running_verdicts(spark, sf, tmp_path):
     query.awaitTermination()
     got = sorted(map(str, spark.table("running").collect()))
     assert got == sorted(map(str, me.label_verdicts(done).collect()))
+
+
+ONE_VERDICT = "VERDICT: Correct\nREASONING: fine"
+
+
+def counting_reviewer(folder):
+    """A reviewer whose every call leaves a file, so that calls in any process are counted."""
+    from secondlook.operators.review import scoring_reviewer
+
+    def make():
+        def score(prompts_):
+            for _ in prompts_:
+                (folder / os.urandom(8).hex()).touch()
+            return [ONE_VERDICT] * len(prompts_)
+
+        return score
+
+    folder.mkdir(exist_ok=True)
+    return scoring_reviewer(make)
+
+
+def staged_folders_of(spark):
+    path = f"{shared_dir(spark)}/secondlook"
+    return set(os.listdir(path)) if os.path.isdir(path) else set()
+
+
+def test_a_stream_hits_what_earlier_batches_stored(spark, taxonomy, make_samples, tmp_path):
+    first = make_samples([(t, "Erasure", 0.5, "Erasure", False) for t in ("a", "b", "b")])
+    second = make_samples([(t, "Erasure", 0.5, "Erasure", False) for t in ("b", "c")]).withColumn("seq", F.col("seq") + 10)
+    reviewer, out, before = counting_reviewer(tmp_path / "calls"), str(tmp_path / "out"), staged_folders_of(spark)
+    for batch in (first, second):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = audit_stream.read_stream(spark, str(tmp_path / "in"), batch.schema)
+        audit_stream.review_stream_cached(stream, taxonomy, reviewer, out, str(tmp_path / "log"), lambda k: 5.0 + k)
+    hits = {r["seq"]: (r["batch"], r["cache_hit"]) for r in spark.read.parquet(f"{out}/results").collect()}
+    assert hits == {0: (0, False), 1: (0, False), 2: (0, False), 10: (1, True), 11: (1, False)}
+    left = spark.read.parquet(f"{out}/cache/batch=1").collect()
+    assert sorted((r["created_at"], r["hit_count"]) for r in left) == [(5.0, 0), (5.0, 1), (6.0, 0)]
+    assert len(os.listdir(tmp_path / "calls")) == 3
+    assert staged_folders_of(spark) == before  # nothing staged outlives its batch
+
+
+def test_a_repeated_batch_neither_scores_nor_counts_twice(spark, taxonomy, make_samples, tmp_path, monkeypatch):
+    first = make_samples([(t, "Erasure", 0.5, "Erasure", False) for t in ("a", "b")])
+    reviewer, out = counting_reviewer(tmp_path / "calls"), str(tmp_path / "out")
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = audit_stream.read_stream(spark, str(tmp_path / "in"), first.schema)
+        audit_stream.review_stream_cached(stream, taxonomy, reviewer, out, str(tmp_path / "log"), lambda k: 5.0 + k)
+
+    run()
+    again = first.withColumn("seq", F.col("seq") + 10)
+    again.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    real = audit_stream.remove_folder
+
+    def fail(*_):
+        raise OSError("the driver went down after the batch had been written, before it was committed")
+
+    monkeypatch.setattr(audit_stream, "remove_folder", fail)
+    with pytest.raises(Exception, match="went down"):
+        run()
+    monkeypatch.setattr(audit_stream, "remove_folder", real)
+    run()
+    assert sorted(n for n in os.listdir(out + "/results") if n.startswith("batch")) == ["batch=0", "batch=1"]
+    assert spark.read.parquet(f"{out}/results").count() == 4
+    assert {r["hit_count"] for r in spark.read.parquet(f"{out}/cache/batch=1").collect()} == {1}
+    assert len(os.listdir(tmp_path / "calls")) == 2
+
+
+def test_running_counts_after_each_batch(spark, sf, tmp_path):
+    done = review.mock_review(b.samples(spark, sf))
+    for turn in range(3):
+        done.filter(F.col("seq") % 3 == turn).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = audit_stream.read_stream(spark, str(tmp_path / "in"), done.schema)
+        audit_stream.count_available(stream, str(tmp_path / "counts"), str(tmp_path / "log"))
+        changed = spark.read.parquet(f"{tmp_path}/counts/step={turn}")
+        want = {(r["pred_label"], r["verdict"]): r["n_rows"] for r in me.label_verdicts(done.filter(F.col("seq") % 3 <= turn)).collect()}
+        got = {(r["pred_label"], r["verdict"]): r["n_rows"] for r in changed.collect()}
+        assert got.items() <= want.items() and sum(got.values()) > 0
+
+
+def test_a_run_leaves_no_staged_folder_and_reads_the_samples_twice(spark, taxonomy, make_samples, tmp_path):
+    samples = make_samples([(f"text {i}", "Erasure", 0.5, "Objection", True) for i in range(20)])
+    samples.coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = spark.read.parquet(str(tmp_path / "in")).mapInArrow(passed, samples.schema)
+    before = staged_folders_of(spark)
+    with audit.run_audit(counted, taxonomy, str(tmp_path / "run"), "r", reviewer=None) as run:
+        assert run.summary.first()["total"] == 20 and run.results.count() == 20
+        assert staged_folders_of(spark) > before
+    assert staged_folders_of(spark) == before and read.value == 40
+    line = spark.read.json(run.paths["metrics"]).first()
+    assert (line["total"], line["incorrect"]) == (20, 20)
+    assert spark.read.json(run.paths["manifest"]).first()["n_samples"] == 20
+
+
+def test_a_reviewed_run_writes_its_counters(spark, taxonomy, make_samples, tmp_path):
+    samples = make_samples([(t, "Erasure", 0.5, "Erasure", False) for t in ("a", "b", "b")])
+    reviewer = counting_reviewer(tmp_path / "calls")
+    from secondlook import schemas
+
+    empty = spark.createDataFrame([], schemas.CACHE)
+    first = audit.run_audit(samples, taxonomy, str(tmp_path / "one"), "r1", reviewer=reviewer, cache=empty, now=5.0)
+    again = audit.run_audit(samples, taxonomy, str(tmp_path / "two"), "r2", reviewer=reviewer, cache=first.cache, now=6.0)
+    one, two = (spark.read.json(r.paths["metrics"]).first() for r in (first, again))
+    assert (one["hits"], one["misses"], one["cached_prompts"], one["rows_done"], one["hit_rate"]) == (0, 3, 2, 3, 0.0)
+    assert (two["hits"], two["misses"], two["persistent_hits"], two["rows_done"], two["hit_rate"]) == (3, 0, 2, 3, 100.0)
+    assert one["validation_failures"] == one["invalid_labels_rejected"] == 0
+
+
+def test_label_list_in_parts(spark):
+    from secondlook.operators import taxonomy as ta
+
+    labels = spark.createDataFrame([(7 * i, f"n{i}", f"d{i}") for i in range(1000)], "ordinal long, name string, definition string")
+    parts = ta.taxonomy_block(labels, part_labels=64).orderBy("part").collect()
+    assert [r["part"] for r in parts] == list(range(16)) and max(len(r["block"].split("\n")) for r in parts) == 64
+    assert "\n".join(r["block"] for r in parts) == ta.prompt_block(labels).first()["block"]
+    assert ta.taxonomy_block(labels.limit(0)).count() == 0
+
+
+def test_worst_labels_without_a_window_over_all_rows(spark):
+    rows = [(f"l{i % 40}", "Incorrect" if (i // 40) % (1 + i % 40 % 7) == 0 else "Correct") for i in range(4000)]
+    found = me.worst_labels(spark.createDataFrame(rows, "pred_label string, verdict string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dense_rank" not in plan and "windowspecdefinition(incorrect_rate" not in plan
+    got = found.collect()
+    rates = sorted({r["incorrect_rate"] for r in got}, reverse=True)
+    assert len(got) == 40 and all(r["rank"] == rates.index(r["incorrect_rate"]) + 1 for r in got)
+
+
+def test_latency_percentiles_are_within_the_stated_error(spark):
+    rows = spark.range(200_000).select(
+        F.lit(True).alias("success"), F.lit(False).alias("cache_hit"), (F.xxhash64("id") % 1_000_000).alias("latency_ms")
+    )
+    for accuracy in (100, 10_000):
+        found = me.latency_summary(rows, accuracy).first()
+        for name, share in (("median_ms", 0.5), ("p95_ms", 0.95)):
+            rank = rows.filter(F.col("latency_ms") <= found[name]).count()
+            assert abs(rank - share * 200_000) <= 200_000 / accuracy + 1
