@@ -299,10 +299,15 @@ def suggested(members: DataFrame, classes: DataFrame, most: int | None) -> DataF
 
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ones, others = as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))
+        pairs = list(zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))))
+        place: dict[bytes, int] = {}
+        for pair in pairs:
+            for text in pair:
+                place.setdefault(text, len(place))
+        sets = [s for run in steps(list(place)) for s in shingle_sets(run, size)]  # each text once
         keep = []
-        for x, y in zip(ones, others):
-            one, other = shingle_sets([x, y], size)
+        for x, y in pairs:
+            one, other = sets[place[x]], sets[place[y]]
             both = len(np.intersect1d(one, other, assume_unique=True))
             keep.append(100 * both >= percent * (len(one) + len(other) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
