@@ -44,7 +44,7 @@ NODE_ROWS, RUN_ROWS = 4096, 512
 #: Pairs are confirmed if they agree in at least this share of the coordinates, four deviations below 0.8, and in so many of QUICK.
 LEAST_AGREEMENT, QUICK, QUICK_LEAST = 0.70, 32, 15
 #: Candidates of each member in the second round's first pass; each further pass takes GROWTH times as many.
-FIRST_CANDIDATES, GROWTH = 8, 64
+FIRST_CANDIDATES, GROWTH = 8, 512
 #: Members, and pairs, that are compared at once.
 TILE, PAIRS = 64, 1 << 16
 
