@@ -107,6 +107,7 @@ class WordTokenizer:
         self.kept: dict[str, bytes] = {}  # as they stand in texts
         self.parts: dict[str, bytes] = {}  # lower-cased, without marks
         self.older: tuple[dict, dict] = {}, {}
+        self.letters: dict[str, bool] = {}  # by last character: whether the tokenizer reads a letter there
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
@@ -151,10 +152,10 @@ class WordTokenizer:
             return word, ""
         if core.isascii():
             return (core.lower(), word[len(core) :]) if core[-1].isalpha() else (word, "")
-        if core == word:
-            return word, ""
-        read = self.tokenizer.normalizer.normalize_str(core)
-        return (core, word[len(core) :]) if read and read[-1].isalpha() else (word, "")
+        last = core[-1]
+        if last not in self.letters:
+            self.letters[last] = last.isalpha() and self.tokenizer.normalizer.normalize_str(last)[-1:].isalpha()
+        return (core, word[len(core) :]) if self.letters[last] else (word, "")
 
 
 PIECE = (
