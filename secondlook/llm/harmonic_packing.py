@@ -114,8 +114,11 @@ class WordTokenizer:
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
         distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(distinct)
-        known = [self.kept[w] for w in distinct]
+        known = [self.kept.get(w) for w in distinct]
+        new = [w for w, own in zip(distinct, known) if own is None]
+        if new:
+            self._learn(new)
+            known = [own if own is not None else self.kept[w] for w, own in zip(distinct, known)]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         ids, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
         times = sizes[place]
@@ -125,7 +128,7 @@ class WordTokenizer:
         return [found[a:z] for a, z in zip(edges, edges[1:])]
 
     def _learn(self, words: list[str]) -> None:
-        """Have the ids of all of these words at hand; what hasn't been met for KEPT words is forgotten."""
+        """Have the ids of these new words at hand; what hasn't been met for KEPT words is forgotten."""
         if max(len(self.kept), len(self.parts)) > KEPT:
             self.older, self.kept, self.parts = (self.kept, self.parts), {}, {}
         self.kept.update((w, self.older[0][w]) for w in words if w in self.older[0])
