@@ -6,8 +6,9 @@ their values there, so that classes at similarity s stay together with probabili
 NODE_ROWS classes are compared exhaustively, by estimates from the minwise values. Larger ones branch further, in WAYS ways for
 every three coordinates: a pair at the threshold then meets again in about one of them, while a crowd of texts that are less alike
 thins out faster than it is repeated. What is still large at the last depth is cut into runs, and all runs are compared with
-one another, block by block, so that nothing is left out there. Where nodes are small at first depth, TREES independent trees meet a pair at
-the threshold with probability 1 - (1 - 0.8 ** 3) ** TREES, over 0.9999999; estimates that fall by chance below LEAST_AGREEMENT (four
+one another, block by block, so that nothing is left out there. Where nodes are small at first depth, TREES trees that were independent would meet a pair at
+the threshold with probability 1 - (1 - 0.8 ** 3) ** TREES, over 0.9999999; as they share PATH coordinates, it is about 0.9999;
+estimates that fall by chance below LEAST_AGREEMENT (four
 deviations) lose less than 1 pair in 10,000.
 
 What a node suggests is confirmed on full sets. First a spanning forest of each node's estimates in a few trees, for nodes cut
