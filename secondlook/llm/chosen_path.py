@@ -12,9 +12,10 @@ estimates that fall by chance below LEAST_AGREEMENT (four
 deviations) lose less than 1 pair in 10,000.
 
 What a node suggests is confirmed on full sets. First a spanning forest of each node's estimates in a few trees, for nodes cut
-into small runs, joins almost all; then, in all trees, each member's best candidates in other components, first a few of them, then
-GROWTH times as many, until none is left out. Pairs within a component need no test, so that large groups of copies never yield all
-their pairs, and nodes within one component end.
+into small runs, joins almost all; then, in all trees, the best candidates of each member in larger components, first a few of them,
+then GROWTH times as many, until none is left out. A pair that meets in the small roots of several trees is compared in the first of
+them alone (told by 32-bit hashes: of a billion pairs, about six are taken for compared that were not). Pairs within a component need
+no test, so that large groups of copies never yield all their pairs, and nodes within one component end.
 
 Defined cases: null and empty texts, or texts without words, have an empty set, link with nothing and are kept; a
 text with fewer words than a shingle is one shingle; rows without an id link with nothing, have no component and are
@@ -157,10 +158,14 @@ def small_runs(sized: DataFrame) -> DataFrame:
 
 
 def node_members(sized: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, class, label) of all nodes up to NODE_ROWS classes; larger ones branch, and at last are cut into pairs of runs."""
+    """(node, class, label, before) of all nodes up to NODE_ROWS classes; larger ones branch, and at last are cut into pairs of runs.
+
+    Pairs that met in a small root of a tree below ``before`` are compared there.
+    """
     small = []
     for level, depth in enumerate(DEPTHS):
-        small.append(sized.filter(F.col("n") <= NODE_ROWS).select("node", "class", "label"))
+        before = F.lit(TREES) if level else F.col("tree")
+        small.append(sized.filter(F.col("n") <= NODE_ROWS).select("node", "class", "label", before.alias("before")))
         many = sized.filter(F.col("n") > NODE_ROWS)
         if many.isEmpty():
             break
@@ -169,7 +174,7 @@ def node_members(sized: DataFrame, classes: DataFrame) -> DataFrame:
             own = F.pmod(F.xxhash64("class", F.lit(5)), runs).cast("int")
             dealt = many.select("node", "class", "label", own.alias("run"), F.explode(F.sequence(F.lit(0), runs - 1)).alias("other"))
             block = F.xxhash64("node", F.least("run", "other"), F.greatest("run", "other"))
-            small.append(dealt.select(block.alias("node"), "class", "label"))
+            small.append(dealt.select(block.alias("node"), "class", "label", F.lit(TREES).alias("before")))
             break
         part = slice(depth, DEPTHS[level + 1])
         deeper = F.array(*[
@@ -181,8 +186,14 @@ def node_members(sized: DataFrame, classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, small)
 
 
+def small_roots(sized: DataFrame) -> DataFrame:
+    """(class, roots): by tree, a hash of the class's root if that is compared as it is, else 0."""
+    roots = [F.coalesce(F.max(F.when(F.col("tree") == t, F.hash("node"))), F.lit(0)) for t in range(TREES)]
+    return sized.filter(F.col("n") <= NODE_ROWS).groupBy("class").agg(F.array(*roots).alias("roots"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(classes, labels, signs) node by node, from rows sorted by node."""
+    """(classes, labels, signs, roots, before) node by node, from rows sorted by node."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -202,14 +213,16 @@ def _cut_groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     rows = rows.combine_chunks()
     nodes, classes, labels = (rows.column(n).to_numpy() for n in ("node", "class", "label"))
     signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    roots = rows.column("roots").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+    before = rows.column("before").to_numpy()
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if z - a > 1:
-            yield classes[a:z], labels[a:z], signs[a:z]
+            yield classes[a:z], labels[a:z], signs[a:z], roots[a:z], int(before[a])
 
 
-def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreements) of the pairs i < j in different components whose signs agree well enough."""
+def close_pairs(signs: np.ndarray, labels: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreements) of the pairs i < j in different components, without a common root, whose signs agree well enough."""
     quick = np.ascontiguousarray(signs[:, :QUICK])
     found = []
     for a in range(0, len(signs), TILE):
@@ -217,6 +230,8 @@ def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.n
         i, j = np.nonzero(np.triu(agree & (labels[a : a + TILE, None] != labels[None, a:]), 1))
         for k in range(0, len(i), PAIRS):
             x, y = i[k : k + PAIRS] + a, j[k : k + PAIRS] + a
+            fresh = ~((roots[x] == roots[y]) & (roots[x] != 0)).any(1)
+            x, y = x[fresh], y[fresh]
             both = (signs[x] == signs[y]).sum(1)
             good = both >= LEAST_AGREEMENT * COORDINATES
             found.append((x[good].astype(np.int32), y[good].astype(np.int32), both[good].astype(np.int16)))
@@ -224,15 +239,16 @@ def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)
 
 
-def best_of_each(n: int, i, j, agree, most: int) -> tuple[np.ndarray, bool]:
-    """Pairs that are among the ``most`` best of one of their members, and whether there are others."""
+def best_of_each(labels: np.ndarray, i, j, agree, most: int) -> tuple[np.ndarray, bool]:
+    """Pairs that are among the ``most`` best of their member in the smaller component, and whether there are others."""
     if len(i) <= most:
         return np.arange(len(i)), False
-    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-    order = np.lexsort((-np.tile(agree, 2), ends))
+    _, component, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    size = sizes[component]
+    ends = np.where(size[j] < size[i], j, i)
+    order = np.lexsort((-agree, ends))
     ends = ends[order]
-    rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
-    kept = np.unique(pair[order[rank < most]])
+    kept = np.sort(order[np.arange(len(ends)) - np.searchsorted(ends, ends) < most])
     return kept, len(kept) < len(i)
 
 
@@ -243,14 +259,14 @@ def _suggested(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     n_out, more = 0, False
-    for classes, labels, signs in _groups(batches):
+    for classes, labels, signs, roots, before in _groups(batches):
         if (labels == labels[0]).all():
             continue
-        i, j, agree = close_pairs(signs, labels)
+        i, j, agree = close_pairs(signs, labels, roots[:, :before])
         if most is None:
             kept = _forest(len(classes), i, j, agree)
         else:
-            kept, others = best_of_each(len(classes), i, j, agree, most)
+            kept, others = best_of_each(labels, i, j, agree, most)
             more |= others
         if len(kept):
             ends = np.sort(np.stack([classes[i[kept]], classes[j[kept]]], 1), axis=1)
@@ -288,9 +304,11 @@ def _forest(n: int, i, j, agree) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def suggested(members: DataFrame, classes: DataFrame, most: int | None) -> DataFrame:
-    """(a, b, more)"""
-    rows = members.join(classes.select("class", "sign"), "class").select("node", "class", "label", "sign")
+def suggested(members: DataFrame, classes: DataFrame, most: int | None, met: DataFrame | None = None) -> DataFrame:
+    """(a, b, more); with ``met``, the classes' small roots, a pair is only looked at in the first of those it has in common."""
+    rows, none = members.join(classes.select("class", "sign"), "class"), F.array_repeat(F.lit(0), TREES)
+    rows = rows.join(met, "class", "left") if met is not None else rows.withColumns({"roots": none, "before": F.lit(0)})
+    rows = rows.select("node", "class", "label", "sign", F.coalesce("roots", none).alias("roots"), "before")
     dealt = rows.repartition("node").sortWithinPartitions("node", "class")
     return dealt.mapInArrow(lambda b: _suggested(b, most), "a long, b long, more boolean").distinct()
 
@@ -373,7 +391,8 @@ def marked_rows(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     while more:
         at = first_nodes.select("class", "tree", "node").join(labels, "class", "left")
         still_open = _sized(at.withColumn("label", F.coalesce("label", "class")))
-        found = stage(suggested(node_members(still_open, classes), classes, most), "pairs")
+        found = suggested(node_members(still_open, classes), classes, most, small_roots(still_open))
+        found = stage(found, "pairs")
         fresh = stage(found.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stage(confirmed(fresh, texts, size, percent), "links")
         if not new.isEmpty():
