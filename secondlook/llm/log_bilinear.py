@@ -191,37 +191,55 @@ def learn(p: Parameters, noise: np.ndarray, examples: np.ndarray, seed: int, squ
 
     ``squares`` are the sums of squared gradients, which set the rates; they grow from call to call.
     """
-    draw = np.random.default_rng(seed)
-    cumulative, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
-    for at in range(0, len(examples), BATCH):
-        w, one, two = examples[at : at + BATCH].T
+    draws = np.random.default_rng(seed).random((-(-len(examples) // BATCH), NOISE * 4))
+    drawn = np.minimum(np.searchsorted(np.cumsum(noise), draws), TOTAL - 1).astype(np.int16)
+    log_noise = np.log(noise * NOISE).astype(np.float32)
+    columns = np.ascontiguousarray(examples.T, np.int16)  # short numbers are sorted in linear time
+    for k, v in enumerate(drawn):
+        w, one, two = columns[:, k * BATCH : (k + 1) * BATCH]
         n = len(w)
-        v = np.minimum(np.searchsorted(cumulative, draw.random(NOISE * 4)), TOTAL - 1)
-        r1, r2 = p.context[one], p.context[two]
+        r1, r2 = p.context.take(one, 0), p.context.take(two, 0)
+        own, other = p.target.take(w, 0), p.target.take(v, 0)
         q = r1 * p.positions[0] + r2 * p.positions[1]
-        good = np.einsum("nd,nd->n", q, p.target[w]) + p.bias[w, 0] - log_noise[w]
-        bad = q @ p.target[v].T + p.bias[v, 0] - log_noise[v]
-        g_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        g_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30))) / 4  # 4 * NOISE shared draws stand for NOISE of one's own
-        g_q = g_good[:, None] * p.target[w] + g_bad @ p.target[v]
-        steps_of = {n_: np.zeros(getattr(p, n_).shape, np.float32) for n_ in Parameters.NAMES}
-        add_rows(steps_of["target"], w, g_good[:, None] * q)
-        add_rows(steps_of["target"], v, g_bad.T @ q)
-        steps_of["bias"][:, 0] = np.bincount(w, g_good, TOTAL) + np.bincount(v, g_bad.sum(0), TOTAL)
-        add_rows(steps_of["context"], one, g_q * p.positions[0])
-        add_rows(steps_of["context"], two, g_q * p.positions[1])
-        steps_of["positions"][:] = (g_q * r1).sum(0), (g_q * r2).sum(0)
-        for name, g in steps_of.items():
+        offset = p.bias[:, 0] - log_noise
+        good = np.einsum("nd,nd->n", q, own) + offset[w]
+        bad = q @ other.T + offset[v]
+        g_good = inverse_odds(good)
+        g_bad = inverse_odds(np.negative(bad, bad))
+        g_bad /= -4  # 4 * NOISE shared draws stand for NOISE of one's own
+        g_q = g_good[:, None] * own + g_bad @ other
+        met = np.concatenate([w, v])
+        up = np.concatenate([g_good[:, None] * q, g_bad.T @ q])
+        bias = np.bincount(met, np.concatenate([g_good, g_bad.sum(0)]), TOTAL).astype(np.float32)
+        positions = np.stack([(g_q * r1).sum(0), (g_q * r2).sum(0)])
+        before = np.concatenate([g_q * p.positions[0], g_q * p.positions[1]])
+        for name, (rows, g) in {
+            "target": row_sums(met, up),
+            "bias": (slice(None), bias[:, None]),
+            "context": row_sums(np.concatenate([one, two]), before),
+            "positions": (slice(None), positions),
+        }.items():
             g /= n
-            squares[name] += g * g
-            getattr(p, name)[:] += RATE * 0.1 * g / np.sqrt(squares[name])
+            total = squares[name][rows] + g * g  # rows that were not met have no gradient and stay
+            squares[name][rows] = total
+            g *= RATE * 0.1
+            g /= np.sqrt(total, total)
+            getattr(p, name)[rows] += g
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+def inverse_odds(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(np.clip(x, -30, 30, out=x), x)
+    x += 1
+    return np.reciprocal(x, x)
+
+
+def row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``at`` and the sum of the rows of each."""
     order = np.argsort(at, kind="stable")
     own = at[order]
     cuts = np.flatnonzero(np.diff(own, prepend=-1))
-    to[own[cuts]] += np.add.reduceat(rows[order], cuts, axis=0)
+    return own[cuts], np.add.reduceat(rows.take(order, 0), cuts, axis=0)
 
 
 def _examples(run: list[bytes], known: Vocabulary) -> np.ndarray:
