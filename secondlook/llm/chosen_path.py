@@ -12,9 +12,9 @@ estimates that fall by chance below LEAST_AGREEMENT (four
 deviations) lose less than 1 pair in 10,000.
 
 What a node suggests is confirmed on full sets. First a spanning forest of each node's estimates in a few trees, for nodes cut
-into small runs, joins almost all; then, in all trees, the best candidates of each member in larger components, first a few of them,
-then GROWTH times as many, until none is left out. A pair that meets in the small roots of several trees is compared in the first of
-them alone (told by 32-bit hashes: of a billion pairs, about six are taken for compared that were not). Pairs within a component need
+into small runs, joins almost all; then, in all trees, each member's best candidates in other components, first a few of them, then
+GROWTH times as many, until none is left out. A pair that meets in the small roots of several trees is suggested by the first of
+them alone (told by 32-bit hashes: of a billion pairs, about six are taken for suggested that were not). Pairs within a component need
 no test, so that large groups of copies never yield all their pairs, and nodes within one component end.
 
 Defined cases: null and empty texts, or texts without words, have an empty set, link with nothing and are kept; a
@@ -160,7 +160,7 @@ def small_runs(sized: DataFrame) -> DataFrame:
 def node_members(sized: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, class, label, before) of all nodes up to NODE_ROWS classes; larger ones branch, and at last are cut into pairs of runs.
 
-    Pairs that met in a small root of a tree below ``before`` are compared there.
+    Pairs that met in a small root of a tree below ``before`` are suggested there.
     """
     small = []
     for level, depth in enumerate(DEPTHS):
@@ -221,8 +221,8 @@ def _cut_groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
             yield classes[a:z], labels[a:z], signs[a:z], roots[a:z], int(before[a])
 
 
-def close_pairs(signs: np.ndarray, labels: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreements) of the pairs i < j in different components, without a common root, whose signs agree well enough."""
+def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreements) of the pairs i < j in different components whose signs agree well enough."""
     quick = np.ascontiguousarray(signs[:, :QUICK])
     found = []
     for a in range(0, len(signs), TILE):
@@ -230,8 +230,6 @@ def close_pairs(signs: np.ndarray, labels: np.ndarray, roots: np.ndarray) -> tup
         i, j = np.nonzero(np.triu(agree & (labels[a : a + TILE, None] != labels[None, a:]), 1))
         for k in range(0, len(i), PAIRS):
             x, y = i[k : k + PAIRS] + a, j[k : k + PAIRS] + a
-            fresh = ~((roots[x] == roots[y]) & (roots[x] != 0)).any(1)
-            x, y = x[fresh], y[fresh]
             both = (signs[x] == signs[y]).sum(1)
             good = both >= LEAST_AGREEMENT * COORDINATES
             found.append((x[good].astype(np.int32), y[good].astype(np.int32), both[good].astype(np.int16)))
@@ -239,19 +237,27 @@ def close_pairs(signs: np.ndarray, labels: np.ndarray, roots: np.ndarray) -> tup
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)
 
 
-def best_of_each(labels: np.ndarray, i, j, agree, most: int) -> tuple[np.ndarray, bool]:
-    """Pairs that are among the ``most`` best of their member in the smaller component, and whether there are others."""
+def best_of_each(n: int, i, j, agree, most: int) -> tuple[np.ndarray, bool]:
+    """Pairs that are among the ``most`` best of one of their members, and whether there are others."""
     if len(i) <= most:
         return np.arange(len(i)), False
-    _, component, sizes = np.unique(labels, return_inverse=True, return_counts=True)
-    size = sizes[component]
-    ends = np.where(size[j] < size[i], j, i)
-    order = np.lexsort((-agree, ends))
+    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((-np.tile(agree, 2), ends))
     ends = ends[order]
-    kept = np.sort(order[np.arange(len(ends)) - np.searchsorted(ends, ends) < most])
+    rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
+    kept = np.unique(pair[order[rank < most]])
     return kept, len(kept) < len(i)
 
 
+def unmet(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a pair has none of these roots in common."""
+    parts = []
+    for k in range(0, len(i), PAIRS):
+        x, y = roots[i[k : k + PAIRS]], roots[j[k : k + PAIRS]]
+        parts.append(~((x == y) & (x != 0)).any(1))
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def _suggested(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each node: a spanning forest of its estimates, or each member's ``most`` best across components.
 
@@ -262,12 +268,13 @@ def _suggested(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[
     for classes, labels, signs, roots, before in _groups(batches):
         if (labels == labels[0]).all():
             continue
-        i, j, agree = close_pairs(signs, labels, roots[:, :before])
+        i, j, agree = close_pairs(signs, labels)
         if most is None:
             kept = _forest(len(classes), i, j, agree)
         else:
-            kept, others = best_of_each(labels, i, j, agree, most)
+            kept, others = best_of_each(len(classes), i, j, agree, most)
             more |= others
+            kept = kept[unmet(roots[:, :before], i[kept], j[kept])]
         if len(kept):
             ends = np.sort(np.stack([classes[i[kept]], classes[j[kept]]], 1), axis=1)
             out.append((ends[:, 0], ends[:, 1]))
@@ -305,7 +312,7 @@ def _forest(n: int, i, j, agree) -> np.ndarray:
 
 
 def suggested(members: DataFrame, classes: DataFrame, most: int | None, met: DataFrame | None = None) -> DataFrame:
-    """(a, b, more); with ``met``, the classes' small roots, a pair is only looked at in the first of those it has in common."""
+    """(a, b, more); with ``met``, the classes' small roots, a pair is only suggested by the first of those it has in common."""
     rows, none = members.join(classes.select("class", "sign"), "class"), F.array_repeat(F.lit(0), TREES)
     rows = rows.join(met, "class", "left") if met is not None else rows.withColumns({"roots": none, "before": F.lit(0)})
     rows = rows.select("node", "class", "label", "sign", F.coalesce("roots", none).alias("roots"), "before")
