@@ -20,6 +20,14 @@ def names(columns: Names) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores in front until no table has such a column (whatever its case)."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def key_sizes(facts: DataFrame, key: Names) -> DataFrame:
     """(key, n_rows), counted map-side before the shuffle."""
     return facts.groupBy(*names(key)).agg(F.count("*").alias("n_rows"))
@@ -43,9 +51,11 @@ def spread_lookup(
     salt. By counting, at most max(``pieces``, rows / ``max_piece_rows``) keys can be hot and at most twice as many
     rows are added, so the table of hot keys is the one thing here that may be broadcast by force. No row is
     dropped: keys that are not hot use salt 0 on both sides. Facts with a null in the key find nothing and are dealt
-    out over ``pieces`` salts. Works for left, inner, semi and anti joins.
+    out over ``pieces`` salts. Works for left, inner, semi and anti joins. Helper columns take names that neither
+    table has.
     """
     keys = names(key)
+    salt, n_salts = (free_name(name, facts, lookup) for name in ("_salt", "_n_salts"))
     if sizes is None:
         sizes = key_sizes(facts, key)
         total = facts.agg(F.count("*")).scalar()  # reads no column of the facts
@@ -54,18 +64,14 @@ def spread_lookup(
     share = F.least(F.ceil(total / F.lit(pieces)), F.lit(max_piece_rows))
     piece = F.greatest(share, F.lit(min_piece_rows))
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    hot = sizes.filter(F.col("n_rows") > piece).select(
-        *keys, F.ceil(F.col("n_rows") / piece).alias("_n_salts")
-    )
+    hot = sizes.filter(F.col("n_rows") > piece).select(*keys, F.ceil(F.col("n_rows") / piece).alias(n_salts))
     hot = F.broadcast(hot)
-    n_salts = F.when(no_key, F.lit(pieces)).otherwise(F.coalesce("_n_salts", F.lit(1)))
+    own_salts = F.when(no_key, F.lit(pieces)).otherwise(F.coalesce(n_salts, F.lit(1)))
     salted_facts = (
         facts.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*names(row_id)), n_salts))
-        .drop("_n_salts")
-    )
-    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_n_salts", F.lit(1)) - 1)
-    salted_lookup = (
-        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_n_salts")
+        .withColumn(salt, F.pmod(F.xxhash64(*names(row_id)), own_salts))
+        .drop(n_salts)
     )
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(n_salts, F.lit(1)) - 1)
+    salted_lookup = lookup.join(hot, keys, "left").withColumn(salt, F.explode(salts)).drop(n_salts)
+    return salted_facts.join(salted_lookup, [*keys, salt], how).drop(salt)
