@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook.llm.common import table
-from secondlook.operators.skew import spread_lookup
+from secondlook.operators.skew import free_name, spread_lookup
 from secondlook.session import stage
 
 BLOCK, ALLOW = "block", "allow"
@@ -152,21 +152,26 @@ def train(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE)
     return Trees(*boost(x, y, rows["n"].to_numpy(float)), shares)
 
 
-def with_shares(pages: DataFrame, shares: DataFrame | None, url: str) -> DataFrame:
-    """Add ``_last`` and ``_two``, the shares of the host's last label and last two labels; 0.5 where no URL had a label."""
+def with_shares(pages: DataFrame, shares: DataFrame | None, url: str, out: tuple[str, str] = ("_last", "_two")) -> DataFrame:
+    """Add ``out``, the shares of the host's last label and last two labels; 0.5 where no URL had a label.
+
+    Helper columns take names that the pages don't have.
+    """
+    last, two = out
     if shares is None:
-        return pages.withColumns({"_last": F.lit(0.5), "_two": F.lit(0.5)})
-    keyed = pages.withColumns({"_key": suffixes(host_of(F.col(url)))[1], "_row": F.monotonically_increasing_id()})
+        return pages.withColumns({last: F.lit(0.5), two: F.lit(0.5)})
+    key, row = free_name("_key", pages), free_name("_row", pages)
+    keyed = pages.withColumns({key: suffixes(host_of(F.col(url)))[1], row: F.monotonically_increasing_id()})
     # The last two labels tell the last one, so both shares come with one lookup row for each pair of labels.
-    sizes = stage(keyed.groupBy("_key").agg(F.count("*").alias("n_rows")), "pairs")
-    pairs = sizes.select("_key", F.element_at(F.split("_key", r"\."), -1).alias("_label"))
-    pairs = pairs.join(shares.select(F.col("key").alias("_key"), F.col("share").alias("_two")), "_key", "left")
-    lasts = shares.select(F.col("key").alias("_label"), F.col("share").alias("_last"))
-    lookup = spread_lookup(pairs, lasts, "_label", "_key").select(
-        "_key", *[F.coalesce(c, F.lit(0.5)).alias(c) for c in ("_last", "_two")]
+    sizes = stage(keyed.groupBy(key).agg(F.count("*").alias("n_rows")).select(F.col(key).alias("pair"), "n_rows"), "pairs")
+    pairs = sizes.select("pair", F.element_at(F.split("pair", r"\."), -1).alias("label"))
+    pairs = pairs.join(shares.select(F.col("key").alias("pair"), F.col("share").alias("of_two")), "pair", "left")
+    lasts = shares.select(F.col("key").alias("label"), F.col("share").alias("of_last"))
+    lookup = spread_lookup(pairs, lasts, "label", "pair").select(
+        F.col("pair").alias(key), *[F.coalesce(c, F.lit(0.5)).alias(n) for c, n in (("of_last", last), ("of_two", two))]
     )
-    found = spread_lookup(keyed, lookup, "_key", "_row", sizes, min_piece_rows=LEAST_PIECE)
-    return found.select(*pages.columns, "_last", "_two")
+    found = spread_lookup(keyed, lookup, key, row, sizes.withColumnRenamed("pair", key), min_piece_rows=LEAST_PIECE)
+    return found.select(*pages.columns, last, two)
 
 
 def with_block_margin(pages: DataFrame, model: Trees, url: str = "url", out: str = "margin") -> DataFrame:
@@ -180,19 +185,20 @@ def with_block_margin(pages: DataFrame, model: Trees, url: str = "url", out: str
             yield pa.array(trees.margin(x), pa.float64())
 
     trees = Trees(model.base, model.nodes)  # what tasks need; the shares are in the rows
-    margin = margins(F.col(url), host_of(F.col(url)), path_of(F.col(url)), F.col("_last"), F.col("_two"))
-    return with_shares(pages, model.shares, url).withColumn(out, margin).drop("_last", "_two")
+    last, two = free_name("_last", pages), free_name("_two", pages)
+    margin = margins(F.col(url), host_of(F.col(url)), path_of(F.col(url)), F.col(last), F.col(two))
+    return with_shares(pages, model.shares, url, (last, two)).withColumn(out, margin).drop(last, two)
 
 
 def filter_urls(pages: DataFrame, model: Trees, url: str = "url", rules=RULES) -> DataFrame:
     """All rows with ``host``, ``path``, ``rule`` and ``verdict`` (existing columns of these names are replaced)."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    found = rule_of(host, path, rules)
-    verdict = F.when(F.col("_margin") > 0, BLOCK).otherwise(ALLOW)
+    found, margin = rule_of(host, path, rules), free_name("_margin", pages)
+    verdict = F.when(F.col(margin) > 0, BLOCK).otherwise(ALLOW)
     for rule, given in rules:
         verdict = F.when(found == rule, given).otherwise(verdict)
-    scored = with_block_margin(pages, model, url, "_margin")
-    return scored.withColumns({"host": host, "path": path, "rule": found, "verdict": verdict}).drop("_margin")
+    scored = with_block_margin(pages, model, url, margin)
+    return scored.withColumns({"host": host, "path": path, "rule": found, "verdict": verdict}).drop(margin)
 
 
 def op7_url_filter(spark, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nulls, empty and odd texts, repeated rows, clashing columns and empty tables, for all operators."""
 
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -248,6 +249,50 @@ def test_url_rules_and_method(spark):
     assert {r.verdict for r in url_filter.filter_urls(given.filter("page_id = 9"), url_filter.train(empty)).collect()} == {"allow"}
 
 
+def test_url_rules_match_a_plain_loop(spark):
+    """Rules over hosts and paths put together at random, against a loop over all rules."""
+    draw = random.Random(5)
+    labels, paths = ["net", "example", "com", "org", "my", "a", ""], ["", "/", "/de", "/de/", "/fr/x", "/en/1", "/EN/", "/de/?q#f"]
+    urls = {
+        draw.choice(["http://", "HTTPS://", "://", "//", ""]) + ".".join(draw.choices(labels, k=draw.randint(1, 4))).title()
+        + draw.choice(paths) + draw.choice(["", "?u=://net/", "#://example.com/de/"])
+        for _ in range(1500)
+    }
+
+    def expected(url):
+        host = path = ""
+        if "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.split("[/?#]", rest, maxsplit=1)[0]
+            path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = host.lower()
+        best = None
+        for rule, verdict in url_filter.RULES:
+            of_host, _, of_path = rule.partition("/")
+            if (host == of_host or host.endswith("." + of_host)) and path.startswith("/" + of_path):
+                best = max(best or ("", ""), (rule, verdict), key=lambda r: len(r[0]))
+        return host, path, *(best or (None, None))
+
+    pages = spark.createDataFrame([(u,) for u in sorted(urls)], "url string")
+    for r in url_filter.filter_urls(pages, url_filter.train(pages)).collect():
+        host, path, rule, verdict = expected(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (rule is None or r.verdict == verdict)
+
+
+def test_url_filter_passes_clashing_columns_through(spark):
+    clashing = ("_last", "_two", "_key", "_row", "_margin", "_salt", "_n_salts", "n_rows", "key", "label", "pair", "_KEY2", "of_two")
+    plain = spark.createDataFrame(URLS, "page_id long, url string")
+    pages = plain.withColumns({c: F.lit(f"own {c}") for c in clashing})
+    model = url_filter.train(pages)
+    found = url_filter.filter_urls(pages, model)
+    assert found.columns == ["page_id", "url", *clashing, "host", "path", "rule", "verdict"]
+    rows = found.collect()
+    assert len(rows) == len(URLS) and all(r[c] == f"own {c}" for r in rows for c in clashing)
+    wanted = url_filter.filter_urls(plain, model).collect()
+    judged = lambda r: (r.page_id, r.url, r.host, r.path, r.rule, r.verdict)
+    assert sorted(map(str, map(judged, rows))) == sorted(map(str, map(judged, wanted)))
+
+
 def test_trees_learn_lexical_features(spark):
     rows = [(i, f"http://s{i % 7}.example.com/{'de' if i % 2 else 'en'}/{'9' * (12 * (i % 2))}{i}") for i in range(200)]
     rows += [(1000 + i, f"http://t{i}.example.net/en/{i}") for i in range(200)]
