@@ -79,6 +79,13 @@ def injection_ordinals(c: Column, word_bounded: bool = False) -> Column:
     return F.flatten(F.transform(F.array(folded(or_empty(c))), all_patterns))
 
 
+def folded_injection_ordinals(text: Column, word_bounded: bool = False) -> Column:
+    """Array with the 1-based positions of all injection patterns that occur in ``folded`` text; null if none does."""
+    tests = _injection_tests(text, word_bounded)
+    hits = [F.when(t, F.lit(i).cast("bigint")) for i, t in enumerate(tests, 1)]
+    return F.when(reduce(lambda a, b: a | b, tests), F.array_compact(F.array(*hits)))
+
+
 def _pii_regex(c: Column, name: str) -> Column:
     pattern = dict(fixed.PII_PATTERNS)[name].replace(r"\s]", r"\s\x1c-\x1f]").replace(r"\s+", f"{WS}+")
     return c.rlike(unicode_regex(_PII_START.get(name, "") + pattern, ignore_case=True))

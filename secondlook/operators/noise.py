@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from secondlook import fixed
 from secondlook.functions import text as tx
+from secondlook.functions.arrays import count_up_to
 from secondlook.functions.draws import draw_int, draw_unit
 from secondlook.operators.skew import spread_lookup
 from secondlook.operators.taxonomy import distinct_pairs, first_patterns
@@ -37,12 +38,6 @@ def _with_any_other(df: DataFrame, taxonomy: DataFrame, seed: int, key: str) ->
     )
 
 
-def _step_over(position: Column, skipped: Column) -> Column:
-    """Map 0, 1, 2, ... to the integers that are not in ``skipped`` (a sorted array)."""
-    shifted = F.transform(skipped, lambda x, i: x - i)
-    return position + F.size(F.filter(shifted, lambda x: x <= position))
-
-
 def static_confusion(
     df: DataFrame, taxonomy: DataFrame, patterns: DataFrame, seed: int, key: str = "seq"
 ) -> DataFrame:
@@ -64,29 +59,38 @@ def static_confusion(
 def confusion_weights(taxonomy: DataFrame, similarity: DataFrame) -> DataFrame:
     """Per label with similarity entries: cumulated listed weights and what is left for the rest.
 
-    Returns (actual, own, listed array<struct<ordinal, hi>>, listed_total, n_rest, rest_total). Labels outside
-    the list all weigh the same, so they need no rows of their own and the table stays linear in
-    the similarity entries.
+    Returns (actual, listed array<ordinal>, highs array<cumulated weight>, gaps, listed_total, n_rest, rest_total).
+    Labels outside the list all weigh the same, so they need no rows of their own and the table stays linear in
+    the similarity entries: the k-th of them (from 0) is k plus the number of ``gaps`` up to k. Weights that are null or
+    negative count as zero.
     """
     names = taxonomy.select(F.col("name").alias("candidate"), "ordinal")
     own = taxonomy.select(F.col("name").alias("actual"), F.col("ordinal").alias("own"))
     running = W.partitionBy("actual").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     n_others = taxonomy.agg(F.count("*") - 1).scalar()
+    skipped = F.array_sort(F.array_distinct(F.concat("listed", F.array("own"))))
     return (
-        similarity.select("actual", "candidate", "weight")
+        similarity.select("actual", "candidate", F.greatest("weight", F.lit(0.0)).alias("weight"))
         .filter(F.col("actual") != F.col("candidate"))
         .join(names, "candidate")
         .withColumn("hi", F.sum("weight").over(running))
         .groupBy("actual")
         .agg(
-            F.array_sort(F.collect_list(F.struct("ordinal", "hi"))).alias("listed"),
+            F.array_sort(F.collect_list(F.struct("ordinal", "hi"))).alias("entries"),
             F.max("hi").alias("listed_total"),
-            F.count("*").alias("_n_listed"),
+            F.count_distinct("ordinal").alias("_n_listed"),
         )
         .join(own, "actual")
-        .withColumn("n_rest", n_others - F.col("_n_listed"))
+        .withColumns(
+            {
+                "listed": F.col("entries.ordinal"),
+                "highs": F.col("entries.hi"),
+                "n_rest": n_others - F.col("_n_listed"),
+            }
+        )
         .withColumn("rest_total", F.col("n_rest") * F.lit(fixed.UNLISTED_WEIGHT))
-        .drop("_n_listed")
+        .withColumn("gaps", F.transform(skipped, lambda x, i: x - i))
+        .select("actual", "listed", "highs", "gaps", "listed_total", "n_rest", "rest_total")
     )
 
 
@@ -95,7 +99,8 @@ def dynamic_confusion(
 ) -> DataFrame:
     """Add ``confused``: another label drawn by similarity weight (0.1 for unlisted pairs).
 
-    A label without any similarity entry draws uniformly among the others.
+    A label without any similarity entry draws uniformly among the others. A draw is a binary search in the
+    label's cumulated weights, which are sorted once per label and not per row.
     """
     weights = confusion_weights(taxonomy, similarity).withColumnRenamed("actual", "ground_truth")
     own = taxonomy.select(F.col("name").alias("ground_truth"), F.col("ordinal").alias("_own"))
@@ -104,21 +109,19 @@ def dynamic_confusion(
     point = draw_unit(seed, "weight", F.col(key)) * (F.col("listed_total") + F.col("rest_total"))
     beyond = (F.col("_point") - F.col("listed_total")) / F.lit(fixed.UNLISTED_WEIGHT)
     rest = F.least(F.floor(beyond), F.greatest(F.col("n_rest"), F.lit(1)) - 1)
-    hit = F.try_element_at(F.filter("listed", lambda s: F.col("_point") < s["hi"]), F.lit(1))
-    skipped = F.array_sort(F.concat(F.transform("listed", lambda s: s["ordinal"]), F.array("_own")))
     pick = (
         F.when(F.col("listed").isNull(), F.col("_any"))
-        .when(hit.isNotNull(), hit["ordinal"])
-        .otherwise(_step_over(F.col("_rest"), skipped))
+        .when(F.col("_place") < F.size("listed"), F.get("listed", F.col("_place")))
+        .otherwise(F.col("_rest") + count_up_to(F.col("gaps"), F.col("_rest")))
     )
-    weighted = df.join(own, "ground_truth", "left").join(weights.drop("own"), "ground_truth", "left")
+    weighted = df.join(own, "ground_truth", "left").join(weights, "ground_truth", "left")
     return (
         _with_any_other(weighted, taxonomy, seed, key)
         .withColumn("_point", point)
-        .withColumn("_rest", rest)
+        .withColumns({"_rest": rest, "_place": count_up_to(F.col("highs"), F.col("_point"))})
         .withColumn("_pick", pick)
         .join(names, "_pick", "left")
-        .drop("_own", "listed", "listed_total", "n_rest", "rest_total", "_any", "_point", "_rest", "_pick")
+        .drop("_own", "listed", "highs", "gaps", "listed_total", "n_rest", "rest_total", "_any", "_point", "_rest", "_place", "_pick")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secondlook import fixed
-from secondlook.functions.patterns import has_injection, injection_ordinals
+from secondlook.functions.patterns import folded, folded_injection_ordinals, has_injection
 from secondlook.functions.text import (
     WS,
     capitalize,
@@ -16,6 +16,7 @@ from secondlook.functions.text import (
     trim_ws,
     unicode_regex,
 )
+from secondlook.operators.skew import free_name
 from secondlook.operators.taxonomy import label_lookup
 
 
@@ -145,11 +146,17 @@ def detect_injection(df: DataFrame, column: str, word_bounded: bool = False) ->
 
 
 def injection_matches(df: DataFrame, column: str, word_bounded: bool = False) -> DataFrame:
-    """One row per text and matching pattern: adds ``pattern_ordinal``."""
+    """One row per text and matching pattern: adds ``pattern_ordinal``.
+
+    The text is folded in a projection of its own, so the tests are compiled code on one column, and single patterns
+    are listed only for texts in which some pattern occurs.
+    """
+    text = free_name("_folded", df)
     # explode_outer: the optimizer would evaluate the patterns of a plain explode a second time, to drop
     # texts without matches before it.
-    found = F.explode_outer(injection_ordinals(F.col(column), word_bounded))
-    return df.withColumn("pattern_ordinal", found).filter("pattern_ordinal IS NOT NULL")
+    found = F.explode_outer(folded_injection_ordinals(F.col(text), word_bounded))
+    listed = df.withColumn(text, folded(or_empty(F.col(column)))).withColumn("pattern_ordinal", found)
+    return listed.drop(text).filter("pattern_ordinal IS NOT NULL")
 
 
 def validate_output(

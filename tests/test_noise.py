@@ -1,6 +1,9 @@
+import bisect
+
 from pyspark.sql import functions as F
 
 from secondlook import fixed
+from secondlook.functions.arrays import count_up_to
 from secondlook.functions.draws import draw_unit
 from secondlook.functions.text import number_text, redact, word_count
 from secondlook.operators import noise
@@ -57,6 +60,37 @@ def test_dynamic_confusion_without_entries_is_uniform(spark, taxonomy):
     assert all(abs(r["count"] / 2000 - 1 / 6) < 0.04 for r in got)
 
 
+def test_count_up_to_matches_bisect(spark):
+    arrays = [[], [5], [1, 1, 1], [0, 2, 2, 7], list(range(0, 40, 3)), None]
+    given = spark.createDataFrame([(a, x) for a in arrays for x in (-1, 0, 1, 2, 5, 20, 39, 99, None)], "a array<bigint>, x bigint")
+    for r in given.withColumn("n", count_up_to(F.col("a"), F.col("x"))).collect():
+        assert r.n == (None if r.a is None or r.x is None else bisect.bisect_right(r.a, r.x))
+
+
+def test_dynamic_confusion_over_a_long_list_matches_a_plain_loop(spark):
+    """Entries that repeat, weigh nothing or have no weight; every draw against a loop over the label's list."""
+    names = [f"l{i:03}" for i in range(300)]
+    labels = tables.load_taxonomy(spark, [(n, "") for n in names])
+    entries = [("l007", names[i * 7 % 300], [0.5, 0.0, 0.25, None][i % 4]) for i in range(200)]
+    entries += [("l007", "l014", 0.5), ("l007", "l007", 9.0)]
+    rows = spark.range(3000).select(F.col("id").alias("seq"), F.lit("l007").alias("ground_truth"))
+    drawn = noise.dynamic_confusion(rows, labels, tables.load_similarity(spark, entries), 5)
+    assert drawn.columns == ["ground_truth", "seq", "confused"]
+    listed = sorted((names.index(c), w or 0.0) for a, c, w in entries if c != a)
+    rest = [i for i in range(300) if i != 7 and i not in {o for o, _ in listed}]
+    total = sum(w for _, w in listed) + 0.1 * len(rest)
+    points = {r.seq: r.u for r in rows.select("seq", draw_unit(5, "weight", F.col("seq")).alias("u")).collect()}
+    for r in drawn.collect():
+        point, at = points[r.seq] * total, 0.0
+        for ordinal, weight in listed:
+            at += weight
+            if point < at:
+                break
+        else:
+            ordinal = rest[min(int((point - at) / 0.1), len(rest) - 1)]
+        assert r.confused == names[ordinal]
+
+
 def test_seed_changes_and_repeats(spark, sf):
     one = [r["pred_label"] for r in b.samples(spark, sf).orderBy("seq").collect()]
     two = [r["pred_label"] for r in b.samples(spark, sf).repartition(7).orderBy("seq").collect()]
