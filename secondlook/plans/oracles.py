@@ -565,6 +565,8 @@ ORACLES = {
     "cache_upsert_side_by_side": upsert("prompt_hash, version, model"),
     "cache_expire": f"SELECT {CACHE_COLUMNS} FROM cache WHERE NOT ({b.NOW} - created_at > {fixed.CACHE_TTL_SECONDS})",
     "cache_touch": f"SELECT * REPLACE (hit_count + CASE WHEN prompt_hash IN (SELECT prompt_hash FROM live) THEN 1 ELSE 0 END AS hit_count) FROM (SELECT {CACHE_COLUMNS} FROM cache)",
+    "cache_upkeep": f"SELECT * REPLACE (hit_count + CASE WHEN prompt_hash IN (SELECT prompt_hash FROM live) THEN 1 ELSE 0 END AS hit_count) "
+    f"FROM (SELECT {CACHE_COLUMNS} FROM cache WHERE NOT ({b.NOW} - created_at > {fixed.CACHE_TTL_SECONDS}))",
     "cache_clear": "SELECT count(*) AS n_before, 0::BIGINT AS n_after FROM cache",
     "cache_versions": f"SELECT version, count(*) AS n_rows, count(*) FILTER (model = '{b.MODEL}' AND created_at >= {b.NOW} - {fixed.CACHE_TTL_SECONDS}) AS n_usable FROM cache GROUP BY version",
     "union_results": "SELECT h.seq, h.id AS sample_id, true AS cache_hit, true AS success, l.verdict, l.reasoning, l.suggested_label, NULL::VARCHAR AS error FROM hashed h JOIN live l USING (prompt_hash) "

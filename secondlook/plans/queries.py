@@ -16,7 +16,7 @@ from secondlook.operators import taxonomy as ta
 from secondlook.plans import audit
 from secondlook.plans import bindings as b
 from secondlook.session import fresh_path
-from secondlook.sources import artifacts, tables
+from secondlook.sources import artifacts, cache_table, tables
 from secondlook.streaming import audit_stream
 
 QUERIES = {}
@@ -649,6 +649,18 @@ def cache_clear(spark, d):
     return full.agg(F.count("*").alias("n_before")).withColumn("n_after", left)
 
 
+@query
+def cache_upkeep(spark, d):
+    """The same on a stored cache: days expire as folders, hits rewrite the folders they meet, answers are stored again."""
+    path = fresh_path(spark, "cache")
+    cache_table.create_cache(b.cache(spark, d), path)
+    cache_table.expire_stored(spark, path, b.NOW)
+    live = ca.live_entries(cache_table.open_cache(spark, path, b.NOW), b.NOW, model=b.MODEL)
+    hits = b.hashed(spark, d).select("prompt_hash").join(live.select("prompt_hash"), "prompt_hash", "left_semi")
+    cache_table.touch_stored(spark, path, hits, fixed.PROMPT_VERSION, b.MODEL)
+    return _cache_columns(cache_table.open_cache(spark, path, b.NOW))
+
+
 @query
 def cache_versions(spark, d):
     """Entries per version, and how many a run under each version could use."""
