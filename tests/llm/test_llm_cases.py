@@ -534,6 +534,10 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     left = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
     assert [i for i, _ in left] == [0, 0, 3, 7, 8, 9]
     assert (7, other) in left and (3, LINE) in left and left.count((0, "no id")) == 2
+    own = docs.withColumns({"_id": F.lit("own"), "_text": F.col("text"), "_ID2": F.lit(2)})
+    again = corpus_pipeline.near_dedup(spark, own, "")
+    assert again.columns == own.columns
+    assert sorted((r.doc_id or 0, r.text) for r in again.collect() if r["_id"] == "own" and r["_text"] == r.text) == left
 
 
 @pytest.mark.parametrize("name", ["op1_max_score", "op5_chosen_path"])
