@@ -9,6 +9,7 @@ from secondlook.operators import metrics as me
 from secondlook.operators import privacy, review
 from secondlook.plans import audit
 from secondlook.plans import bindings as b
+from secondlook.plans.queries import QUERIES
 from secondlook.session import shared_dir, stage
 from secondlook.sources import artifacts, tables
 from secondlook.streaming import audit_stream
@@ -178,6 +179,12 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, sf, taxonomy, tmp_path)
     assert sorted(map(str, streamed.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
 
 
+def test_a_streamed_audit_reads_a_file_and_a_folder_of_files(spark, sf, tmp_path):
+    b.table(spark, sf, "documents").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    of_file, of_folder = (sorted(map(str, QUERIES["stream_audit"](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert of_file and of_folder == of_file
+
+
 def test_running_verdicts(spark, sf, tmp_path):
     folder = tmp_path / "in"
     done = review.mock_review(b.samples(spark, sf))
