@@ -8,6 +8,7 @@ broadcasts them when their known size allows it.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from secondlook import fixed
 from secondlook.operators.skew import spread_lookup
@@ -112,24 +113,31 @@ def _preview(taxonomy: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
-def dense_ordinals(df: DataFrame, key: str, order: str, slice_rows: int = 1_000_000) -> DataFrame:
+def dense_ordinals(
+    df: DataFrame, key: str, order: str, slice_rows: int = 1_000_000, slice_bytes: int = 32_000_000
+) -> DataFrame:
     """Number the rows of every key 0, 1, 2, ... by a unique integer column.
 
     One label may hold any share of the rows, and ids may be dense here and far apart there. So the rows are
-    dealt into ranges of (key, order) by a sample of them, about ``slice_rows`` rows each, and staged with their
-    place. A row's number is its place in its range, less the place of its key's first row there, plus the key's
-    rows in earlier ranges, which are counted map-side.
+    dealt into ranges of (key, order) by a sample of them, about ``slice_rows`` rows or ``slice_bytes`` of text
+    each, and staged with their place. A row's number is its place in its range, less the place of its key's first
+    row there, plus the key's rows in earlier ranges, which are counted map-side. These shifts, one per range and
+    key, are staged too: the optimizer then knows how small they are and leaves the texts where they lie.
     """
-    n_slices = max(1, -(-df.count() // slice_rows))
+    texts = [F.octet_length(F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(n, F.lit(0)) for n in texts), F.lit(0).cast("bigint"))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    n_slices = max(1, -(-rows // slice_rows), -(-size // slice_bytes))
     ranged = df.repartitionByRange(n_slices, key, order).sortWithinPartitions(key, order)
     placed = stage(
         ranged.withColumns({"_slice": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ordinals"
     )
     earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
+    starts = stage(
         placed.groupBy(key, "_slice")
         .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-        .select(key, "_slice", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+        .select(key, "_slice", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")),
+        "shifts",
     )
     same = [F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}")), F.col("r._slice") == F.col("s._slice")]
     return placed.alias("r").join(starts.alias("s"), same).select(

@@ -145,6 +145,16 @@ def test_dense_ordinals_with_a_far_off_id_and_null_labels(spark):
     assert ta.dense_ordinals(df.limit(0), "label", "k").count() == 0
 
 
+def test_dense_ordinals_deal_long_texts_over_more_ranges(spark):
+    rows = [("hot", i, "x" * 1000) for i in range(300)] + [("cold", 1000 + i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "label string, k bigint, text string")
+    numbered = ta.dense_ordinals(df, "label", "k", slice_bytes=20_000)
+    want = {("hot", i): i for i in range(300)} | {("cold", 1000 + i): i for i in range(20)}
+    assert {(r["label"], r["k"]): r["ordinal"] for r in numbered.collect()} == want
+    written = [f for f in numbered.inputFiles() if "/ordinals-" in f]
+    assert max(spark.read.parquet(f).count() for f in written) < 100
+
+
 def test_repeated_patterns_are_listed_once(spark, taxonomy):
     name = taxonomy.orderBy("ordinal").first()["name"]
     rows = [(i, name, "x" if i % 2 else "y") for i in range(6)]
