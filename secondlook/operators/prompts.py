@@ -10,6 +10,10 @@ from secondlook.functions.text import number_text
 from secondlook.operators.taxonomy import prompt_block
 
 
+#: The sample columns that a prompt is made of.
+PROMPT_PARTS = ("text", "pred_label", "confidence")
+
+
 def fill_template(template: str, values: dict[str, Column]) -> Column:
     """Concatenate the literal parts of a ``str.format`` template with columns."""
     parts = []
@@ -25,7 +29,7 @@ def build_prompt(
     samples: DataFrame, taxonomy: DataFrame, compact: bool = False, template: str | None = None
 ) -> DataFrame:
     """Add ``prompt``. The label list is a scalar subquery, so it is built once per query."""
-    schemas.require_columns(samples, ("text", "pred_label", "confidence"), "samples")
+    schemas.require_columns(samples, PROMPT_PARTS, "samples")
     if template is None:
         template = fixed.COMPACT_PROMPT_TEMPLATE if compact else fixed.PROMPT_TEMPLATE
     values = {

@@ -10,7 +10,7 @@ from secondlook import fixed, schemas
 from secondlook.functions.text import null_if_empty, or_empty
 from secondlook.operators import scoring
 from secondlook.operators.cache import CACHED_FIELDS, distinct_requests, live_entries
-from secondlook.operators.prompts import with_prompt_hash
+from secondlook.operators.prompts import PROMPT_PARTS, build_prompt, with_prompt_hash
 from secondlook.operators.responses import parse_response, validate_output
 from secondlook.operators.skew import spread_lookup
 from secondlook.session import is_written, stage
@@ -203,16 +203,12 @@ def review_counters() -> list[Column]:
 
 def _kept_reviews(reviews: DataFrame, path: str | None) -> tuple[DataFrame, dict]:
     """The reviews, written once, and their counters, which are taken while they are written."""
-    spark, seen = reviews.sparkSession, Observation()
+    seen = Observation()
+    counted = reviews.observe(seen, *review_counters())
     if path is None:
-        kept = stage(reviews.observe(seen, *review_counters()), "reviews")
-    else:
-        if is_written(spark, path):
-            kept = spark.read.schema(reviews.schema).parquet(path)
-            return kept, kept.agg(*review_counters()).first().asDict()
-        reviews.observe(seen, *review_counters()).write.mode("overwrite").parquet(path)
-        kept = spark.read.schema(reviews.schema).parquet(path)
-    return kept, dict(seen.get)
+        return stage(counted, "reviews"), dict(seen.get)
+    counted.write.mode("overwrite").parquet(path)
+    return reviews.sparkSession.read.schema(reviews.schema).parquet(path), dict(seen.get)
 
 
 REVIEW_COLUMNS = (
@@ -229,20 +225,50 @@ def request_key(outside: tuple[str, ...]) -> Column:
     return F.md5(F.concat(F.col("prompt_hash"), F.lit(":"), values))
 
 
-def answered_requests(requests: DataFrame, found: DataFrame | None, reviewer: Reviewer) -> DataFrame:
-    """Requests with ``cached`` or an answer: only those that the cache lacks reach the reviewer."""
-    nothing = F.lit(None)
+#: What all requests keep, whoever answers them.
+REQUEST_COLUMNS = ("request", "prompt_hash", "n_rows", "seq")
+
+
+def carried_columns(needs: tuple[str, ...]) -> list[str]:
+    """The sample columns that a request takes along: the parts of a prompt instead of the prompt."""
+    parts = PROMPT_PARTS if "prompt" in needs else ()
+    return list(dict.fromkeys([*(n for n in needs if n != "prompt"), *parts]))
+
+
+def answered_requests(
+    requests: DataFrame, found: DataFrame | None, reviewer: Reviewer, with_prompt: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Requests with ``cached`` or an answer: only those that the cache lacks get a prompt and reach the reviewer."""
+    nothing, new = F.lit(None), ("raw_response", "latency_ms", "error")
+
+    def answered(part: DataFrame) -> DataFrame:
+        if "prompt" in reviewer.needs:
+            part = with_prompt(part)
+        told = reviewer.answer(part.select(*REQUEST_COLUMNS, *[n for n in reviewer.needs if n not in REQUEST_COLUMNS]))
+        return told.select(*REQUEST_COLUMNS, *new, nothing.cast(schemas.CACHE_RESPONSE).alias("cached"))
+
     if found is None:
-        return reviewer.answer(requests).withColumn("cached", nothing.cast(schemas.CACHE_RESPONSE))
-    missed = reviewer.answer(requests.join(found, "prompt_hash", "left_anti"))
-    hits = requests.join(found, "prompt_hash").drop("prompt").withColumns(
-        {
-            "raw_response": nothing.cast("string"),
-            "latency_ms": nothing.cast("bigint"),
-            "error": nothing.cast("string"),
-        }
+        return answered(requests)
+    hits = requests.join(found, "prompt_hash").select(
+        *REQUEST_COLUMNS,
+        nothing.cast("string").alias("raw_response"),
+        nothing.cast("bigint").alias("latency_ms"),
+        nothing.cast("string").alias("error"),
+        "cached",
     )
-    return missed.drop("prompt").withColumn("cached", nothing.cast(schemas.CACHE_RESPONSE)).unionByName(hits)
+    return answered(requests.join(found, "prompt_hash", "left_anti")).unionByName(hits)
+
+
+def checked_reviews(answered: DataFrame, taxonomy: DataFrame, strict: bool, cacheable: bool) -> DataFrame:
+    """Answers parsed and validated: one row of ``REVIEW_COLUMNS`` per request."""
+    fresh = F.col("cached").isNull() & F.col("error").isNull()
+    counted = {
+        "suspicious": fresh & F.coalesce("checked.suspicious", F.lit(False)),
+        "label_rejected": fresh & F.coalesce("checked.label_rejected", F.lit(False)),
+        "cacheable": F.lit(cacheable),
+    }
+    validated = validate_output(parse_response(answered), taxonomy, strict)
+    return assemble_reviews(validated).withColumns(counted).select(*REVIEW_COLUMNS)
 
 
 def review_batch(
@@ -261,7 +287,8 @@ def review_batch(
 ) -> BatchReview:
     """Review all samples: each distinct request is looked up once, and scored once if that fails.
 
-    1. Reduce the samples to distinct requests (map-side, so copies do not travel).
+    1. Reduce the samples to distinct requests (map-side, so copies do not travel). They carry a prompt's parts, not the
+       prompt, and lie by its hash, so that the lookup does not move them again.
     2. Look the requests up in the cache by their prompts' hashes; ``now`` decides what has expired.
     3. Answer the misses alone, parse, validate, and write the reviews to the shared folder: a lost executor
        must not repeat scoring calls, and the next step reads the reviews more than once. With ``reviews_path`` they are
@@ -275,21 +302,21 @@ def review_batch(
         if name not in hashed.columns:
             hashed = hashed.withColumn(name, F.lit(None).cast(schemas.SAMPLES[name].dataType))
     hashed = hashed.withColumn("request", request_key(reviewer.outside))
-    requests = distinct_requests(hashed, reviewer.needs, keys=("request", "prompt_hash"))
-    found = None
-    if cache is not None:
-        live = live_entries(cache, now, version, model, ttl_seconds)
-        found = live.select("prompt_hash", F.col("response").alias("cached"))
-
-    answered = parse_response(answered_requests(requests, found, reviewer))
-    validated = validate_output(answered, taxonomy, strict)
-    counted = {
-        "suspicious": F.col("cached").isNull() & F.col("error").isNull() & F.coalesce("checked.suspicious", F.lit(False)),
-        "label_rejected": F.col("cached").isNull() & F.col("error").isNull() & F.coalesce("checked.label_rejected", F.lit(False)),
-        "cacheable": F.lit(not reviewer.outside),
-    }
-    answers = assemble_reviews(validated).withColumns(counted).select(*REVIEW_COLUMNS)
-    reviews, counters = _kept_reviews(answers, reviews_path)
+    if reviews_path is not None and is_written(samples.sparkSession, reviews_path):
+        reviews = samples.sparkSession.read.parquet(reviews_path).select(*REVIEW_COLUMNS)
+        counters = reviews.agg(*review_counters()).first().asDict()
+    else:
+        carried = carried_columns(reviewer.needs)
+        if reviewer.outside:
+            requests = distinct_requests(hashed, carried, keys=("request", "prompt_hash"))
+        else:
+            requests = distinct_requests(hashed, carried).withColumn("request", F.col("prompt_hash"))
+        found = None
+        if cache is not None:
+            live = live_entries(cache, now, version, model, ttl_seconds)
+            found = live.select("prompt_hash", F.col("response").alias("cached"))
+        answered = answered_requests(requests, found, reviewer, lambda r: build_prompt(r, taxonomy, compact, template))
+        reviews, counters = _kept_reviews(checked_reviews(answered, taxonomy, strict, not reviewer.outside), reviews_path)
 
     rows = hashed.withColumnRenamed("id", "sample_id").drop("prompt", "prompt_hash", "is_misclassified")
     sizes = reviews.select("request", "n_rows")

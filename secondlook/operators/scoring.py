@@ -3,6 +3,7 @@
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secondlook import fixed
+from secondlook.session import TEXT_CODEC, remove_folder, staged_path
 
 Scorer = Callable[[list[str]], list[str]]
 
+#: Requests of one staged file, and files that one task of a round answers.
+FILE_REQUESTS = 4096
+TASK_FILES = 4
+
 ANSWER_FIELDS = [
     T.StructField("raw_response", T.StringType()),
     T.StructField("latency_ms", T.LongType()),
@@ -69,12 +75,16 @@ def score_prompts(
     batch_size: int = 32,
     max_retries: int = fixed.MAX_RETRIES,
     base_seconds: float = fixed.RETRY_BASE_SECONDS,
+    file_requests: int = FILE_REQUESTS,
+    task_files: int = TASK_FILES,
 ) -> DataFrame:
     """Answer every request: ``prompt`` is replaced by (raw_response, latency_ms, error).
 
     All other columns pass through as Arrow data, untouched; a null prompt stays unanswered.
-    ``make_scorer`` runs once per task, so connections and models are set up there. ``concurrency``
-    deals the requests out evenly over that many tasks. A batch waits and tries again while its failure is
+    ``make_scorer`` runs once per task, so connections and models are set up there. With
+    ``concurrency`` at most that many tasks call at once, and none reads more than ``file_requests`` times
+    ``task_files`` requests, however many there are: the requests are staged in files of bounded size and answered at once, in
+    rounds of that many tasks; answered rounds are kept. A batch waits and tries again while its failure is
     transient; a service that stays overloaded gets no more calls for it. After any other failure the batch is
     halved, so one bad prompt yields one row with ``error`` and never a failed job.
     """
@@ -113,6 +123,21 @@ def score_prompts(
 
     kept = [name for name in requests.columns if name != "prompt"]
     schema = T.StructType([requests.schema[name] for name in kept] + ANSWER_FIELDS)
-    if concurrency is not None:
-        requests = requests.repartition(concurrency, F.col("prompt_hash"))
-    return requests.mapInArrow(score, schema)
+    if concurrency is None:
+        return requests.mapInArrow(score, schema)
+    if requests.isStreaming:  # its micro-batches are the rounds
+        return requests.repartition(concurrency, F.col("prompt_hash")).mapInArrow(score, schema)
+    spark = requests.sparkSession
+    asked, answers = staged_path(spark, "requests"), staged_path(spark, "answers")
+    requests.write.options(maxRecordsPerFile=file_requests, compression=TEXT_CODEC).parquet(asked)
+    files = sorted(unquote(f) for f in spark.read.schema(requests.schema).parquet(asked).inputFiles())
+    size = concurrency * task_files
+    for start in range(0, max(len(files), 1), size):
+        chosen = files[start : start + size]
+        part = spark.read.schema(requests.schema).parquet(*(chosen or [asked]))
+        # A full round has files enough for all tasks; a smaller one is dealt out row by row.
+        full = len(chosen) == size
+        dealt = part.coalesce(concurrency) if full else part.repartition(concurrency, F.col("prompt_hash"))
+        dealt.mapInArrow(score, schema).write.mode("append").parquet(answers)
+    remove_folder(spark, asked)
+    return spark.read.schema(schema).parquet(answers)

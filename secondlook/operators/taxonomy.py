@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from secondlook import fixed
 from secondlook.operators.skew import spread_lookup
-from secondlook.session import stage
+from secondlook.session import TEXT_CODEC, stage
 
 
 def _label_line(compact: bool) -> tuple[Column, str]:
@@ -130,7 +130,9 @@ def dense_ordinals(
     n_slices = max(1, -(-rows // slice_rows), -(-size // slice_bytes))
     ranged = df.repartitionByRange(n_slices, key, order).sortWithinPartitions(key, order)
     placed = stage(
-        ranged.withColumns({"_slice": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ordinals"
+        ranged.withColumns({"_slice": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}),
+        "ordinals",
+        compression=TEXT_CODEC,
     )
     earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = stage(

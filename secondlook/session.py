@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: For tables of whole texts, which take two thirds of the room that Parquet's default takes.
+TEXT_CODEC = "zstd"
 
 
 def local_session(name: str = "secondlook", cpus: str = "*") -> SparkSession:
@@ -48,17 +50,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/secondlook/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a staged table, deleted with the run that it belongs to."""
+    path = fresh_path(spark, name)
+    for folders in _open_folders.get():
+        folders.paths.append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, so that lost executors do not repeat the work behind it (above all scoring
-    calls), and gives the optimizer the real size of the table.
+    calls), and gives the optimizer the real size of the table. ``options`` go to the writer.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    for folders in _open_folders.get():
-        folders.paths.append(path)
-    df.write.parquet(path)
+    path = staged_path(spark, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
