@@ -15,7 +15,7 @@ from secondlook.operators import noise, privacy, prompts, responses, review, sco
 from secondlook.operators import taxonomy as ta
 from secondlook.plans import audit
 from secondlook.plans import bindings as b
-from secondlook.session import fresh_path
+from secondlook.session import TEXT_CODEC, fresh_path
 from secondlook.sources import artifacts, cache_table, tables
 from secondlook.streaming import audit_stream
 
@@ -846,7 +846,7 @@ def _streamed(spark, d) -> str:
     scorer = review.scoring_reviewer(_counting_scorer, concurrency=8)
     for turn in range(2):
         again = samples.withColumn("seq", F.col("seq") + turn * 1_000_000_000)
-        again.write.mode("append").parquet(f"{out}/samples")
+        again.write.mode("append").option("compression", TEXT_CODEC).parquet(f"{out}/samples")
         stream = audit_stream.read_stream(spark, f"{out}/samples", samples.schema)
         audit_stream.review_stream_cached(
             stream, tables.load_taxonomy(spark), scorer, f"{out}/reviewed", f"{out}/log", lambda k: b.NOW + k, model=b.MODEL

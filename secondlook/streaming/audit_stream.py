@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from secondlook import fixed, schemas
 from secondlook.operators.review import BatchReview, Reviewer, review_batch
 from secondlook.plans.audit import next_snapshot
-from secondlook.session import StagedFolders, is_written, remove_folder
+from secondlook.session import TEXT_CODEC, StagedFolders, is_written, remove_folder
 
 
 def read_stream(
@@ -103,7 +103,7 @@ def review_stream_cached(
                 batch, taxonomy, reviewer, before, at, version, model, ttl_seconds,
                 reviews_path=f"{path}/reviews/batch={batch_id}", **options,
             )
-            found.results.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
+            found.results.write.mode("overwrite").option("compression", TEXT_CODEC).parquet(f"{path}/results/batch={batch_id}")
             after = next_snapshot(before, found.reviews, at, version, model, ttl_seconds)
             after.write.mode("overwrite").parquet(f"{path}/cache/batch={batch_id}")
         staged.remove()
