@@ -11,7 +11,7 @@ from secondlook.operators.cache import cache_entries, cache_expire, cache_touch,
 from secondlook.operators.metrics import label_verdicts, verdict_counts, with_shares
 from secondlook.operators.privacy import pii_summary
 from secondlook.operators.review import MOCK_REVIEWER, Reviewer, mock_review, review_batch
-from secondlook.session import StagedFolders, stage
+from secondlook.session import TEXT_CODEC, StagedFolders, stage
 from secondlook.sources import artifacts
 
 
@@ -96,7 +96,7 @@ def _run_audit(
             next_cache = next_snapshot(cache, batch.reviews, now, version, model, ttl_seconds)
 
     seen = Observation()
-    results = stage(results.observe(seen, *verdict_counts()), "results")
+    results = stage(results.observe(seen, *verdict_counts()), "results", compression=TEXT_CODEC)
     totals = with_shares(dict(seen.get))
     settings = {
         "run_id": run_id,
