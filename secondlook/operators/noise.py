@@ -41,17 +41,19 @@ def _with_any_other(df: DataFrame, taxonomy: DataFrame, seed: int, key: str) ->
 def static_confusion(
     df: DataFrame, taxonomy: DataFrame, patterns: DataFrame, seed: int, key: str = "seq"
 ) -> DataFrame:
-    """Add ``confused``: the first pattern of the true label, else any other label of the taxonomy."""
-    targets = (
-        taxonomy.select(F.col("name").alias("actual"), F.col("ordinal").alias("_own"))
-        .join(first_patterns(patterns), "actual", "left")
-        .select(F.col("actual").alias("ground_truth"), "_own", F.col("confused").alias("_pattern"))
-    )
+    """Add ``confused``: the first pattern of the true label, else any other label of the taxonomy.
+
+    Each small table is joined on its own: when one of two joined ones has been broadcast, adaptive execution may take
+    their size for a product, and then deals the rows, with their texts, out by label.
+    """
+    own = taxonomy.select(F.col("name").alias("ground_truth"), F.col("ordinal").alias("_own"))
+    first = first_patterns(patterns).select(F.col("actual").alias("ground_truth"), F.col("confused").alias("_pattern"))
     others = taxonomy.select(F.col("ordinal").alias("_any"), F.col("name").alias("_other"))
+    targeted = df.join(own, "ground_truth", "left").join(first, "ground_truth", "left")
     return (
-        _with_any_other(df.join(targets, "ground_truth", "left"), taxonomy, seed, key)
+        _with_any_other(targeted, taxonomy, seed, key)
         .join(others, "_any", "left")
-        .withColumn("confused", F.coalesce("_pattern", "_other"))
+        .withColumn("confused", F.coalesce(F.when(F.col("_own").isNotNull(), F.col("_pattern")), "_other"))
         .drop("_own", "_pattern", "_any", "_other")
     )
 

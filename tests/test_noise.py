@@ -155,6 +155,25 @@ def test_dense_ordinals_deal_long_texts_over_more_ranges(spark):
     assert max(spark.read.parquet(f).count() for f in written) < 100
 
 
+def test_confusion_tables_are_broadcast_one_by_one(spark, taxonomy, capsys):
+    rows = spark.range(50).select(F.col("id").alias("seq"), F.lit(NAMES[0]).alias("ground_truth"))
+    rows = rows.unionByName(rows.withColumn("ground_truth", F.lit("Nowhere")))
+    patterns = spark.createDataFrame([(0, NAMES[0], NAMES[2]), (1, "Nowhere", NAMES[1])], "ordinal bigint, actual string, confused string")
+    noise.static_confusion(rows, taxonomy, tables.load_patterns(spark), 1).explain()
+    lines = capsys.readouterr().out.splitlines()
+    below = None
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        below = None if below is not None and depth <= below else below
+        assert below is None or "Join" not in line  # no broadcast table is a join of two
+        if below is None and "BroadcastExchange" in line:
+            below = depth
+    assert any("BroadcastHashJoin" in line for line in lines)
+    got = noise.static_confusion(rows, taxonomy, patterns, 1).groupBy("ground_truth").agg(F.collect_set("confused").alias("c"))
+    known = {r["ground_truth"]: r["c"] for r in got.collect()}
+    assert known[NAMES[0]] == [NAMES[2]] and len(known["Nowhere"]) > 1  # patterns of unknown labels don't count
+
+
 def test_repeated_patterns_are_listed_once(spark, taxonomy):
     name = taxonomy.orderBy("ordinal").first()["name"]
     rows = [(i, name, "x" if i % 2 else "y") for i in range(6)]
