@@ -13,7 +13,9 @@ deviations) lose less than 1 pair in 10,000.
 
 What a node suggests is confirmed on full sets. First a spanning forest of each node's estimates in a few trees, for nodes cut
 into small runs, joins almost all; then, in all trees, each member's best candidates in other components, first a few of them, then
-GROWTH times as many, until none is left out. A pair that meets in the small roots of several trees is suggested by the first of
+GROWTH times as many, until none is left out. These are not moved pair by pair: a node's members that have candidates form a packet, each with a
+list of its candidates, so a text travels once for each node however many candidates it has there; one task holds a packet's sets and
+tests pairs until their components have met. Packets of very long texts are cut into blocks of runs. A pair that meets in the small roots of several trees is suggested by the first of
 them alone (told by 32-bit hashes: of a billion pairs, about six are taken for suggested that were not). Pairs within a component need
 no test, so that large groups of copies never yield all their pairs, and nodes within one component end.
 
@@ -27,10 +29,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import as_bytes, joined, mixed, steps, table, words
+from secondlook.llm.common import as_bytes, giving_back, joined, mixed, steps, table, words
 from secondlook.llm.components import components
 from secondlook.operators.skew import spread_lookup
 from secondlook.session import stage
@@ -49,6 +52,8 @@ LEAST_AGREEMENT, QUICK, QUICK_LEAST = 0.70, 32, 15
 FIRST_CANDIDATES, GROWTH = 8, 512
 #: Members, and pairs, that are compared at once.
 TILE, PAIRS = 64, 1 << 16
+#: Shingles of one of the two runs of members in a packet (32 MB); a longer text forms a run of its own.
+RUN_SHINGLES = 1 << 22
 
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -121,7 +126,7 @@ SKETCHED = "doc_id long, text_key long, n_shingles long, class long, path array<
 def sketches(documents: DataFrame, size: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, class, path, sign) per row; class, path and sign are null for an empty set."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    return texts.mapInArrow(lambda b: _sketched(b, size), SKETCHED)
+    return texts.mapInArrow(lambda b: giving_back(_sketched(b, size)), SKETCHED)
 
 
 # Trees
@@ -193,7 +198,7 @@ def small_roots(sized: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(classes, labels, signs, roots, before) node by node, from rows sorted by node."""
+    """(classes, labels, signs, roots, before, sizes) node by node, from rows sorted by node."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -211,14 +216,14 @@ def _cut_groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     if not rows.num_rows:
         return
     rows = rows.combine_chunks()
-    nodes, classes, labels = (rows.column(n).to_numpy() for n in ("node", "class", "label"))
+    nodes, classes, labels, sizes = (rows.column(n).to_numpy() for n in ("node", "class", "label", "n_shingles"))
     signs = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     roots = rows.column("roots").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
     before = rows.column("before").to_numpy()
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if z - a > 1:
-            yield classes[a:z], labels[a:z], signs[a:z], roots[a:z], int(before[a])
+            yield classes[a:z], labels[a:z], signs[a:z], roots[a:z], int(before[a]), sizes[a:z]
 
 
 def close_pairs(signs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,39 +263,55 @@ def unmet(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
-def _suggested(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each node: a spanning forest of its estimates, or each member's ``most`` best across components.
+def _suggested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each node: a spanning forest of its estimates."""
+    for classes, labels, signs, *_ in _groups(batches):
+        if (labels != labels[0]).any():
+            i, j, agree = close_pairs(signs, labels)
+            kept = _forest(len(classes), i, j, agree)
+            ends = np.sort(np.stack([classes[i[kept]], classes[j[kept]]], 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+PACKED = "packet long, class long, label long, partners array<long>, more boolean"
 
-    A row with ``more`` tells that a node has more candidates than that.
+
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The members of each node that are candidates of one another, with their partners, best first, listed once a pair.
+
+    A pair counts if it is among the ``most`` best of a member; a row with ``more`` tells that a node has others.
     """
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    n_out, more = 0, False
-    for classes, labels, signs, roots, before in _groups(batches):
+    task, serial, more = TaskContext.get().partitionId() << 32, 0, False
+    for classes, labels, signs, roots, before, sizes in _groups(batches):
         if (labels == labels[0]).all():
             continue
         i, j, agree = close_pairs(signs, labels)
-        if most is None:
-            kept = _forest(len(classes), i, j, agree)
-        else:
-            kept, others = best_of_each(len(classes), i, j, agree, most)
-            more |= others
-            kept = kept[unmet(roots[:, :before], i[kept], j[kept])]
-        if len(kept):
-            ends = np.sort(np.stack([classes[i[kept]], classes[j[kept]]], 1), axis=1)
-            out.append((ends[:, 0], ends[:, 1]))
-            n_out += len(kept)
-        if n_out > 50_000:
-            yield _pairs_batch(out)
-            out, n_out = [], 0
-    yield _pairs_batch(out, more)
-
-
-def _pairs_batch(out, more: bool = False) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 2
-    flags = np.zeros(len(columns[0]) + more, bool)
-    flags[len(columns[0]) :] = True
-    rows = [pa.array(np.append(c, np.zeros(int(more), np.int64))) for c in columns]
-    return pa.RecordBatch.from_arrays([*rows, pa.array(flags)], ["a", "b", "more"])
+        kept, others = best_of_each(len(classes), i, j, agree, most)
+        more |= others
+        kept = kept[unmet(roots[:, :before], i[kept], j[kept])]
+        kept = kept[np.argsort(-agree[kept], kind="stable")]
+        i, j = i[kept], j[kept]
+        runs = np.cumsum(sizes) // RUN_SHINGLES
+        block = np.stack([runs[i], runs[j]], 1)
+        for own in np.unique(block, axis=0):
+            here = (block == own).all(1)
+            yield _packet(task | serial, classes, labels, i[here], j[here])
+            serial += 1
+    if more:
+        yield pa.RecordBatch.from_arrays([*(pa.array([0]) for _ in range(3)), pa.array([[]], pa.list_(pa.int64())), pa.array([True])], _NAMES)
+
+
+_NAMES = [c.split()[0] for c in PACKED.split(", ")]
+
+
+def _packet(number: int, classes: np.ndarray, labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    members = np.unique(np.concatenate([i, j]))
+    order = np.argsort(i, kind="stable")
+    edges = np.append(np.searchsorted(i[order], members), len(i))
+    partners = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(classes[j[order]]))
+    n = len(members)
+    columns = [np.full(n, number), classes[members], labels[members], partners, np.zeros(n, bool)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
 
 
 def _forest(n: int, i, j, agree) -> np.ndarray:
@@ -311,13 +332,24 @@ def _forest(n: int, i, j, agree) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def suggested(members: DataFrame, classes: DataFrame, most: int | None, met: DataFrame | None = None) -> DataFrame:
-    """(a, b, more); with ``met``, the classes' small roots, a pair is only suggested by the first of those it has in common."""
-    rows, none = members.join(classes.select("class", "sign"), "class"), F.array_repeat(F.lit(0), TREES)
-    rows = rows.join(met, "class", "left") if met is not None else rows.withColumns({"roots": none, "before": F.lit(0)})
-    rows = rows.select("node", "class", "label", "sign", F.coalesce("roots", none).alias("roots"), "before")
-    dealt = rows.repartition("node").sortWithinPartitions("node", "class")
-    return dealt.mapInArrow(lambda b: _suggested(b, most), "a long, b long, more boolean").distinct()
+def _by_node(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of a node side by side, with what is known of them."""
+    rows = members.join(classes.select("class", "sign", "n_shingles"), "class")
+    if "roots" not in members.columns:
+        rows = rows.withColumns({"roots": F.array_repeat(F.lit(0), TREES), "before": F.lit(0)})
+    rows = rows.select("node", "class", "label", "sign", "n_shingles", "roots", "before")
+    return rows.repartition("node").sortWithinPartitions("node", "class")
+
+
+def suggested(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each node's estimates."""
+    return _by_node(members, classes).mapInArrow(lambda b: giving_back(_suggested(b)), "a long, b long").distinct()
+
+
+def packets(members: DataFrame, classes: DataFrame, most: int, met: DataFrame) -> DataFrame:
+    """PACKED; ``met`` are the classes' small roots: a pair is only suggested by the first of those it has in common."""
+    known = members.join(met, "class", "left").withColumn("roots", F.coalesce("roots", F.array_repeat(F.lit(0), TREES)))
+    return _by_node(known, classes).mapInArrow(lambda b: giving_back(_packed(b, most)), PACKED)
 
 
 # Confirmation
@@ -351,7 +383,7 @@ def class_texts(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame
     """(class, text) for the wanted classes: one text each, found by the class's smallest id."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = own.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    named = near.select("text").mapInArrow(lambda b: _identified(b, size), "class long, text string")
+    named = near.select("text").mapInArrow(lambda b: giving_back(_identified(b, size)), "class long, text string")
     return named.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
 
 
@@ -360,7 +392,73 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     both = spread_lookup(spread_lookup(pairs.select("a", "b"), one, "a", "b", how="inner"), other, "b", "a", how="inner")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirmed(b, size, percent), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: giving_back(_confirmed(b, size, percent)), "a long, b long")
+
+
+class _Parts:
+    """Components of labels, united as pairs are confirmed."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while (above := self.above.get(label, label)) != label:
+            self.above[label] = label = self.above.get(above, above)
+        return label
+
+
+#: Candidates of a member that are tested at once.
+TESTED = 64
+
+
+def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Confirmed pairs of a packet of (class, label, partners, set) that join components not yet joined by others."""
+    sets = {c: s for c, _, _, s in rows}
+    labels, parts = {c: label for c, label, _, _ in rows}, _Parts()
+    for c, label, partners, own in rows:
+        for at in range(0, len(partners), TESTED):
+            some = [p for p in partners[at : at + TESTED] if parts.top(labels[p]) != parts.top(label)]
+            if not some:
+                continue
+            others = [sets[p] for p in some]
+            sizes = np.array([len(s) for s in others])
+            flat = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                one, other = parts.top(label), parts.top(labels[some[k]])
+                if one != other:
+                    parts.above[one] = other
+                    yield min(c, some[k]), max(c, some[k])
+
+
+def _tested(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each packet's links, from rows sorted by packet."""
+    held: list[tuple] = []
+    current = None
+
+    def found() -> pa.RecordBatch:
+        ends = np.array(list(_links(held, percent)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("packet", "class", "label", "partners")]
+        sets = (s for run in steps(as_bytes(batch.column("text"))) for s in shingle_sets(run, size))
+        for packet, *row in zip(*columns, sets):
+            if packet != current:
+                if held:
+                    yield found()
+                held, current = [], packet
+            held.append(tuple(row))
+    if held:
+        yield found()
+
+
+def tested(found: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of packets whose full sets are similar enough, as many as it takes to join what they join."""
+    rows = found.join(texts, "class").select("packet", "class", "label", "partners", "text")
+    dealt = rows.repartition("packet").sortWithinPartitions("packet", "class")
+    return dealt.mapInArrow(lambda b: giving_back(_tested(b, size, percent)), "a long, b long").distinct()
 
 
 def named_components(links: DataFrame) -> DataFrame:
@@ -382,7 +480,7 @@ def marked_rows(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     drawn = stage(sketches(documents, size), "sketches")
     known = drawn.filter("doc_id IS NOT NULL AND class IS NOT NULL")
     firsts = F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n_rows")
-    sketch = F.any_value(F.struct("path", "sign")).alias("sketch")
+    sketch = F.any_value(F.struct("path", "sign", "n_shingles")).alias("sketch")
     classes = stage(known.groupBy("class").agg(*firsts, sketch).select("*", "sketch.*").drop("sketch"), "classes")
 
     first_nodes = roots(classes)
@@ -390,23 +488,20 @@ def marked_rows(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     texts = stage(class_texts(documents, met.select("class", "first_id"), size), "texts")
 
     members = small_runs(first_nodes.filter(F.col("tree") < FIRST_TREES))
-    tested = stage(suggested(members, classes, None).select("a", "b").filter("a <> b"), "pairs")
-    links = stage(confirmed(tested, texts, size, percent), "links")
+    forest = stage(suggested(members, classes), "pairs")
+    links = stage(confirmed(forest, texts, size, percent), "links")
     labels = stage(named_components(links), "labels")
 
     most, more = FIRST_CANDIDATES, True
     while more:
         at = first_nodes.select("class", "tree", "node").join(labels, "class", "left")
         still_open = _sized(at.withColumn("label", F.coalesce("label", "class")))
-        found = suggested(node_members(still_open, classes), classes, most, small_roots(still_open))
-        found = stage(found, "pairs")
-        fresh = stage(found.filter("NOT more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = stage(confirmed(fresh, texts, size, percent), "links")
+        found = stage(packets(node_members(still_open, classes), classes, most, small_roots(still_open)), "packets")
+        new = stage(tested(found.filter("NOT more"), texts, size, percent), "links")
         if not new.isEmpty():
             links = links.unionAll(new)
             labels = stage(named_components(links), "labels")
         more, most = not found.filter("more").isEmpty(), most * GROWTH
-        tested = tested.unionAll(fresh)
 
     named = classes.select("class", "first").join(labels, "class", "left")
     named = stage(named.select("class", "first", F.coalesce("label", "class").alias("label")), "named")

@@ -1,5 +1,6 @@
 """What the operators share: tables, folds, and texts as numpy arrays inside tasks."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,20 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
+def give_back() -> None:
+    """Give freed memory back to the system; a Python worker lives on after its task and would hold it beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library on Linux
+    if trim:
+        trim(0)
+
+
+def giving_back(parts: Iterator) -> Iterator:
+    """What a task yields; once it has ended, what it has freed goes back to the system."""
+    yield from parts
+    give_back()
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of every text, null as empty."""
     if isinstance(texts, pa.ChunkedArray):

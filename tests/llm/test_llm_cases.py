@@ -627,3 +627,21 @@ def test_many_languages_and_a_long_text(spark):
     assert len(model.languages) == 200
     found = language.identify([say(k, 40) for k in range(200)] + [say(5, 20_000)], model, False)
     assert np.mean([f[0] == f"l{k:03}" for k, f in enumerate(found[:200])]) > 0.9 and found[200][0] == "l005"
+
+
+def test_candidates_of_a_crowd_travel_once_a_node(spark, monkeypatch):
+    """Texts at 0.75, whose estimates reach the least agreement: all pairs are tested, but none is a row of its own."""
+    rows = [(i, " ".join([*(f"c{k}" for k in range(120)), *(f"w{i}_{k}" for k in range(20))])) for i in range(300)]
+    rows.append((300, " ".join([*(f"c{k}" for k in range(120)), *(f"w7_{k}" for k in range(16))])))
+    moved, stage = {}, chosen_path.stage
+
+    def counted(df, name, **options):
+        found = stage(df, name, **options)
+        moved[name] = moved.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(chosen_path, "stage", counted)
+    monkeypatch.setattr(chosen_path, "RUN_SHINGLES", 30_000)  # two runs, three blocks
+    found = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: 7 if i == 300 else i for i in range(301)}
+    assert moved.get("pairs", 0) + moved.get("packets", 0) <= 3 * chosen_path.TREES * len(rows) < 300 * 299 / 2
