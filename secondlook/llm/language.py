@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import fold, mixed, table
+from secondlook.llm.common import fold, giving_back, mixed, table
 
 UNKNOWN = "und"
 #: Training uses about this many texts of each language, drawn by the hash of the id.
@@ -138,7 +138,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     counts = (
         drawn.select("lang", "text")
         .repartition(TASKS)
-        .mapInArrow(_counted, "lang string, bucket long, n long")
+        .mapInArrow(lambda b: giving_back(_counted(b)), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toPandas()  # at most BUCKETS + SCRIPTS rows per language
@@ -235,6 +235,9 @@ def with_language(
 
     @F.arrow_udf(RESULT)
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(each(batches))
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found = identify([t or "" for t in texts.to_pylist()], model, spans)
             languages, scores, parts = zip(*found) if found else ((), (), ())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import table
+from secondlook.llm.common import give_back, giving_back, table
 
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -288,12 +288,18 @@ def fit(sample: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": np.arange(len(w)), "w": list(w)})
 
 
+def _fitted(sample: pd.DataFrame) -> pd.DataFrame:
+    found = fit(sample)
+    give_back()
+    return found
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> FieldModel:
     own = documents.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
     ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample)
     # At most ``sample`` ids.
     rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    found = rows.withColumn("share", F.lit(0)).groupBy("share").applyInPandas(lambda s: fit(s), "row long, w array<double>")
+    found = rows.withColumn("share", F.lit(0)).groupBy("share").applyInPandas(_fitted, "row long, w array<double>")
     rows = found.toPandas().sort_values("row")
     if rows.empty:
         return FieldModel(np.zeros((N_SHAPE, N_LABELS)), np.zeros(N_LABELS))
@@ -328,6 +334,9 @@ def with_personal_data(
 
     @F.arrow_udf(RESULT)
     def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(each(batches))
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows: dict[str, list] = defaultdict(list)
             for t in texts.to_pylist():

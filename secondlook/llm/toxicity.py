@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import fold, joined, per_step, steps, table, text_of_word, words
+from secondlook.llm.common import fold, give_back, giving_back, joined, per_step, steps, table, text_of_word, words
 
 BITS = 20
 #: Training uses at most this many labelled documents, those with the smallest hashes of their ids.
@@ -80,7 +80,7 @@ def learn(sample: pd.DataFrame, epochs: int = 4) -> pd.DataFrame:
     """Train on the sample; the nonzero weights, the bias as feature -1."""
     sample = sample.sort_values("doc_id")
     examples, bias = [], 1 << BITS
-    for run in steps([(t or "").encode("utf-8", "replace") for t in sample["text"]]):
+    for run in steps((t or "").encode("utf-8", "replace") for t in sample["text"]):
         keys = np.unique(_keys(*features(run)))
         parts = np.split(keys & (bias - 1), np.searchsorted(keys >> BITS, np.arange(1, len(run))))
         examples += [p.astype(np.int32) for p in parts]
@@ -88,7 +88,8 @@ def learn(sample: pd.DataFrame, epochs: int = 4) -> pd.DataFrame:
     for p in examples:
         seen[p] += 1
     used = seen >= MIN_DOCS
-    examples = [np.append(p[used[p]], bias) for p in examples]
+    for i, p in enumerate(examples):  # one by one, so that they aren't held twice
+        examples[i] = np.append(p[used[p]], np.int32(bias))
     learner, labels, order = Learner(), sample["toxic"].to_numpy() > 0, np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
@@ -119,11 +120,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
+def _learned(sample: pd.DataFrame) -> pd.DataFrame:
+    found = learn(sample)
+    give_back()
+    return found
+
+
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Train on a bounded sample, in one task; its weights are few, for the L1 term drops what is not needed."""
     rows = training_rows(documents, labels, sample)
     together = rows.withColumn("share", F.lit(0)).groupBy("share")
-    learned = together.applyInPandas(lambda rows: learn(rows), "feature long, weight double").toPandas()
+    learned = together.applyInPandas(_learned, "feature long, weight double").toPandas()
     if learned.empty:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
     words_only = learned[learned["feature"] >= 0]
@@ -149,6 +156,9 @@ def with_toxicity(documents: DataFrame, model: ToxicityModel, text: str = "text"
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(each(batches))
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = np.zeros(1 << BITS)
         dense[model.features] = model.weights
         for texts in batches:
