@@ -14,19 +14,18 @@ written to the shared folder before they are read again.
 """
 
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import table
+from secondlook.llm.common import giving_back, table
+from secondlook.llm.units import PADDING, Lists, Units
 from secondlook.session import stage
 
 CAPACITY = 4096
@@ -34,9 +33,11 @@ END_ID = 2
 FAN_IN = 64
 #: A rest is not cut further if it leaves at most so many ids, or such a part of itself, of its share empty.
 SLACK_IDS, SLACK_PART = 8, 0.01
-#: Words of one generation of a task's store; a full one takes the place of the one before it.
-KEPT = 300_000
-STEP_CHARS = 1 << 20
+#: Words and marks that a worker keeps at hand, about 50 bytes each; with more, it begins anew.
+KEPT = 1 << 19
+STEP_CHARS = 1 << 19
+#: Rows whose texts are read from a batch at once.
+SLICE_ROWS = 128
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -94,71 +95,76 @@ def tokenizer_of(path: str) -> "WordTokenizer":
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose pieces never cross white space: equal words are encoded once.
 
-    The tokenizer lower-cases and splits punctuation off, so a word that ends in a letter and the marks after it are
-    encoded apart.
+    The tokenizer lower-cases and splits punctuation off, so a word that ends in a letter of ASCII and the marks after it are
+    encoded apart, and words of ASCII in lower case. Words of up to 15 bytes are found for a whole run of texts at once.
     """
 
-    MARKS = ".,;:!?|*#$%&"
+    MARKS = b".,;:!?|*#$%&"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}  # as they stand in texts
-        self.parts: dict[str, bytes] = {}  # lower-cased, without marks
-        self.older: tuple[dict, dict] = {}, {}
-        self.letters: dict[str, bool] = {}  # by last character: whether the tokenizer reads a letter there
+        self.units, self.ids = Units(), Lists("<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        coded = words.flatten().dictionary_encode()
-        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = [self.kept.get(w) for w in distinct]
-        new = [w for w, own in zip(distinct, known) if own is None]
-        if new:
-            self._learn(new)
-            known = [own if own is not None else self.kept[w] for w, own in zip(distinct, known)]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        times = sizes[place]
-        ends = np.concatenate(([0], np.cumsum(times)))
-        found = ids[np.repeat(begins[place] - ends[:-1], times) + np.arange(ends[-1])]
-        edges = ends[words.offsets.to_numpy()].tolist()
+        if self.units.n > KEPT:
+            self.units, self.ids = Units(), Lists("<u4")
+        coded = [t.encode() for t in texts]
+        buffer = np.frombuffer(bytearray(b"\n".join([*coded, b"\n" * PADDING])), np.uint8)
+        word_starts, starts, ends = _units(buffer)
+        numbers, new = self.units.numbers(buffer, starts, ends)
+        self._learn(new)
+        found, edges = self.ids.joined(numbers)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in coded)])
+        edges = edges[word_starts[np.searchsorted(starts[word_starts[:-1]], offsets)]].tolist()
         return [found[a:z] for a, z in zip(edges, edges[1:])]
 
-    def _learn(self, words: list[str]) -> None:
-        """Have the ids of these new words at hand; what hasn't been met for KEPT words is forgotten."""
-        if max(len(self.kept), len(self.parts)) > KEPT:
-            self.older, self.kept, self.parts = (self.kept, self.parts), {}, {}
-        self.kept.update((w, self.older[0][w]) for w in words if w in self.older[0])
-        cut = {w: self._cut(w) for w in words if w not in self.kept}
-        wanted = {part for pair in cut.values() for part in pair}.difference(self.parts)
-        self.parts.update((w, self.older[1][w]) for w in wanted & self.older[1].keys())
-        new = []
-        for part in wanted.difference(self.parts):
-            if part.isascii() and part.isalpha() and part.islower():  # nothing to normalise or to split
-                self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+    def _learn(self, units: list[bytes]) -> None:
+        ids: list = [None] * len(units)
+        others = []
+        for i, unit in enumerate(units):
+            if unit.isalpha() and unit.islower():  # of ASCII alone: nothing to normalise or to split
+                ids[i] = [t.id for t in self.tokenizer.model.tokenize(unit.decode())]
             else:
-                new.append(part)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[w] = array("I", e.ids).tobytes()
-        for w, (core, marks) in cut.items():
-            self.kept[w] = self.parts[core] + self.parts[marks]
-
-    def _cut(self, word: str) -> tuple[str, str]:
-        """A word and the marks behind it, if the word ends in a letter in the form in which the tokenizer reads it."""
-        core = word.rstrip(self.MARKS)
-        if not core or "<|" in core:  # may begin a special token
-            return word, ""
-        if core.isascii():
-            return (core.lower(), word[len(core) :]) if core[-1].isalpha() else (word, "")
-        last = core[-1]
-        if last not in self.letters:
-            self.letters[last] = last.isalpha() and self.tokenizer.normalizer.normalize_str(last)[-1:].isalpha()
-        return (core, word[len(core) :]) if self.letters[last] else (word, "")
+                others.append(i)
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([units[i].decode() for i in some], add_special_tokens=False)):
+                ids[i] = e.ids
+        self.ids.add(ids)
+
+
+_SEPARATOR, _MARK, _LETTER, _CAPITAL = np.zeros((4, 256), bool)
+_SEPARATOR[[0x0A, 0x20]] = True
+_MARK[list(WordTokenizer.MARKS)] = True
+_CAPITAL[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _units(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each word's first unit and of units, starts, ends) of the units: words, or words and the marks after them.
+
+    Capitals of ASCII words are lower-cased in the buffer.
+    """
+    turns = np.flatnonzero(np.diff(~_SEPARATOR[buffer], prepend=False))
+    starts, ends = turns[0::2], turns[1::2]
+    beyond = np.concatenate(([0], np.cumsum(buffer >= 128, dtype=np.int32)))
+    special = np.zeros(len(starts), bool)  # may hold a special token
+    special[np.searchsorted(starts, np.flatnonzero(buffer == ord("<")), "right") - 1] = True
+    kept = special | (beyond[ends] > beyond[starts])
+    capitals = np.flatnonzero(_CAPITAL[buffer])
+    buffer[capitals[~kept[np.searchsorted(starts, capitals, "right") - 1]]] += 32
+    cores, some = ends.copy(), np.arange(len(ends))
+    while len(some):
+        some = some[_MARK[buffer[cores[some] - 1]]]  # before a word there is a separator, or the padding
+        cores[some] -= 1
+    cut = _LETTER[buffer[cores - 1]] & (cores < ends) & ~special
+    firsts = np.arange(len(starts)) + np.cumsum(cut) - cut
+    unit_starts, unit_ends = np.empty((2, len(starts) + int(cut.sum())), np.int64)
+    unit_starts[firsts], unit_ends[firsts] = starts, np.where(cut, cores, ends)
+    unit_starts[firsts[cut] + 1], unit_ends[firsts[cut] + 1] = cores[cut], ends[cut]
+    return np.append(firsts, len(unit_starts)), unit_starts, unit_ends
 
 
 PIECE = (
@@ -192,8 +198,7 @@ class _Rows:
 def _tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     tokenizer, bins, rows, end = tokenizer_of(vocabulary), Bins(), _Rows(0), np.array([END_ID], "<u4").tobytes()
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for some in _parts(list(zip(batch.column("doc_id").to_pylist(), texts))):
+        for some in _parts(_read(batch)):
             for (key, _), ids in zip(some, tokenizer.encode([t for _, t in some])):
                 _place(key, ids.tobytes() + end, bins, rows)
             yield rows.batch()
@@ -201,7 +206,13 @@ def _tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[p
     yield rows.batch()
 
 
-def _parts(held: list[tuple]) -> Iterator[list[tuple]]:
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        rows = batch.slice(at, SLICE_ROWS)
+        yield from zip(rows.column("doc_id").to_pylist(), (t or "" for t in rows.column("text").to_pylist()))
+
+
+def _parts(held: Iterator[tuple]) -> Iterator[list[tuple]]:
     some, size = [], 0
     for item in held:
         some.append(item)
@@ -241,7 +252,7 @@ def pack(documents: DataFrame, vocabulary: str) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence. Only the text's ids are packed."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tasks = max(1, texts.rdd.getNumPartitions())
-    pieces = stage(texts.mapInArrow(lambda b: _tokenized(b, vocabulary), PIECE), "packing")
+    pieces = stage(texts.mapInArrow(lambda b: giving_back(_tokenized(b, vocabulary)), PIECE), "packing")
     done, level = [pieces.filter("level < 0")], 0
     while True:
         left = pieces.filter(F.col("level") == level)

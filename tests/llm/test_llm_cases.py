@@ -645,3 +645,43 @@ def test_candidates_of_a_crowd_travel_once_a_node(spark, monkeypatch):
     found = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1)
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: 7 if i == 300 else i for i in range(301)}
     assert moved.get("pairs", 0) + moved.get("packets", 0) <= 3 * chosen_path.TREES * len(rows) < 300 * 299 / 2
+
+
+def test_a_task_gives_freed_memory_back():
+    """What a task has freed must not stay with the process, which lives on beside the next stages."""
+    import pathlib
+
+    from secondlook.llm.common import giving_back
+
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", pathlib.Path("/proc/self/status").read_text())[1]) // 1024
+
+    def task():
+        parts, kept = [], []
+        for i in range(200_000):
+            parts.append(b"x" * 1000)
+            if i % 1000 == 0:
+                kept.append(bytearray(1000))  # lies between freed parts
+        yield len(parts)
+        del parts
+        yield kept
+
+    before, results = held(), list(giving_back(task()))
+    assert results[0] == 200_000 and held() - before < 100
+
+
+def test_units_of_texts_run_into_no_other(monkeypatch):
+    """Cuts at line feeds, NULs, special tokens and the limit of short units; many texts at once and one by one."""
+    import random
+
+    tokenizer, ours = Tokenizer.from_file(WORD_BPE), harmonic_packing.WordTokenizer(WORD_BPE)
+    draw, letters = random.Random(3), "aB<|>endoftext \n\t.,;'é́İΣ\x00\x85　83dD!?*#$%&"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(2000)]
+    texts += ["<|endoftext|>.", "a<|startoftext|>,", "A" * 20 + ".,", "x" * 15 + " " + "x" * 16 + "\n" + "x" * 17, "\n", "", ".", "a\x00 a"]
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in ours.encode(texts)] == expected
+    assert [ours.encode([t])[0].tolist() for t in texts] == expected
+    # Words that line feeds join are no words of their own: 900 pairs of 30 words are 30 units.
+    some = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
+    ours = harmonic_packing.WordTokenizer(WORD_BPE)
+    ours.encode([f"{x}\n{y}" for x in some for y in some])
+    assert ours.units.n == len(set(some))
