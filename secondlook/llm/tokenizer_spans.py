@@ -10,7 +10,8 @@ Both tokenizers cut a text before every single space or line feed between charac
 them only as the first character of a match or within white space, no piece of B holds a space after another character, and
 none a line feed (this is checked when the model is read). They also cut it between a letter and a punctuation mark at a segment's
 end, unless a piece of B holds both side by side. So texts are cut into such segments, and a task aligns each distinct segment
-once and keeps about twice KEPT segments at hand. A text with a segment whose bytes aren't met is aligned as a whole.
+once and keeps up to KEPT segments at hand; those of a run of texts are found all at once. A text with a segment whose bytes aren't
+met is aligned as a whole.
 
 How often an id pair is linked is counted over all documents. Pairs with more than a COMMON-th of all links are at most
 COMMON, so that their counts can be broadcast (about 8 MB); all others are looked up by a join in which, by the same count, no
@@ -25,7 +26,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, pairwise
 from re import compile
 
 import numpy as np
@@ -33,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secondlook.llm.common import table
+from secondlook.llm.common import giving_back, table
+from secondlook.llm.units import PADDING, Lists, Units
 from secondlook.session import stage
 
 COMMON = 1 << 19
-#: Aligned segments of one generation of a task's store. When a generation is full, the one before it goes; what is met again
-#: moves to the new one.
-KEPT = 300_000
+#: Aligned segments that a worker keeps at hand, about 200 bytes each; with more, it begins anew.
+KEPT = 600_000
 STEP_CHARS = 1 << 19
 #: An id pair as one number: A's id, then B's in the lower bits.
 B_BITS = 32
@@ -65,6 +66,12 @@ Segment = tuple[int, int, str, tuple, bool]
 MARKS = ".,;:!?"
 #: Places before a single space or line feed between characters that aren't white space.
 _CUT = compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space beyond ASCII in UTF-8, and by byte within it.
+_WIDE_SPACE = compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 class Aligner:
@@ -95,8 +102,16 @@ class Aligner:
             if len(one) == 1 and self.bytes_a[one[0]] == self.bytes_b[other] == m.encode():
                 self.marks[m] = beside[m], (1, 1, f"{one[0]}|{other}", (one[0] << B_BITS | other,), True)
         self.numbers = [str(i) for i in range(max(*self.bytes_a, len(pieces)) + 1)]
+        self.alone = np.zeros((256, 256), bool)  # by mark and the letter before it: whether both are cut between them
+        for m, (others, _) in self.marks.items() if self.by_segments else ():
+            self.alone[ord(m)] = _LETTER
+            self.alone[ord(m), [ord(c) for c in others if c.isascii()]] = False
         self.kept: dict[str, Segment] = {}
-        self.older: dict[str, Segment] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.units, self.groups, self.links = Units(), [], Lists(np.int64)
+        self.sizes, self.good = Lists(np.int64), Lists(np.bool_)
 
     def segments(self, text: str) -> list[str]:
         """Parts of a space and the text, each beginning with a space or a line feed."""
@@ -104,28 +119,70 @@ class Aligner:
 
     def align(self, segments: set[str]) -> None:
         """Have all of these segments at hand."""
-        if len(self.kept) > KEPT:
-            self.kept, self.older = {}, self.kept
-        whole, cut = set(), []
-        for s in segments.difference(self.kept):
-            if s in self.older:
-                self.kept[s] = self.older[s]
-                continue
-            mark = self.marks.get(s[-1]) if self.by_segments else None
-            if mark and s[-2:-1].isalpha() and s[-2] not in mark[0]:
-                cut.append(s)
-                whole.add(s[:-1])
+        self.kept = dict(zip(segments, self.fresh(list(segments))))
+
+    def _cuts(self, buffer: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the segments of texts that lie from ``firsts`` to ``lasts``, marks apart."""
+        starts = firsts
+        if self.by_segments:
+            white = _SPACE[buffer]
+            for m in _WIDE_SPACE.finditer(buffer):
+                white[m.start() : m.end()] = True
+            cuts = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A))
+            cuts = cuts[(cuts > 0) & (cuts < lasts[-1])]
+            cuts = cuts[~white[cuts - 1] & ~white[cuts + 1]]
+            inside = np.searchsorted(firsts, cuts, "right") - 1
+            starts = np.union1d(firsts, cuts[(cuts > firsts[inside]) & (cuts < lasts[inside])])
+        ends = np.append(starts[1:], 0)
+        ends[np.searchsorted(starts, lasts) - 1] = lasts
+        apart = self.alone[buffer[ends - 1], buffer[ends - 2]] & (ends - starts > 1)
+        edges = np.sort(np.concatenate([starts, (ends - 1)[apart]]))
+        ends = np.append(edges[1:], 0)
+        ends[np.searchsorted(edges, lasts) - 1] = lasts
+        return edges, ends
+
+    def aligned(self, texts: list[str]) -> list[tuple]:
+        """(tokens of A, tokens of B, links, digest, pairs, times) of each text."""
+        if self.units.n > KEPT:
+            self._empty()
+        coded = [b" " + t.encode() for t in texts]
+        buffer = np.frombuffer(b"\n".join([*coded, bytes(PADDING)]), np.uint8)
+        sizes = np.array([len(t) for t in coded])
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        starts, ends = self._cuts(buffer, firsts, firsts + sizes)
+        numbers, new = self.units.numbers(buffer, starts, ends)
+        self._learn([s.decode() for s in new])
+        links, edges = self.links.joined(numbers)
+        totals, good = self.sizes.joined(numbers)[0].reshape(-1, 2), self.good.joined(numbers)[0]
+        at = np.append(np.searchsorted(starts, firsts), len(starts))
+        totals = np.add.reduceat(totals, at[:-1], axis=0).tolist()
+        good = np.logical_and.reduceat(good, at[:-1]).tolist()
+        numbers, rows, edges = numbers.tolist(), [], edges[at].tolist()
+        for k, (a, z) in enumerate(pairwise(at.tolist())):
+            if good[k]:
+                groups, own = ";".join([self.groups[i] for i in numbers[a:z]]), links[edges[k] : edges[k + 1]]
+                n_a, n_b = totals[k]
             else:
-                whole.add(s)
-        known = whole & self.older.keys()
-        self.kept.update((s, self.older[s]) for s in known)
-        new = list(whole.difference(self.kept))
-        for at in range(0, len(new), 1024):
-            self.kept.update(zip(some := new[at : at + 1024], self.fresh(some)))
-        for s in cut:
-            n_a, n_b, groups, links, good = self.kept[s[:-1]]
-            _, (_, _, group, link, _) = self.marks[s[-1]]
-            self.kept[s] = n_a + 1, n_b + 1, f"{groups};{group}", links + link, good
+                n_a, n_b, groups, own, met = next(self.fresh([" " + texts[k]]))
+                if not met:
+                    rows.append(_NOTHING)
+                    continue
+                own = np.array(own, np.int64)
+            pairs, times = np.unique(own, return_counts=True)
+            rows.append((n_a, n_b, len(own), hashlib.sha256(groups.encode()).hexdigest(), pairs, times.astype(np.int32)))
+        return rows
+
+    def _learn(self, segments: list[str]) -> None:
+        for at in range(0, len(segments), 1024):
+            some = segments[at : at + 1024]
+            # A mark that stands apart isn't what begins a text: B adds no space before it.
+            found = [self.marks[s][1] if s in self.marks and self.by_segments else None for s in some]
+            fresh = self.fresh([s for s, own in zip(some, found) if own is None])
+            found = [own or next(fresh) for own in found]
+            self.groups += [f[2] for f in found]
+            self.links.add([f[3] for f in found])
+            self.sizes.add([f[:2] for f in found])
+            self.good.add([f[4:] for f in found])
 
     def fresh(self, segments: list[str]) -> Iterator[Segment]:
         """Segments aligned anew. Where all characters are ASCII, a token's span is its length."""
@@ -201,20 +258,6 @@ _ARROW = pa.schema([
 _NOTHING = (0, 0, 0, "", [], [])
 
 
-def _aligned_text(text: str, parts: list[str], aligner: Aligner) -> tuple:
-    found = [aligner.kept[s] for s in parts]
-    if not all([s[4] for s in found]):
-        found = list(aligner.fresh([" " + text]))
-        if not found[0][4]:
-            return _NOTHING
-    n_a, n_b, groups, links, _ = zip(*found)
-    pairs = np.fromiter(chain.from_iterable(links), np.int64)
-    n_links = len(pairs)
-    pairs, times = np.unique(pairs, return_counts=True)
-    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-    return sum(n_a), sum(n_b), n_links, digest, pairs, times.astype(np.int32)
-
-
 def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     aligner = aligner_of(path_a, path_b)
     for batch in batches:
@@ -229,9 +272,9 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Ite
 
 
 def _rows(held: list[tuple], aligner: Aligner) -> pa.RecordBatch:
-    parts = [aligner.segments(t) if t else [] for _, t in held]
-    aligner.align(set().union(*parts))
-    rows = [(key, *(_aligned_text(t, p, aligner) if t else _NOTHING)) for (key, t), p in zip(held, parts)]
+    texts = [t for _, t in held if t]
+    found = iter(aligner.aligned(texts) if texts else [])
+    rows = [(key, *(next(found) if t else _NOTHING)) for key, t in held]
     columns = list(zip(*rows)) or [[]] * len(_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
@@ -239,7 +282,7 @@ def _rows(held: list[tuple], aligner: Aligner) -> pa.RecordBatch:
 def alignments(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """A row per document: token and group numbers, the digest of its groups, and its linked id pairs with their times."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(lambda b: _aligned(b, path_a, path_b), COLUMNS)
+    return texts.mapInArrow(lambda b: giving_back(_aligned(b, path_a, path_b)), COLUMNS)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

@@ -287,3 +287,21 @@ def test_components_equal_brute_force(spark, local_links):
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), local_links).collect()}
     assert all(found.get(x, x) == root(x) for x in list(label))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_runs_of_texts_align_as_whole_texts(monkeypatch):
+    """Segments of many texts are found at once: wide white space, NULs, long segments, marks after letters, full stores."""
+    draw, letters = random.Random(5), "aB 'é\n\t.,;:!?  　\x85\x1c\x00ß漢x1"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 30))) for _ in range(600)]
+    texts += [".", " .", "a.", "x" * 40 + ".", "a" * 14 + ". " + "a" * 15 + " " + "a" * 16, "\n", "a▁b"]
+    aligner, whole = tokenizer_spans.Aligner(PATH_A, PATH_B), []
+    for n_a, n_b, groups, links, good in aligner.fresh([" " + t for t in texts]):
+        whole.append((n_a, n_b, len(links), hashlib.sha256(groups.encode()).hexdigest() if good else "", sorted(links)))
+    monkeypatch.setattr(tokenizer_spans, "KEPT", 100)
+    for size in (len(texts), 50, 1):
+        found = [r for at in range(0, len(texts), size) for r in aligner.aligned(texts[at : at + size])]
+        assert [(*r[:4], [p for p, n in zip(r[4], r[5]) for _ in range(n)]) for r in found] == whole
+    # A common word with marks of its own is aligned once, not once a mark.
+    aligner = tokenizer_spans.Aligner(PATH_A, PATH_B)
+    aligner.aligned([" ".join(w + m for w in ("house", "tree", "river") for m in tokenizer_spans.MARKS)])
+    assert aligner.units.n <= 4 + len(tokenizer_spans.MARKS)
