@@ -19,7 +19,9 @@ of the result.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ COMMON = 1 << 19
 DIMENSIONS = 32
 ROUNDS, NOISE, BATCH = 2, 16, 512
 RATE = 0.3
+#: Batches whose sums are planned at once.
+PLANNED = 64
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 1 << 20
 END_TOKEN = int(mixed(np.array([0xE0F], np.uint64)).astype(np.int64)[0])
@@ -119,6 +123,23 @@ class Vocabulary:
     def base_mass(self) -> float:
         return self.total + ADD * (self.distinct + 1)
 
+    def of_symbols(self) -> "Vocabulary":
+        """The same with no common tokens but the symbols."""
+        own = self.symbols >= 0
+        return replace(self, common=self.common[own], common_counts=self.common_counts[own], symbols=self.symbols[own])
+
+    @cached_property
+    def buckets(self) -> tuple[int, np.ndarray, int, np.ndarray]:
+        """By their first bits: how many bits, where each bucket's common tokens begin, how many one has at most; and the tokens."""
+        bits = min(20, (4 * len(self.common)).bit_length())
+        sizes = np.bincount(_bucket(self.common, bits), minlength=1 << bits)
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+        return bits, begins, int(sizes.max()), np.append(self.common, np.iinfo(np.int64).max)
+
+
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> (64 - bits)) + (1 << bits - 1)
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -145,10 +166,19 @@ def looked_up(found: Tokens, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     """(symbol, count) of every token; the count is -1 where the token isn't common."""
     if not len(known.common):
         return found.classes, np.full(len(found.hashes), -1)
-    at = np.minimum(np.searchsorted(known.common, found.hashes), len(known.common) - 1)
-    hit = known.common[at] == found.hashes
-    symbol = np.where(hit, known.symbols[at], -1)
-    return np.where(symbol >= 0, symbol, found.classes), np.where(hit, known.common_counts[at], -1)
+    # Hashes are spread evenly, so that buckets are small and a step or two from a bucket's begin leads to a token's place.
+    bits, begins, most, common = known.buckets
+    at = begins[_bucket(found.hashes, bits)]
+    for _ in range(most):
+        at += common[at] < found.hashes
+    hit = np.flatnonzero(common[at] == found.hashes)
+    hit = hit[at[hit] < len(known.common)]
+    at = at[hit]
+    symbol, count = found.classes.copy(), np.full(len(found.hashes), -1)
+    count[hit] = known.common_counts[at]
+    own = known.symbols[at]
+    symbol[hit[own >= 0]] = own[own >= 0]
+    return symbol, count
 
 
 def contexts(symbols: np.ndarray, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -166,92 +196,167 @@ def contexts(symbols: np.ndarray, found: Tokens) -> tuple[np.ndarray, np.ndarray
 class Parameters:
     """Vectors of context and target symbols, position matrices (diagonal), biases."""
 
-    NAMES = ("context", "target", "positions", "bias")
+    NAMES = ("vectors", "positions", "bias")
 
     def __init__(self, known: Vocabulary):
         draw = np.random.default_rng(5)
-        self.context = draw.normal(0, 0.3, (TOTAL, DIMENSIONS)).astype(np.float32)
-        self.target = draw.normal(0, 0.1, (TOTAL, DIMENSIONS)).astype(np.float32)
+        context, target = draw.normal(0, 0.3, (TOTAL, DIMENSIONS)), draw.normal(0, 0.1, (TOTAL, DIMENSIONS))
+        self.vectors = np.vstack([context, target]).astype(np.float32)
         self.positions = np.ones((2, DIMENSIONS), np.float32) * 0.5
-        self.bias = np.log((known.symbol_counts + ADD) / (known.total + ADD * TOTAL)).astype(np.float32)[:, None]
+        self.bias = np.log((known.symbol_counts + ADD) / (known.total + ADD * TOTAL)).astype(np.float32)
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.vectors[:TOTAL]
+
+    @property
+    def target(self) -> np.ndarray:
+        return self.vectors[TOTAL:]
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of DIMENSIONS numbers."""
-        bias = np.resize(np.pad(self.bias[:, 0], (0, -TOTAL % DIMENSIONS)), (-(-TOTAL // DIMENSIONS), DIMENSIONS))
-        return np.vstack([self.context, self.target, self.positions, bias])
+        bias = np.resize(np.pad(self.bias, (0, -TOTAL % DIMENSIONS)), (-(-TOTAL // DIMENSIONS), DIMENSIONS))
+        return np.vstack([self.vectors, self.positions, bias])
 
     def take(self, rows: np.ndarray) -> None:
-        self.context, self.target = rows[:TOTAL].copy(), rows[TOTAL : 2 * TOTAL].copy()
+        self.vectors = rows[: 2 * TOTAL].copy()
         self.positions = rows[2 * TOTAL : 2 * TOTAL + 2].copy()
-        self.bias = rows[2 * TOTAL + 2 :].reshape(-1)[:TOTAL, None].copy()
+        self.bias = rows[2 * TOTAL + 2 :].reshape(-1)[:TOTAL].copy()
+
 
+class Room:
+    """The arrays of a training step, made once per task."""
 
-def learn(p: Parameters, noise: np.ndarray, examples: np.ndarray, seed: int, squares: dict[str, np.ndarray]) -> None:
-    """One pass of NCE over (target, one before, two before), with adaptive rates and shared noise per batch.
+    def __init__(self):
+        def space(*shape: int) -> np.ndarray:
+            return np.empty(shape, np.float32)
+
+        self.met, self.gradients = (space(3 * BATCH + 4 * NOISE, DIMENSIONS) for _ in range(2))
+        self.positions, self.parts = (space(2, BATCH, DIMENSIONS) for _ in range(2))
+        self.q, self.g_q = (space(BATCH, DIMENSIONS) for _ in range(2))
+        self.bad = space(BATCH, 4 * NOISE)
+
+
+def learn(p: Parameters, noise: np.ndarray, columns: np.ndarray, seed: int, squares: dict[str, np.ndarray], room: Room) -> None:
+    """One pass of NCE over targets, those one before and those two before, with adaptive rates and shared noise per batch.
 
     ``squares`` are the sums of squared gradients, which set the rates; they grow from call to call.
     """
-    draws = np.random.default_rng(seed).random((-(-len(examples) // BATCH), NOISE * 4))
+    draws = np.random.default_rng(seed).random((-(-columns.shape[1] // BATCH), NOISE * 4))
     drawn = np.minimum(np.searchsorted(np.cumsum(noise), draws), TOTAL - 1).astype(np.int16)
     log_noise = np.log(noise * NOISE).astype(np.float32)
-    columns = np.ascontiguousarray(examples.T, np.int16)  # short numbers are sorted in linear time
-    for k, v in enumerate(drawn):
-        w, one, two = columns[:, k * BATCH : (k + 1) * BATCH]
+    vectors, sums_of_squares = as_items(p.vectors), as_items(squares["vectors"])
+    ones, across = np.ones(BATCH, np.float32), np.ones(DIMENSIONS, np.float32)
+    for w, v, met, own, places, sizes in batches(columns, drawn):
         n = len(w)
-        r1, r2 = p.context.take(one, 0), p.context.take(two, 0)
-        own, other = p.target.take(w, 0), p.target.take(v, 0)
-        q = r1 * p.positions[0] + r2 * p.positions[1]
-        offset = p.bias[:, 0] - log_noise
-        good = np.einsum("nd,nd->n", q, own) + offset[w]
-        bad = q @ other.T + offset[v]
-        g_good = inverse_odds(good)
-        g_bad = inverse_odds(np.negative(bad, bad))
-        g_bad /= -4  # 4 * NOISE shared draws stand for NOISE of one's own
-        g_q = g_good[:, None] * own + g_bad @ other
-        met = np.concatenate([w, v])
-        up = np.concatenate([g_good[:, None] * q, g_bad.T @ q])
-        bias = np.bincount(met, np.concatenate([g_good, g_bad.sum(0)]), TOTAL).astype(np.float32)
-        positions = np.stack([(g_q * r1).sum(0), (g_q * r2).sum(0)])
-        before = np.concatenate([g_q * p.positions[0], g_q * p.positions[1]])
-        for name, (rows, g) in {
-            "target": row_sums(met, up),
-            "bias": (slice(None), bias[:, None]),
-            "context": row_sums(np.concatenate([one, two]), before),
-            "positions": (slice(None), positions),
-        }.items():
-            g /= n
-            total = squares[name][rows] + g * g  # rows that were not met have no gradient and stay
-            squares[name][rows] = total
-            g *= RATE * 0.1
-            g /= np.sqrt(total, total)
-            getattr(p, name)[rows] += g
+        rows = np.take(p.vectors, met, 0, room.met[: len(met)], "clip")
+        before, target, other = rows[: 2 * n].reshape(2, n, -1), rows[2 * n : 3 * n], rows[3 * n :]
+        positions, parts, q, g_q, bad = room.positions[:, :n], room.parts[:, :n], room.q[:n], room.g_q[:n], room.bad[:n]
+        positions[:] = p.positions[:, None]
+        np.add(*np.multiply(before, positions, parts), q)
+        offset = p.bias - log_noise
+        g_good = inverse_odds(np.multiply(q, target, g_q) @ across + offset[w])
+        np.negative(other, other)
+        np.matmul(q, other.T, bad)
+        bad -= offset[v]
+        inverse_odds(bad)
+        other /= 4  # 4 * NOISE shared draws stand for NOISE of one's own
+        np.multiply(g_good[:, None], target, g_q)
+        g_q += np.matmul(bad, other, parts[0])
+        g = room.gradients[: len(met)]
+        np.multiply(g_q, positions, g[: 2 * n].reshape(2, n, -1))
+        np.multiply(g_good[:, None], q, g[2 * n : 3 * n])
+        np.matmul(bad.T, q, g[3 * n :])
+        g[3 * n :] /= -4
+        bias = np.bincount(np.concatenate([w, v]), np.concatenate([g_good, ones[:n] @ bad / -4]), TOTAL).astype(np.float32)
+        dense = {"positions": ones[:n] @ np.multiply(g_q, before, parts), "bias": bias}
+        summed = row_sums(g, places, sizes, room.met)
+        summed /= n
+        total = sums_of_squares.take(own).view(np.float32).reshape(summed.shape)
+        total += summed * summed  # rows that were not met have no gradient and stay
+        sums_of_squares.put(own, as_items(total))
+        summed *= RATE * 0.1
+        summed /= np.sqrt(total, total)
+        summed += p.vectors.take(own, 0)
+        vectors.put(own, as_items(summed))
+        for name, change in dense.items():
+            change /= n
+            squares[name] += change * change
+            change *= RATE * 0.1
+            change /= np.sqrt(squares[name])
+            getattr(p, name)[:] += change
 
 
 def inverse_odds(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(x)), in place."""
-    np.exp(np.clip(x, -30, 30, out=x), x)
+    """1 / (1 + exp(x)), in place; 0 where exp(x) is beyond all numbers."""
+    with np.errstate(over="ignore"):
+        np.exp(x, x)
     x += 1
     return np.reciprocal(x, x)
 
 
-def row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers in ``at`` and the sum of the rows of each."""
-    order = np.argsort(at, kind="stable")
-    own = at[order]
-    cuts = np.flatnonzero(np.diff(own, prepend=-1))
-    return own[cuts], np.add.reduceat(rows.take(order, 0), cuts, axis=0)
+def as_items(rows: np.ndarray) -> np.ndarray:
+    """A view in which each row is a single item, which numpy moves at once."""
+    return rows.view(f"V{rows.itemsize * rows.shape[1]}")[:, 0]
+
+
+def batches(columns: np.ndarray, drawn: np.ndarray) -> Iterator[tuple]:
+    """For each batch its targets, its noise, the rows of vectors that it meets, and how to sum them (see ``layers``)."""
+    n = columns.shape[1]
+    whole = n - n % BATCH
+    for a, z in pairwise(sorted({*range(0, whole, PLANNED * BATCH), whole, n})):
+        w, one, two = columns[:, a:z].reshape(3, -1, min(BATCH, z - a))
+        v = drawn[a // BATCH : -(-z // BATCH)]
+        met = np.concatenate([one, two, w + TOTAL, v + TOTAL], 1)
+        yield from zip(w, v, met, *layers(met))
+
+
+def layers(met: np.ndarray) -> tuple[list, np.ndarray, list]:
+    """For each row of ``met`` its distinct numbers, the most frequent first, and its places in layers, and their sizes.
+
+    Layer j holds the places of each number's occurrence j, for the numbers that have one, in their order. So the layers'
+    sizes fall, and adding each to the front of the first sums up per number.
+    """
+    n, width = met.shape
+    order = np.argsort(met, 1, kind="stable")
+    ranked = np.take_along_axis(met, order, 1)
+    starts = np.flatnonzero(np.diff(ranked, axis=1, prepend=np.int16(-1)))
+    times = np.diff(starts, append=met.size)
+    by_times = np.argsort(-times.astype(np.int16), kind="stable")
+    by_times = by_times[np.argsort((starts // width).astype(np.int16)[by_times], kind="stable")]
+    edges = np.searchsorted(starts, np.arange(n + 1) * width)
+    place = np.empty_like(by_times)
+    place[by_times] = np.arange(len(starts)) - np.repeat(edges[:-1], np.diff(edges))
+    depth = int(times.max())
+    layer = np.arange(met.size) - np.repeat(starts, times) + np.repeat(np.arange(n) * depth, width)
+    sizes = np.bincount(layer, minlength=n * depth)
+    laid = np.empty_like(order).reshape(-1)
+    laid[(np.cumsum(sizes) - sizes)[layer] + np.repeat(place, times)] = order.reshape(-1)
+    own = np.split(ranked.reshape(-1)[starts[by_times]], edges[1:-1])
+    return own, laid.reshape(n, width), [s[: np.count_nonzero(s)].tolist() for s in sizes.reshape(n, depth)]
+
+
+def row_sums(rows: np.ndarray, places: np.ndarray, sizes: list[int], room: np.ndarray) -> np.ndarray:
+    """The sums of the rows in layers of these places and sizes, in ``room``."""
+    laid = np.take(rows, places, 0, room[: len(places)], "clip")
+    total, at = laid[: sizes[0]], sizes[0]
+    for size in sizes[1:]:
+        front = total[:size]
+        np.add(front, laid[at : at + size], front)
+        at += size
+    return total
 
 
 def _examples(run: list[bytes], known: Vocabulary) -> np.ndarray:
     """(target, one before, two before) of every position of a run of texts."""
     found = tokens(run)
-    symbols, _ = looked_up(found, known)
-    return np.stack([symbols, *contexts(symbols, found)], 1)
+    symbols = looked_up(found, known)[0].astype(np.int16)  # short numbers are sorted in linear time
+    return np.stack([symbols, *contexts(symbols, found)]).T
 
 
 def _learned(batches: Iterator[pa.RecordBatch], start: np.ndarray, known: Vocabulary, turn: int) -> Iterator[pa.RecordBatch]:
     """A task's parameters after all positions of its texts, weighted by their number."""
-    p, seen = Parameters(known), 0
+    p, seen, room = Parameters(known), 0, Room()
     p.take(start)
     noise = (known.symbol_counts + 1) / (known.symbol_counts + 1).sum()
     squares = {n: np.full(getattr(p, n).shape, 1e-2, np.float32) for n in Parameters.NAMES}
@@ -259,7 +364,7 @@ def _learned(batches: Iterator[pa.RecordBatch], start: np.ndarray, known: Vocabu
         for run in steps(as_bytes(batch.column("text"))):
             examples = _examples(run, known)
             order = np.random.default_rng([turn, seen]).permutation(len(examples))
-            learn(p, noise, examples[order], turn * 1_000_003 + seen, squares)
+            learn(p, noise, examples.T.take(order, 1), turn * 1_000_003 + seen, squares, room)
             seen += len(examples)
     if seen:
         rows = p.rows().astype(np.float64)
@@ -277,6 +382,7 @@ def train(texts: DataFrame, known: Vocabulary) -> Parameters:
     p = Parameters(known)
     if not known.total:
         return p
+    known = known.of_symbols()
     for turn in range(ROUNDS):
         start = p.rows()
         tasks = texts.select("text").mapInArrow(
@@ -303,7 +409,7 @@ class Tables:
 
 def tables(p: Parameters) -> Tables:
     """Batched products of all contexts with all symbols; the scores' sums normalise them."""
-    one = (p.context * p.positions[0]) @ p.target.T + p.bias[:, 0]
+    one = (p.context * p.positions[0]) @ p.target.T + p.bias
     two = (p.context * p.positions[1]) @ p.target.T
     # exp(one) and exp(two) meet in a product over symbols: one matrix product for all pairs of contexts.
     top_one, top_two = one.max(1, keepdims=True), two.max(1, keepdims=True)

@@ -420,6 +420,72 @@ def test_lm_learns_from_every_position():
     assert learned[0].column("seen")[0].as_py() == len(found)
 
 
+def test_lm_looks_up_symbols_and_sums_gradients_in_layers():
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    for n in (0, 1, 3, 40, 5_000):
+        common = np.sort(draw.integers(-(2**63), 2**63 - 1, n))
+        symbols = np.where(draw.random(n) < 0.5, draw.integers(0, log_bilinear.SYMBOLS, n), -1)
+        zeros = np.zeros(log_bilinear.TOTAL)
+        known = log_bilinear.Vocabulary(9, n, common, np.arange(n) + 1, symbols, zeros, zeros)
+        hashes = np.concatenate([common, common + 1, draw.integers(-(2**63), 2**63 - 1, 50), [2**63 - 1, -(2**63)]])
+        found = log_bilinear.Tokens(hashes, np.full(len(hashes), log_bilinear.SYMBOLS), np.array([0, len(hashes)]), None)
+        place = {t: i for i, t in enumerate(common.tolist())}
+        for vocabulary in (known, known.of_symbols()):
+            own = [*symbols.tolist(), -1]
+            at = [place.get(t, -1) for t in hashes.tolist()]
+            at = [i if vocabulary is known or own[i] >= 0 else -1 for i in at]
+            symbol, count = log_bilinear.looked_up(found, vocabulary)
+            assert symbol.tolist() == [own[i] if own[i] >= 0 else log_bilinear.SYMBOLS for i in at]
+            assert count.tolist() == [i + 1 if i >= 0 else -1 for i in at]
+    for shape, top in (((70, 300), 90), ((1, 65), 2_000), ((3, 1_600), 1)):
+        met = draw.integers(0, top, shape).astype(np.int16)
+        rows = draw.normal(size=(shape[1], log_bilinear.DIMENSIONS)).astype(np.float32)
+        for numbers, own, places, sizes in zip(met, *log_bilinear.layers(met), strict=True):
+            wanted = np.zeros((top, log_bilinear.DIMENSIONS))
+            np.add.at(wanted, numbers, rows)
+            assert sorted(own) == np.unique(numbers).tolist()
+            assert np.allclose(log_bilinear.row_sums(rows, places, sizes, np.empty_like(rows)), wanted[own], atol=1e-3)
+
+
+def test_lm_steps_are_those_of_the_plain_formula():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    total, size = log_bilinear.TOTAL, log_bilinear.BATCH
+    nothing = np.zeros(0, np.int64)
+    known = log_bilinear.Vocabulary(total, total, nothing, nothing, nothing, np.ones(total), np.ones(total))
+    p, noise = log_bilinear.Parameters(known), np.full(total, 1 / total)
+    columns = draw.integers(0, 50, (3, 2 * size + 7)).astype(np.int16)
+    context, target, positions, bias = (x.astype(float) for x in (p.context, p.target, p.positions, p.bias))
+    squares = {n: np.full(getattr(p, n).shape, 1e-2, np.float32) for n in p.NAMES}
+    log_bilinear.learn(p, noise, columns, 3, squares, log_bilinear.Room())
+
+    met = np.random.default_rng(3).random((3, 4 * log_bilinear.NOISE))
+    sums = [np.full(x.shape, 1e-2) for x in (context, target, positions, bias)]
+    for k, v in enumerate(np.minimum(np.searchsorted(np.cumsum(noise), met), total - 1)):
+        w, one, two = columns[:, k * size : (k + 1) * size]
+        q = context[one] * positions[0] + context[two] * positions[1]
+        offset = bias - np.log(noise * log_bilinear.NOISE)
+        good = 1 / (1 + np.exp((q * target[w]).sum(1) + offset[w]))
+        bad = -1 / (1 + np.exp(-(q @ target[v].T + offset[v]))) / 4
+        g_q = good[:, None] * target[w] + bad @ target[v]
+        gradients = [np.zeros(x.shape) for x in sums]
+        np.add.at(gradients[0], one, g_q * positions[0])
+        np.add.at(gradients[0], two, g_q * positions[1])
+        np.add.at(gradients[1], w, good[:, None] * q)
+        np.add.at(gradients[1], v, bad.T @ q)
+        gradients[2] = np.stack([(g_q * context[one]).sum(0), (g_q * context[two]).sum(0)])
+        np.add.at(gradients[3], w, good)
+        np.add.at(gradients[3], v, bad.sum(0))
+        for x, s, g in zip((context, target, positions, bias), sums, gradients):
+            s += (g / len(w)) ** 2
+            x += log_bilinear.RATE * 0.1 * g / len(w) / np.sqrt(s)
+    for learned, wanted in zip((p.context, p.target, p.positions, p.bias), (context, target, positions, bias)):
+        assert np.allclose(learned, wanted, atol=1e-5)
+
+
 def test_lm_is_normalised(spark, odd):
     import numpy as np
 
