@@ -41,6 +41,8 @@ ROUNDS, NOISE, BATCH = 2, 16, 512
 RATE = 0.3
 #: Batches whose sums are planned at once.
 PLANNED = 64
+#: Layers of a batch; what occurs more often is summed up number by number.
+LAYERS = 8
 #: Distinct tokens that a task counts before it hands them on.
 HELD_TOKENS = 1 << 20
 END_TOKEN = int(mixed(np.array([0xE0F], np.uint64)).astype(np.int64)[0])
@@ -247,7 +249,7 @@ def learn(p: Parameters, noise: np.ndarray, columns: np.ndarray, seed: int, squa
     log_noise = np.log(noise * NOISE).astype(np.float32)
     vectors, sums_of_squares = as_items(p.vectors), as_items(squares["vectors"])
     ones, across = np.ones(BATCH, np.float32), np.ones(DIMENSIONS, np.float32)
-    for w, v, met, own, places, sizes in batches(columns, drawn):
+    for w, v, met, own, *plan in batches(columns, drawn):
         n = len(w)
         rows = np.take(p.vectors, met, 0, room.met[: len(met)], "clip")
         before, target, other = rows[: 2 * n].reshape(2, n, -1), rows[2 * n : 3 * n], rows[3 * n :]
@@ -270,7 +272,7 @@ def learn(p: Parameters, noise: np.ndarray, columns: np.ndarray, seed: int, squa
         g[3 * n :] /= -4
         bias = np.bincount(np.concatenate([w, v]), np.concatenate([g_good, ones[:n] @ bad / -4]), TOTAL).astype(np.float32)
         dense = {"positions": ones[:n] @ np.multiply(g_q, before, parts), "bias": bias}
-        summed = row_sums(g, places, sizes, room.met)
+        summed = row_sums(g, *plan, room.met)
         summed /= n
         total = sums_of_squares.take(own).view(np.float32).reshape(summed.shape)
         total += summed * summed  # rows that were not met have no gradient and stay
@@ -311,11 +313,12 @@ def batches(columns: np.ndarray, drawn: np.ndarray) -> Iterator[tuple]:
         yield from zip(w, v, met, *layers(met))
 
 
-def layers(met: np.ndarray) -> tuple[list, np.ndarray, list]:
+def layers(met: np.ndarray) -> tuple[list, np.ndarray, list, list]:
     """For each row of ``met`` its distinct numbers, the most frequent first, and its places in layers, and their sizes.
 
     Layer j holds the places of each number's occurrence j, for the numbers that have one, in their order. So the layers'
-    sizes fall, and adding each to the front of the first sums up per number.
+    sizes fall, and adding each to the front of the first sums up per number. After LAYERS of them follow all other places,
+    number by number; the last list tells where each number begins there.
     """
     n, width = met.shape
     order = np.argsort(met, 1, kind="stable")
@@ -325,25 +328,34 @@ def layers(met: np.ndarray) -> tuple[list, np.ndarray, list]:
     by_times = np.argsort(-times.astype(np.int16), kind="stable")
     by_times = by_times[np.argsort((starts // width).astype(np.int16)[by_times], kind="stable")]
     edges = np.searchsorted(starts, np.arange(n + 1) * width)
-    place = np.empty_like(by_times)
+    left = np.maximum(times - LAYERS, 0)[by_times]
+    before = np.cumsum(left) - left
+    before -= np.repeat(before[edges[:-1]], np.diff(edges))
+    place, begin = np.empty((2, len(starts)), np.int64)
     place[by_times] = np.arange(len(starts)) - np.repeat(edges[:-1], np.diff(edges))
-    depth = int(times.max())
-    layer = np.arange(met.size) - np.repeat(starts, times) + np.repeat(np.arange(n) * depth, width)
-    sizes = np.bincount(layer, minlength=n * depth)
+    begin[by_times] = before - LAYERS
+    occurrence = np.arange(met.size) - np.repeat(starts, times)
+    layer = np.minimum(occurrence, LAYERS) + np.repeat(np.arange(n) * (LAYERS + 1), width)
+    sizes = np.bincount(layer, minlength=n * (LAYERS + 1))
+    at = np.where(occurrence < LAYERS, np.repeat(place, times), np.repeat(begin, times) + occurrence)
     laid = np.empty_like(order).reshape(-1)
-    laid[(np.cumsum(sizes) - sizes)[layer] + np.repeat(place, times)] = order.reshape(-1)
+    laid[(np.cumsum(sizes) - sizes)[layer] + at] = order.reshape(-1)
     own = np.split(ranked.reshape(-1)[starts[by_times]], edges[1:-1])
-    return own, laid.reshape(n, width), [s[: np.count_nonzero(s)].tolist() for s in sizes.reshape(n, depth)]
+    many = [b[: np.count_nonzero(m)] for b, m in zip(np.split(before, edges[1:-1]), np.split(left, edges[1:-1]))]
+    return own, laid.reshape(n, width), [s[: np.count_nonzero(s)].tolist() for s in sizes.reshape(n, -1)[:, :LAYERS]], many
 
 
-def row_sums(rows: np.ndarray, places: np.ndarray, sizes: list[int], room: np.ndarray) -> np.ndarray:
-    """The sums of the rows in layers of these places and sizes, in ``room``."""
+def row_sums(rows: np.ndarray, places: np.ndarray, sizes: list[int], many: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The sums of the rows in layers of these places and sizes and of what follows them, in ``room``."""
     laid = np.take(rows, places, 0, room[: len(places)], "clip")
     total, at = laid[: sizes[0]], sizes[0]
     for size in sizes[1:]:
         front = total[:size]
         np.add(front, laid[at : at + size], front)
         at += size
+    if len(many):
+        # Two numbers as a complex one: half as many loops.
+        total[: len(many)] += np.add.reduceat(laid[at:].view(np.complex64), many, axis=0).view(np.float32)
     return total
 
 
