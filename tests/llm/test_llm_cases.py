@@ -86,6 +86,62 @@ def test_max_score_equals_brute_force_on_random_vectors(spark):
         assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [(i, dot[i]) for i in best]
 
 
+def best_by_brute_force(whole, asked, k=5):
+    """(query_id, rank, vec_id, score) in Python's own integers, of unbounded size."""
+    expected = []
+    for q in asked:
+        dot = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        best = sorted(dot, key=lambda i: (-dot[i], i))[:k]
+        expected += [(q, rank, i, dot[i]) for rank, i in enumerate(best, 1)]
+    return expected
+
+
+def test_max_score_hands_every_vector_to_a_task_once(spark, monkeypatch, tmp_path):
+    """Before, each block of queries came with a copy of its shard: at 600,000 vectors, gigabytes in one batch."""
+    import numpy as np
+
+    frame = type(spark.range(0))
+    seen, plain = str(tmp_path / "seen"), frame.mapInArrow
+
+    def watched(self, work, schema, *more):
+        def noting(batches):
+            def noted():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return work(noted())
+
+        return plain(self, noting, schema, *more)
+
+    x = np.random.default_rng(2).normal(0, 0.2, (600, 16)).round(3)
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = max_score.integer_vectors(given)
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    found = max_score.top_k(vectors, vectors.filter("id % 50 = 0"), shard_rows=100, block_rows=1).collect()
+    whole = dict(enumerate(np.floor(256 * x).astype(int).tolist()))
+    assert sorted(map(tuple, found)) == best_by_brute_force(whole, range(0, 600, 50))
+    assert sum(map(int, open(seen))) < 2 * 600 * 16 * 8
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 9, 1 << 20])
+def test_max_score_over_shards_of_one_cell_and_in_all_integers(spark, monkeypatch, scale):
+    """Scores rise with the id, many vectors are equal, some components are large; queries come in parts."""
+    monkeypatch.setattr(max_score, "CELLS", 2)
+    monkeypatch.setattr(max_score, "HELD", 8 * 5)
+    draw = random.Random(3)
+    whole = {i: [draw.randint(-90, 90) * (1 + i // 40) for _ in range(8)] for i in range(300)}
+    whole |= {i: whole[100] for i in range(150, 230)} | {i: [0] * 8 for i in range(235, 240)} | {250: [], 260: [-7], 270: [5] * 20}
+    whole = {i - 5: [scale * x for x in v] for i, v in whole.items()}
+    vectors = spark.createDataFrame(list(whole.items()), "id long, vector array<long>")
+    asked = [i for i in whole if i % 20 == 0] + [max(whole), 245, 255]
+    queries = vectors.filter(F.col("id").isin(asked))
+    for rows, k in ((16, 5), (1, 3), (7, 400)):
+        found = max_score.top_k(vectors, queries, k, shard_rows=rows, block_rows=4)
+        assert sorted(map(tuple, found.collect())) == sorted(best_by_brute_force(whole, sorted(asked), k))
+
+
 def test_toxicity_of_odd_texts_and_without_labels(spark, folder, odd, none):
     found = {(r.doc_id, r.score, r.predicted) for r in toxicity.op2_toxicity(spark, folder).collect()}
     assert all(0 <= s <= 1 and p == (s >= 0.3) for _, s, p in found)
