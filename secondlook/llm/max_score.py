@@ -37,7 +37,7 @@ CELL_ROWS = 1 << 18
 HELD = 1 << 24
 #: Non-essential terms sum to less than the threshold divided by this: of a larger part, most vectors would have to be looked up.
 PART = 16
-#: Hits of a query in a shard, as a multiple of k, above which its threshold is raised before they are sorted.
+#: Hits of a query in a shard, as a multiple of k, above which its k best scores there are found before hits are sorted.
 MANY = 64
 #: Components looked up at once.
 STEP = 1 << 20
@@ -183,18 +183,18 @@ class Queries:
         reach = np.greater_equal(partial, limit[:, None], out=self._array(np.bool_, len(ids), n))
         at_query, at = np.divmod(_places(reach), n)
         many = np.bincount(at_query, minlength=len(ids)) > MANY * k
-        if many.any():  # one more traversal, of all their terms
+        if many.any():  # one more traversal, of all their terms; of equal scores, only the first k by id may win
             crowded = np.flatnonzero(many)
             partial[crowded] = query[crowded] @ columns
             left[crowded] = False
             has, place = shard.own(ids[crowded])
-            scores = partial[crowded]
-            scores[has, place] = NONE
-            if n - 1 >= k:
-                reached = np.partition(scores, n - k, axis=1)[:, n - k].astype(np.int64)
-                least[crowded] = np.maximum(least[crowded], reached)
-            limit[crowded] = np.where(least[crowded] == NONE, scores.min(), least[crowded])
-            reach[crowded] = partial[crowded] >= limit[crowded, None]
+            partial[crowded[has], place] = NONE
+            scores, within = partial[crowded], True
+            if n > k:
+                best = np.partition(scores, n - k, axis=1)[:, n - k, None]
+                tied = scores == best
+                within = (scores > best) | tied & (np.cumsum(tied, axis=1) <= k)
+            reach[crowded] = within & (scores >= least[crowded, None])
             at_query, at = np.divmod(_places(reach), n)
         others = shard.ids[at] != ids[at_query]
         at_query, at = at_query[others], at[others]
